@@ -94,13 +94,15 @@ def _payload(target: DataFrame, keys: Sequence[str]) -> list[str]:
 
 def _finish(target: DataFrame, keys: Sequence[str], decided: DataFrame,
             new_row: Column, keep_target: Column, insert_only: Sequence[str],
-            generated: Mapping[str, str], is_update: Column) -> DataFrame:
+            generated: Mapping[str, str], is_update: Column,
+            insert_row: Column | None = None) -> DataFrame:
     """Join per-key decisions with the target (1:1 on key) and build rows.
 
     ``decided`` carries one row per key; ``new_row`` is the struct to write
     (null = no row from the feed), ``keep_target`` whether the target row
     stays unchanged, ``is_update`` whether the write updates a live row (so
-    insert-only columns keep their target value)."""
+    insert-only columns keep their target value).  ``insert_row`` is the
+    row of the inserting event, source of insert-only columns otherwise."""
     payload = _payload(target, keys)
     tnull = null_key(keys)
     t_null = target.filter(tnull)                       # never matched
@@ -109,16 +111,18 @@ def _finish(target: DataFrame, keys: Sequence[str], decided: DataFrame,
     j = t.join(decided, list(keys), "full_outer")
     j = j.withColumn("_in_target", F.coalesce(F.col("_in_target"), F.lit(False)))
     j = j.withColumn("_new", new_row).withColumn("_keep", keep_target) \
-         .withColumn("_upd", is_update)
+         .withColumn("_upd", is_update) \
+         .withColumn("_ins", insert_row if insert_row is not None else F.col("_new"))
     j = j.filter(F.col("_keep") | F.col("_new").isNotNull())
     cols = []
     for c in payload:
         from_new = F.col(f"_new.{c}")
         if c in insert_only:
+            from_ins = F.col(f"_ins.{c}")
             if c in generated:
-                ins_val = F.coalesce(from_new, F.expr(generated[c]))
+                ins_val = F.coalesce(from_ins, F.expr(generated[c]))
             else:
-                ins_val = from_new
+                ins_val = from_ins
             val = F.when(F.col("_upd"), F.col(f"_t.{c}")).otherwise(ins_val)
         else:
             val = from_new
@@ -186,7 +190,8 @@ def apply_strict(target: DataFrame, feed: DataFrame, keys: Sequence[str],
     # keep the target row: no event for the key, or live with no update
     keep = F.col("_in_target") & (~has_events | (live0 & F.col("_lu").isNull()))
     is_update = live0
-    out = _finish(target, keys, d, new_row, keep, insert_only, generated, is_update)
+    out = _finish(target, keys, d, new_row, keep, insert_only, generated, is_update,
+                  insert_row=F.col("_ins_row"))
     null_inserts = feed.filter(nk & (F.col(op_col) == OP_INSERT)).select(*keys, *payload)
     if insert_only and generated:
         null_inserts = null_inserts.select(*keys, *[

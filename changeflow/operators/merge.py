@@ -184,12 +184,18 @@ def join_key_of(spec: MergeSpec, alias: str) -> str:
     raise ValueError(f"no join key for source {alias!r}")
 
 
-def restrict_to_keys(spec: MergeSpec, keys: DataFrame, key_col: str) -> MergeSpec:
-    """C14 step 1: semi-join every source to the affected keys before the
-    merge, so only those keys are re-merged (the key set is distinct)."""
+def restrict_to_keys(spec: MergeSpec, keys: DataFrame, key_col: str,
+                     aliases: Sequence[str] | None = None) -> MergeSpec:
+    """C14 step 1: semi-join the keyed sources to the affected keys before
+    the merge, so only those keys are re-merged.  ``aliases`` defaults to the
+    sources with a declared key; other sources (lookups) stay whole."""
     kd = keys.select(F.col(key_col).alias("_k")).distinct()
+    chosen = set(aliases) if aliases is not None else {s.alias for s in spec.sources if s.key}
     new_sources = []
     for s in spec.sources:
+        if s.alias not in chosen:
+            new_sources.append(s)
+            continue
         kc = join_key_of(spec, s.alias)
         base = s.df if not s.where else s.df.filter(F.expr(s.where))
         restricted = base.join(kd, base[kc] == kd["_k"], "left_semi")
@@ -198,11 +204,12 @@ def restrict_to_keys(spec: MergeSpec, keys: DataFrame, key_col: str) -> MergeSpe
 
 
 def remerge_affected(spark: SparkSession, spec: MergeSpec, changed: DataFrame, key_col: str,
-                     destination: DataFrame, dest_key: str) -> DataFrame:
+                     destination: DataFrame, dest_key: str,
+                     aliases: Sequence[str] | None = None) -> DataFrame:
     """C14: re-run the merge for the keys touched by a batch of changes and
     replace those keys in the destination.  Keys that no longer come out of
     the merge are removed (merged deletes take effect)."""
-    merged = run_merge(spark, restrict_to_keys(spec, changed, key_col))
+    merged = run_merge(spark, restrict_to_keys(spec, changed, key_col, aliases))
     affected = changed.select(F.col(key_col).alias(dest_key)).distinct()
     kept = destination.join(affected, dest_key, "left_anti")
     return kept.unionByName(merged.select(*destination.columns))
