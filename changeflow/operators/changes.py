@@ -27,6 +27,16 @@ from changeflow.operators.skew import DEFAULT_HOT_ROWS, null_key, salted_key_joi
 
 ORDER = ("lsn", "seqval")
 
+# per-key summaries persisted while a fold is planned and run; released by
+# ``release_cached`` once the caller has written the result
+_PERSISTED: list[DataFrame] = []
+
+
+def release_cached() -> None:
+    """Unpersist the per-key summaries kept by earlier folds."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
 # Row filters of a change-range scan
 ROW_FILTERS = {
     "all": (OP_DELETE, OP_INSERT, OP_UPDATE_AFTER),
@@ -151,6 +161,7 @@ def strict_decisions(feed: DataFrame, keys: Sequence[str], payload: Sequence[str
         F.max(F.when(op == OP_DELETE, pos)).alias("_ld"),
         F.count(F.lit(1)).alias("_n"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(stage1)
     j = salted_key_join(ev, stage1, keys, "_n", spread=list(order), hot_rows=hot_rows)
     after = F.col("_ld").isNull() | (pos > F.col("_ld"))
     ins = after & (op == OP_INSERT)
