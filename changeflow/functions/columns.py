@@ -122,3 +122,17 @@ def any_changed(pairs: Iterable[tuple[ColumnOrName, ColumnOrName]]) -> Column:
     if cond is None:
         raise ValueError("on-change detector needs at least one field")
     return cond
+
+
+def present(items: Sequence[tuple[Column, Column]], element_type: str | None = None) -> Column:
+    """Array of the values whose condition holds, in order.
+
+    Built with ``concat`` of one- or zero-element arrays rather than a
+    ``filter`` lambda, so the whole expression stays in generated code."""
+    parts = []
+    for cond, value in items:
+        empty = F.array().cast(f"array<{element_type}>") if element_type else F.array()
+        parts.append(F.when(cond, F.array(value)).otherwise(empty))
+    if not parts:
+        return F.array().cast(f"array<{element_type or 'string'}>")
+    return F.concat(*parts) if len(parts) > 1 else parts[0]

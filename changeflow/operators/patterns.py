@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from changeflow.functions.columns import present
 from changeflow.functions.diacritics import strip_diacritics
 
 # Detector kinds and the texts of their suggestions.
@@ -136,8 +137,7 @@ def label_patterns(a: Column, b: Column, detectors: Sequence[Detector] = DEFAULT
     """Q12: (array of matching detector ids in detector order, suggestion of
     the first matching detector)."""
     hits = [detect(d, a, b) for d in detectors]
-    ids = F.filter(F.array(*[F.when(h, F.lit(d.id)) for d, (h, _) in zip(detectors, hits)]),
-                   lambda x: x.isNotNull())
+    ids = present([(h, F.lit(d.id)) for d, (h, _) in zip(detectors, hits)], "string")
     fix = F.coalesce(*[F.when(h, m) for h, m in hits], F.lit(None).cast("string")) if hits \
         else F.lit(None).cast("string")
     return ids, fix
@@ -207,25 +207,37 @@ def analyze_sources(sources: Sequence[tuple[str, DataFrame]],
     if apply_patterns:
         detectors = [d for d in detectors if d.id in set(apply_patterns)]
     m = n_way_match(sources, keys, order)
-    items = []
-    for name, per_source in columns.items():
-        present = [(a, per_source[a]) for a in aliases if a in per_source]
-        texts = [value_text(F.col(f"{a}__{c}"), m.schema[f"{a}__{c}"].dataType) for a, c in present]
-        differs = F.size(F.array_distinct(F.array_compact(F.array(*texts)))) > 1
-        values = F.map_from_arrays(F.array(*[F.lit(a) for a, _ in present]), F.array(*texts))
-        if len(present) >= 2:
-            (a1, c1), (a2, c2) = present[0], present[1]
-            t1 = detector_text(F.col(f"{a1}__{c1}"), m.schema[f"{a1}__{c1}"].dataType)
-            t2 = detector_text(F.col(f"{a2}__{c2}"), m.schema[f"{a2}__{c2}"].dataType)
-            ids, fix = label_patterns(t1, t2, detectors)
+    # stage 1: value texts, detector texts and the differ flag per column;
+    # stage 2: detector hits and suggestions from those (simple column refs,
+    # so each costly normalisation is computed once per row); stage 3: the
+    # mismatch array.  Catalyst keeps the stages apart where a collapse
+    # would repeat costly expressions.
+    keep = [F.col(f"{aliases[0]}__{k}") for k in keys]
+    row_id = _row_id(m, aliases[0], keys).alias("row_id")
+    s1, names = [], list(columns)
+    for i, name in enumerate(names):
+        present_src = [(a, columns[name][a]) for a in aliases if a in columns[name]]
+        texts = [value_text(F.col(f"{a}__{c}"), m.schema[f"{a}__{c}"].dataType) for a, c in present_src]
+        s1.append(F.map_from_arrays(F.array(*[F.lit(a) for a, _ in present_src]),
+                                    F.array(*texts)).alias(f"_v{i}"))
+        s1.append((F.size(F.array_distinct(F.array_compact(F.array(*texts)))) > 1).alias(f"_d{i}"))
+        if len(present_src) >= 2:
+            for j, (a, c) in enumerate(present_src[:2]):
+                s1.append(detector_text(F.col(f"{a}__{c}"), m.schema[f"{a}__{c}"].dataType)
+                          .alias(f"_t{i}_{j}"))
+    st1 = m.select(row_id, *keep, *s1)
+    s2 = []
+    for i, name in enumerate(names):
+        if f"_t{i}_0" in st1.columns:
+            ids, fix = label_patterns(F.col(f"_t{i}_0"), F.col(f"_t{i}_1"), detectors)
         else:
             ids, fix = F.array().cast("array<string>"), F.lit(None).cast("string")
-        items.append(F.when(differs, F.struct(F.lit(name).alias("column_name"), values.alias("values"),
-                                              ids.alias("detected_patterns"), fix.alias("suggested_fix"))))
-    mism = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return m.select(_row_id(m, aliases[0], keys).alias("row_id"),
-                    *[F.col(f"{aliases[0]}__{k}").alias(k) for k in keys],
-                    (F.size(mism) == 0).alias("matched"), mism.alias("mismatches"))
+        s2.append(F.when(F.col(f"_d{i}"), F.struct(
+            F.lit(name).alias("column_name"), F.col(f"_v{i}").alias("values"),
+            ids.alias("detected_patterns"), fix.alias("suggested_fix"))).alias(f"_m{i}"))
+    st2 = st1.select("row_id", *[F.col(f"{aliases[0]}__{k}").alias(k) for k in keys], *s2)
+    mism = present([(F.col(f"_m{i}").isNotNull(), F.col(f"_m{i}")) for i in range(len(names))])
+    return st2.select("row_id", *keys, (F.size(mism) == 0).alias("matched"), mism.alias("mismatches"))
 
 
 def mismatch_entries(analysis: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeflow.functions.columns import present
 from changeflow.operators.skew import null_key
 
 # ---------------------------------------------------------------- T6
@@ -146,10 +147,10 @@ def record_diff(a_prefix: str, b_prefix: str, columns: Sequence[str], typed: boo
             differs = ~a.eqNullSafe(b)
         else:
             differs = ~_strip(a.cast("string")).eqNullSafe(_strip(b.cast("string")))
-        items.append(F.when(differs, F.struct(F.lit(c).alias("column"),
-                                              a.cast("string").alias("source_value"),
-                                              b.cast("string").alias("destination_value"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+        items.append((differs, F.struct(F.lit(c).alias("column"),
+                                        a.cast("string").alias("source_value"),
+                                        b.cast("string").alias("destination_value"))))
+    return present(items)
 
 
 # ---------------------------------------------------------------- Q2 / Q3 / Q5

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.functions.columns import any_changed
+from changeflow.functions.columns import any_changed, present
 from changeflow.operators.ordered import keyed_neighbor, keyed_row_number
 
 # ---------------------------------------------------------------- F1 - F8
@@ -77,13 +77,13 @@ def validate(df: DataFrame, rules: Mapping[str, str] | None = None,
     and batch retries."""
     checks = []
     for name, cond in (rules or {}).items():
-        checks.append(F.when(~F.coalesce(F.expr(cond), F.lit(False)), F.lit(name)))
+        checks.append((~F.coalesce(F.expr(cond), F.lit(False)), F.lit(name)))
     for col, typ in (casts or {}).items():
-        checks.append(F.when(F.col(col).isNotNull() & F.expr(f"try_cast(`{col}` AS {typ})").isNull(),
-                             F.lit(f"cast:{col}")))
+        checks.append((F.col(col).isNotNull() & F.expr(f"try_cast(`{col}` AS {typ})").isNull(),
+                       F.lit(f"cast:{col}")))
     if not checks:
         raise ValueError("no rules given")
-    tagged = df.withColumn("errors", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    tagged = df.withColumn("errors", present(checks, "string"))
     good = tagged.filter(F.size("errors") == 0).drop("errors")
     bad = tagged.filter(F.size("errors") > 0)
     return good, bad
