@@ -20,6 +20,8 @@ from collections.abc import Mapping, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ByteType, DecimalType, IntegerType, IntegralType, ShortType,
+                               StructType)
 
 from changeflow.functions.columns import (OP_DELETE, OP_INSERT, OP_UPDATE_AFTER,
                                           OP_UPDATE_BEFORE, decode_operation)
@@ -45,8 +47,23 @@ ROW_FILTERS = {
 }
 
 
-def position(order: Sequence[str] = ORDER) -> Column:
-    """Total change order as a comparable struct (lsn, then sequence)."""
+def position(order: Sequence[str] = ORDER, schema: StructType | None = None) -> Column:
+    """Total change order (lsn, then sequence) as one comparable value.
+
+    With the schema known, integral positions become one number - the
+    position itself, or ``lsn * 2^32 + (seqval + 2^31)`` as ``decimal(38,0)``
+    for a long lsn and an int sequence - so aggregations over positions run
+    as hash aggregations (fixed-width buffers).  Otherwise (binary LSNs, long
+    sequences) a struct, which compares field by field but aggregates by
+    sorting."""
+    if schema is not None:
+        types = [schema[c].dataType for c in order]
+        if len(order) == 1 and isinstance(types[0], (IntegralType, DecimalType)):
+            return F.col(order[0])
+        if (len(order) == 2 and isinstance(types[0], IntegralType)
+                and isinstance(types[1], (IntegerType, ShortType, ByteType))):
+            return (F.col(order[0]).cast("decimal(38,0)") * F.lit(4294967296)
+                    + (F.col(order[1]).cast("long") + F.lit(2147483648))).cast("decimal(38,0)")
     return F.struct(*[F.col(c) for c in order])
 
 
@@ -153,10 +170,10 @@ def strict_decisions(feed: DataFrame, keys: Sequence[str], payload: Sequence[str
     needs ``_ld`` on each event: a salted key join (hot keys spread over
     buckets), then a second map-side combinable aggregation."""
     keys = list(keys)
-    pos = position(order)
     op = F.col(op_col)
     ev = feed.filter(op.isin(OP_DELETE, OP_INSERT, OP_UPDATE_AFTER)) \
              .select(*keys, *order, op_col, F.struct(*payload).alias("_row"))
+    pos = position(order, feed.schema)
     stage1 = ev.groupBy(*keys).agg(
         F.max(F.when(op == OP_DELETE, pos)).alias("_ld"),
         F.count(F.lit(1)).alias("_n"),
@@ -226,7 +243,7 @@ def strict_outcomes(feed: DataFrame, target: DataFrame, keys: Sequence[str],
     from pyspark.sql import Window
     keys = list(keys)
     lsn = F.col(order[0])
-    pos = position(order)
+    pos = position(order, feed.schema)
     op = F.col(op_col)
     ev = feed.filter(~null_key(keys)).withColumn("_blk", F.floor(lsn / F.lit(block)).cast("long")) \
              .withColumn("_pos", pos)
@@ -262,7 +279,7 @@ def latest_per_key(feed: DataFrame, keys: Sequence[str], order: Sequence[str] =
     aggregation map-side; no window sort of a whole key group)."""
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in feed.columns if c not in keys]
-    agg = feed.groupBy(*keys).agg(F.max_by(F.struct(*cols), position(order)).alias("_r"))
+    agg = feed.groupBy(*keys).agg(F.max_by(F.struct(*cols), position(order, feed.schema)).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
@@ -278,7 +295,7 @@ def apply_last_wins(target: DataFrame, feed: DataFrame, keys: Sequence[str],
     ev = feed.filter(~nk & F.col(op_col).isin(OP_DELETE, OP_INSERT, OP_UPDATE_AFTER))
     d = ev.groupBy(*keys).agg(F.max_by(F.struct(F.col(op_col).alias("_op"),
                                                 F.struct(*payload).alias("_row")),
-                                       position(order)).alias("_last"))
+                                       position(order, feed.schema)).alias("_last"))
     d = d.select(*keys, F.col("_last._op").alias("_op"), F.col("_last._row").alias("_row"))
     new_row = F.when(F.col("_op") != OP_DELETE, F.col("_row"))
     keep = F.col("_in_target") & F.col("_op").isNull()
