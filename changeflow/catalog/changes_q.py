@@ -281,3 +281,43 @@ def c22_outcomes(spark, sf_dir):
     t = Tables(spark, sf_dir)
     out = ch.strict_outcomes(change_feed(t.events), base_state(t.events), KEYS, block=500)
     return out.select("lsn", "user_id", "op_code", "status")
+
+
+# Deletes switched off for the mapping, then the strict fold
+C8_SQL = C6_SQL.replace("op_code IN (1, 2, 4)", "op_code IN (2, 4)")
+assert C8_SQL != C6_SQL
+
+
+@register("c8_operation_flags_strict", C8_SQL)
+def c8(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    feed = ch.enabled_operations(change_feed(t.events), deletes=False)
+    return ch.apply_strict(base_state(t.events), feed, KEYS)
+
+
+# A column generated on first insert and locked afterwards, on the fold
+P9_SQL = with_ctes("""
+WITH ev AS (SELECT * FROM change_feed WHERE op_code IN (1, 2, 4)),
+s1 AS (SELECT user_id, max(CASE WHEN op_code = 1 THEN lsn END) AS ld FROM ev GROUP BY user_id),
+s2 AS (SELECT e.user_id, min(CASE WHEN e.op_code = 2 THEN e.lsn END) AS f1,
+              max(CASE WHEN e.op_code = 4 THEN e.lsn END) AS lu
+       FROM ev e JOIN s1 ON e.user_id = s1.user_id
+       WHERE s1.ld IS NULL OR e.lsn > s1.ld GROUP BY e.user_id),
+d AS (SELECT s1.user_id, s1.ld, s2.f1, s2.lu, (b.user_id IS NOT NULL AND s1.ld IS NULL) AS live0
+      FROM s1 LEFT JOIN s2 ON s1.user_id = s2.user_id LEFT JOIN base_state b ON b.user_id = s1.user_id),
+pick AS (SELECT user_id, live0, CASE WHEN live0 THEN lu
+                WHEN f1 IS NOT NULL THEN CASE WHEN lu > f1 THEN lu ELSE f1 END END AS pos FROM d)
+SELECT b.user_id, b.event_type, b.value, 'seed' AS first_seen FROM base_state b
+WHERE NOT EXISTS (SELECT 1 FROM pick p WHERE p.user_id = b.user_id AND NOT (p.live0 AND p.pos IS NULL))
+UNION ALL
+SELECT e.user_id, e.event_type, e.value, CASE WHEN p.live0 THEN 'seed' ELSE 'generated' END AS first_seen
+FROM pick p JOIN ev e ON e.user_id = p.user_id AND e.lsn = p.pos
+""", "change_feed", "base_state")
+
+
+@register("p9_generate_on_init", P9_SQL)
+def p9(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    target = base_state(t.events).withColumn("first_seen", F.lit("seed"))
+    return ch.apply_strict(target, change_feed(t.events), KEYS, insert_only=["first_seen"],
+                           generated={"first_seen": "'generated'"})

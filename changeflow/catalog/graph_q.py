@@ -69,3 +69,18 @@ def g1r(spark, sf_dir):
              Edge("hi_out", "all", input="left"), Edge("lo_out", "all", input="right")]
     res, _ = run_graph(spark, nodes, edges, {"orders": t.orders, "customer": t.customer})
     return res["all"]
+
+
+G3_SQL = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority LIKE '1%'"
+
+
+@register("g3_row_logger", G3_SQL)
+def g3(spark, sf_dir):
+    """Rows pass through the logger unchanged; the logger observes the count."""
+    t = Tables(spark, sf_dir)
+    nodes = [Node("s", "source", {"table": "orders"}), Node("log", "logger"),
+             Node("f", "filter", {"condition": "o_orderpriority LIKE '1%'"}),
+             Node("p", "select", {"include": ["o_orderkey", "o_orderstatus"]})]
+    edges = [Edge("s", "log"), Edge("log", "f"), Edge("f", "p")]
+    res, _ = run_graph(spark, nodes, edges, {"orders": t.orders})
+    return res["p"]

@@ -134,3 +134,25 @@ def c18_grouped(spark, sf_dir):
         ld.MappingRun("off", t.orders, CUSTOMER_MAP, "dim_party", "append", enabled=False),
     ]
     return ld.grouped_run(runs)["dim_party"]
+
+
+# P8 through the mapping spec: a column generated on insert only
+P8_SQL = with_ctes("""
+SELECT d.o_orderkey, d.o_custkey, d.o_orderstatus, d.o_totalprice,
+       CASE WHEN o.o_orderkey IS NULL THEN 'delta' ELSE 'initial' END AS load_tag
+FROM orders_delta d LEFT JOIN orders o ON o.o_orderkey = d.o_orderkey
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'initial' AS load_tag FROM orders
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_delta)
+""", "orders_delta")
+
+
+@register("p8_generate_on_insert", P8_SQL)
+def p8(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    m = TableMap(columns=tuple(ColumnMap(c, c) for c in ORDER_COLS)
+                 + (ColumnMap("load_tag", on_insert="'delta'"),), keys=("o_orderkey",))
+    target = t.orders.select(*ORDER_COLS, F.lit("initial").alias("load_tag"))
+    mapped = apply_mapping(orders_delta(t.orders), m)
+    gen = {c.target: c.generated for c in m.columns if c.generated}
+    return ld.upsert(target, mapped, m.keys, insert_only=m.insert_only_columns, generated=gen)

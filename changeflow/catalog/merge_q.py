@@ -252,3 +252,22 @@ def c14(spark, sf_dir):
     changed = dest_src.filter(F.col("c_mktsegment").isNull() | (F.col("c_custkey") >= 10000000)) \
         .select("c_custkey")
     return mg.remerge_affected(spark, spec(t.customer), changed, "c_custkey", old, "customer_id")
+
+
+U6_SQL = """
+SELECT crm.c_custkey AS customer_id, upper(nat.n_name) || '-' || crm.c_mktsegment AS label,
+       crm.c_acctbal * 2 AS double_balance
+FROM customer crm LEFT JOIN nation nat ON crm.c_nationkey = nat.n_nationkey
+"""
+
+
+@register("u6_output_projection", U6_SQL)
+def u6(spark, sf_dir):
+    """Output columns as alias-qualified columns and expressions."""
+    t = Tables(spark, sf_dir)
+    spec = MergeSpec(sources=(Source("crm", t.customer), Source("nat", t.nation)),
+                     steps=(Step("left", "nat", "crm.c_nationkey = nat.n_nationkey"),),
+                     output=(("crm.c_custkey", "customer_id"),
+                             ("upper(nat.n_name) || '-' || crm.c_mktsegment", "label"),
+                             ("crm.c_acctbal * 2", "double_balance")))
+    return mg.run_merge(spark, spec)

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from changeflow.catalog import register
-from changeflow.catalog.changes_q import C6_SQL, C7_SQL
+from changeflow.catalog.changes_q import C6_SQL, C7_SQL  # noqa: F401
 from changeflow.session import scratch_path
 from changeflow.sources.fixtures import Tables, base_state, change_feed
 from changeflow.streaming import stream as st

@@ -119,6 +119,27 @@ def _payload(target: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in target.columns if c not in keys]
 
 
+def _conform(feed: DataFrame, target: DataFrame, keys: Sequence[str],
+             generated: Mapping[str, str]) -> DataFrame:
+    """Give the feed every target column: generated columns the feed does
+    not carry become typed nulls (filled by their generator on insert)."""
+    missing = [c for c in _payload(target, keys) if c not in feed.columns]
+    bad = [c for c in missing if c not in generated]
+    if bad:
+        raise ValueError(f"feed lacks destination columns {bad}")
+    for c in missing:
+        feed = feed.withColumn(c, F.lit(None).cast(target.schema[c].dataType))
+    return feed
+
+
+def _null_key_inserts(feed: DataFrame, keys: Sequence[str], payload: Sequence[str],
+                      op_col: str, generated: Mapping[str, str]) -> DataFrame:
+    """Inserts with a null key part: never match a row, always added."""
+    rows = feed.filter(null_key(keys) & (F.col(op_col) == OP_INSERT))
+    return rows.select(*keys, *[(F.coalesce(F.col(c), F.expr(generated[c])) if c in generated
+                                 else F.col(c)).alias(c) for c in payload])
+
+
 def _finish(target: DataFrame, keys: Sequence[str], decided: DataFrame,
             new_row: Column, keep_target: Column, insert_only: Sequence[str],
             generated: Mapping[str, str], is_update: Column,
@@ -207,6 +228,7 @@ def apply_strict(target: DataFrame, feed: DataFrame, keys: Sequence[str],
     keys = list(keys)
     payload = _payload(target, keys)
     generated = dict(generated or {})
+    feed = _conform(feed, target, keys, generated)
     nk = null_key(keys)
     d = strict_decisions(feed.filter(~nk), keys, payload, order, op_col, hot_rows)
     live0 = F.col("_in_target") & F.col("_ld").isNull()
@@ -220,12 +242,7 @@ def apply_strict(target: DataFrame, feed: DataFrame, keys: Sequence[str],
     is_update = live0
     out = _finish(target, keys, d, new_row, keep, insert_only, generated, is_update,
                   insert_row=F.col("_ins_row"))
-    null_inserts = feed.filter(nk & (F.col(op_col) == OP_INSERT)).select(*keys, *payload)
-    if insert_only and generated:
-        null_inserts = null_inserts.select(*keys, *[
-            (F.coalesce(F.col(c), F.expr(generated[c])) if c in generated else F.col(c)).alias(c)
-            for c in payload])
-    return out.unionByName(null_inserts)
+    return out.unionByName(_null_key_inserts(feed, keys, payload, op_col, generated))
 
 
 def strict_outcomes(feed: DataFrame, target: DataFrame, keys: Sequence[str],
@@ -291,6 +308,8 @@ def apply_last_wins(target: DataFrame, feed: DataFrame, keys: Sequence[str],
     anything else writes its row."""
     keys = list(keys)
     payload = _payload(target, keys)
+    generated = dict(generated or {})
+    feed = _conform(feed, target, keys, generated)
     nk = null_key(keys)
     ev = feed.filter(~nk & F.col(op_col).isin(OP_DELETE, OP_INSERT, OP_UPDATE_AFTER))
     d = ev.groupBy(*keys).agg(F.max_by(F.struct(F.col(op_col).alias("_op"),
@@ -300,9 +319,8 @@ def apply_last_wins(target: DataFrame, feed: DataFrame, keys: Sequence[str],
     new_row = F.when(F.col("_op") != OP_DELETE, F.col("_row"))
     keep = F.col("_in_target") & F.col("_op").isNull()
     is_update = F.col("_in_target")
-    out = _finish(target, keys, d, new_row, keep, insert_only, dict(generated or {}), is_update)
-    null_inserts = feed.filter(nk & (F.col(op_col) == OP_INSERT)).select(*keys, *payload)
-    return out.unionByName(null_inserts)
+    out = _finish(target, keys, d, new_row, keep, insert_only, generated, is_update)
+    return out.unionByName(_null_key_inserts(feed, keys, payload, op_col, generated))
 
 
 # ---------------------------------------------------------------- C12 / C20
