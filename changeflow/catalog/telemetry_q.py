@@ -27,8 +27,9 @@ def c21(spark, sf_dir):
     t = Tables(spark, sf_dir)
     f = change_feed(t.events)
     applied = f.select("lsn", decode_operation("op_code").alias("operation"), "change_time",
-                       F.timestamp_micros(F.unix_micros(F.col("change_time").cast("timestamp"))
-                                          + (F.col("lsn") * 7919) % 5000000).alias("written_at"))
+                       (F.col("change_time") + F.make_dt_interval(secs=(
+                           ((F.col("lsn") * 7919) % 5000000).cast("decimal(18,6)") / 1000000
+                       ).cast("decimal(18,6)"))).alias("written_at"))
     return tm.capture_latency(applied, "change_time", "written_at").select("lsn", "operation", "latency_ms")
 
 

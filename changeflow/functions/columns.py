@@ -136,3 +136,20 @@ def present(items: Sequence[tuple[Column, Column]], element_type: str | None = N
     if not parts:
         return F.array().cast(f"array<{element_type or 'string'}>")
     return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def epoch_micros(c: ColumnOrName, dtype=None) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp.
+
+    A ``TIMESTAMP_NTZ`` is converted field by field (date, hour, minute,
+    second), so the result does not depend on the session time zone and stays
+    monotonic where a zone repeats or skips an hour; a zoned timestamp uses
+    ``unix_micros``."""
+    from pyspark.sql.types import TimestampNTZType
+    c = _col(c)
+    if isinstance(dtype, TimestampNTZType):
+        return (F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+                + F.hour(c).cast("long") * F.lit(3_600_000_000)
+                + F.minute(c).cast("long") * F.lit(60_000_000)
+                + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("long"))
+    return F.unix_micros(c.cast("timestamp"))

@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
+from changeflow.functions.columns import epoch_micros
+
 
 def _numeric(df: DataFrame, name: str) -> Column:
     dt = df.schema[name].dataType
     if isinstance(dt, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
+        return epoch_micros(F.col(name), dt)
     if isinstance(dt, DateType):
         return F.unix_date(F.col(name)).cast("long")
     return F.col(name)

@@ -10,12 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeflow.functions.columns import epoch_micros
+
 PERCENTILES = (0.5, 0.95, 0.99)
 
 
-def _micros(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(c.cast("timestamp"))
+def _micros(df: DataFrame, name: str) -> Column:
+    return epoch_micros(F.col(name), df.schema[name].dataType)
 
 
 # ---------------------------------------------------------------- C21 / C22
@@ -25,7 +26,7 @@ def capture_latency(applied: DataFrame, source_time: str, destination_time: str,
     """Latency in whole milliseconds between the source change and the
     destination write, for inserts and updates only (truncating division of
     the microsecond difference, like ``int()``)."""
-    diff = _micros(destination_time) - _micros(source_time)
+    diff = _micros(applied, destination_time) - _micros(applied, source_time)
     ms = F.when(diff >= 0, F.floor(diff / 1000)).otherwise(F.ceil(diff / 1000)).cast("long")
     return applied.filter(F.col(op_col).isin("INSERT", "UPDATE")).withColumn("latency_ms", ms)
 
@@ -126,7 +127,7 @@ def throughput(log: DataFrame, time_col: str = "logged_at") -> DataFrame:
     agg = log.agg(F.count(F.when(F.col("status") == "processed", 1)).alias("events_processed"),
                   F.count(F.when(F.col("status") == "failed", 1)).alias("events_failed"),
                   F.min(time_col).alias("_first"), F.max(time_col).alias("last_event_time"))
-    secs = (_micros("last_event_time") - _micros("_first")) / 1e6
+    secs = (_micros(agg, "last_event_time") - _micros(agg, "_first")) / 1e6
     total = F.col("events_processed") + F.col("events_failed")
     return agg.select("events_processed", "events_failed",
                       secs.alias("run_seconds"),
