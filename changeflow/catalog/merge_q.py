@@ -236,22 +236,25 @@ UNION ALL SELECT * FROM new
 """, "customer_dest")
 
 
+def c14_spec(t, crm_df):
+    """The merge re-run for affected keys: crm keyed by customer, nation a lookup."""
+    return MergeSpec(
+        sources=(Source("crm", crm_df, key="c_custkey"), Source("nat", t.nation)),
+        steps=(Step("left", "nat", "crm.c_nationkey = nat.n_nationkey"),),
+        output=(("crm.c_custkey", "customer_id"), ("crm.c_name", "customer_name"),
+                ("nat.n_name", "nation_name")))
+
+
 @register("c14_remerge_affected_keys", C14_SQL)
 def c14(spark, sf_dir):
+    """The destination was merged from the perturbed copy; the keys touched
+    by changes are re-merged from the current customers and replaced."""
     t = Tables(spark, sf_dir)
     dest_src = customer_dest(t.customer)
-
-    def spec(crm_df):
-        return MergeSpec(
-            sources=(Source("crm", crm_df, key="c_custkey"), Source("nat", t.nation)),
-            steps=(Step("left", "nat", "crm.c_nationkey = nat.n_nationkey"),),
-            output=(("crm.c_custkey", "customer_id"), ("crm.c_name", "customer_name"),
-                    ("nat.n_name", "nation_name")))
-
-    old = mg.run_merge(spark, spec(dest_src))
+    old = mg.run_merge(spark, c14_spec(t, dest_src))
     changed = dest_src.filter(F.col("c_mktsegment").isNull() | (F.col("c_custkey") >= 10000000)) \
         .select("c_custkey")
-    return mg.remerge_affected(spark, spec(t.customer), changed, "c_custkey", old, "customer_id")
+    return mg.remerge_affected(spark, c14_spec(t, t.customer), changed, "c_custkey", old, "customer_id")
 
 
 U6_SQL = """

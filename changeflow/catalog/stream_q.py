@@ -11,9 +11,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from changeflow.catalog import register
-from changeflow.catalog.changes_q import C6_SQL, C7_SQL  # noqa: F401
+from changeflow.catalog.changes_q import C6_SQL, C7_SQL
+from changeflow.catalog.merge_q import C14_SQL
+from changeflow.operators.merge import run_merge
 from changeflow.session import scratch_path
-from changeflow.sources.fixtures import Tables, base_state, change_feed
+from changeflow.sources.fixtures import Tables, base_state, change_feed, customer_dest
 from changeflow.streaming import stream as st
 
 N_PARTS = 4
@@ -36,13 +38,14 @@ def _run(spark, sf_dir, mode, tagged=False):
     feed = change_feed(t.events).drop("change_time") if not tagged else change_feed(t.events)
     _write_parts(feed, f"{root}/feed")
     base = base_state(t.events)
-    table = st.VersionedTable(f"{root}/dest", base.schema)
-    table.commit(spark, base, -1)
+    table = st.ChangeTable(f"{root}/dest", base.schema, keys=["user_id"], mode=mode)
+    table.init(spark, base)
     stream = st.read_feed_stream(spark, f"{root}/feed", feed.schema, files_per_trigger=1)
     if tagged:
         stream = st.tag_stream(stream.filter(F.col("source_id") == "src_erp"), "erp").unionByName(
             st.tag_stream(stream.filter(F.col("source_id") == "src_crm"), "crm"))
-    spec = st.ApplySpec(keys=["user_id"], mode=mode, outcomes_path=f"{root}/outcomes")
+    # 4 batches, compaction after the third: the result is base + one delta
+    spec = st.ApplySpec(compact_every=3, outcomes_path=f"{root}/outcomes")
     q = st.start_apply(stream, table, spec, f"{root}/checkpoint")
     q.awaitTermination()
     return table.current(spark)
@@ -62,3 +65,25 @@ def c9_last_wins(spark, sf_dir):
 def c12_stream(spark, sf_dir):
     """Two tagged source streams unioned, applied strictly."""
     return _run(spark, sf_dir, "strict", tagged=True)
+
+
+@register("c14_stream_remerge", C14_SQL)
+def c14_stream(spark, sf_dir):
+    """Affected keys arrive as a stream; each batch re-merges its keys and
+    replaces them in the destination."""
+    from changeflow.catalog.merge_q import c14_spec
+    t = Tables(spark, sf_dir)
+    root = scratch_path(spark, f"remerge-{uuid.uuid4().hex}")
+    dest_src = customer_dest(t.customer)
+    old = run_merge(spark, c14_spec(t, dest_src))
+    changed = dest_src.filter(F.col("c_mktsegment").isNull() | (F.col("c_custkey") >= 10000000)) \
+        .select("c_custkey")
+    keys = changed.withColumn("lsn", F.col("c_custkey"))
+    _write_parts(keys, f"{root}/keys")
+    table = st.KeyReplaceTable(f"{root}/dest", old.schema, key="customer_id")
+    table.init(spark, old)
+    stream = st.read_feed_stream(spark, f"{root}/keys", keys.schema, files_per_trigger=1)
+    q = st.start_remerge(stream, lambda: c14_spec(t, t.customer), "c_custkey", table,
+                         f"{root}/checkpoint", compact_every=3)
+    q.awaitTermination()
+    return table.current(spark)

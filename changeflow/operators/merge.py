@@ -136,7 +136,9 @@ def lookup_enrich(df: DataFrame, ref: DataFrame, on: Sequence[str] | str,
     keys = [on] if isinstance(on, str) else list(on)
     r = ref.select(*keys, *columns)
     if dedupe:
-        r = r.groupBy(*keys).agg(*[F.min(c).alias(c) for c in columns])
+        # one whole reference row per key (the smallest), never values mixed from rows
+        r = r.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_r")) \
+             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in columns])
     if prefix:
         r = r.select(*keys, *[F.col(c).alias(prefix + c) for c in columns])
     return df.join(broadcast_if_small(r, max_broadcast_rows), keys, "left")

@@ -57,7 +57,7 @@ def _missing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     """Rows of ``left`` whose key is not in ``right``; null keys count as
     missing and bypass the join (they would all land in one partition)."""
     nk = null_key(keys)
-    rk = right.filter(~null_key(keys)).select(*keys).distinct()
+    rk = right.filter(~null_key(keys)).select(*keys)     # an anti join ignores duplicates
     return left.filter(~nk).join(rk, list(keys), "left_anti").unionByName(left.filter(nk))
 
 

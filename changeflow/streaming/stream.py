@@ -3,17 +3,25 @@
 A change table directory is read with ``readStream``; the stream's
 checkpoint replaces the reference's position file (progress is committed
 only after a batch's writes, so a failed batch is replayed, never skipped).
-Each micro-batch runs the batch operators of ``operators.changes`` inside
-``foreachBatch``:
-
-* the destination is a series of state versions ``<root>/state/v=<batch>``;
-  batch ``b`` reads the newest committed version below ``b``, applies its
-  changes and writes version ``b`` with ``overwrite`` - a replayed batch
-  rewrites the same version, so the sink is idempotent;
-* committed versions are listed in a small Parquet log ``<root>/_versions``
-  (append of one row per batch; duplicates after a replay are harmless);
-* per-event outcomes (C22) and latency records (C21) are written to
-  ``batch_id`` partitions with dynamic partition overwrite - idempotent too.
+
+The destination is **merge-on-read**, so a micro-batch costs work in
+proportion to the batch, not to the destination:
+
+* each batch appends its (already filtered) change rows under
+  ``<root>/changes/batch_id=<b>`` with dynamic partition overwrite - a
+  replayed batch rewrites its own partition, so appends are idempotent;
+* the current state is ``fold(base, changes after the base)`` with the batch
+  operators of ``operators.changes`` (the strict fold composes, so folding
+  many batches at once equals folding them one by one);
+* every ``compact_every`` batches the state is folded into a new base
+  version ``<root>/base/v=<b>`` - a new location, never the one being read -
+  and the version is appended to a small Parquet log.  A replay of a
+  compacted batch skips the compaction.
+
+Per-event outcomes (C22) are produced at compaction for the compacted
+batches and latency records (C21) per batch; both are written to
+``batch_id`` partitions with dynamic overwrite, so they are idempotent too.
+C14 re-merges use the same layout with "replace these keys" deltas.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from changeflow.operators import changes as ch
-from changeflow.operators.merge import MergeSpec, remerge_affected
+from changeflow.operators.merge import MergeSpec, restrict_to_keys, run_merge
 
 
 def read_feed_stream(spark: SparkSession, path: str, schema: StructType | str,
@@ -48,93 +56,153 @@ def tag_stream(stream: DataFrame, source_id: str, alias: str | None = None) -> D
                  .withColumn("_source_alias", F.lit(alias or source_id))
 
 
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def _read_batches(spark: SparkSession, path: str, after: int | None, upto: int | None
+                  ) -> DataFrame | None:
+    """Rows of batches in (after, upto]; ``batch_id`` prunes partitions."""
+    try:
+        df = spark.read.parquet(path)
+    except Exception:   # nothing appended yet
+        return None
+    if after is not None:
+        df = df.filter(F.col("batch_id") > after)
+    if upto is not None:
+        df = df.filter(F.col("batch_id") <= upto)
+    return df
+
+
 @dataclass
-class VersionedTable:
-    """Destination state kept as numbered versions under ``root``."""
+class _Compacted:
+    """Base versions plus per-batch deltas under ``root``."""
     root: str
-    schema: StructType | str
+    schema: StructType
 
     @property
     def log_path(self) -> str:
-        return os.path.join(self.root, "_versions")
+        return os.path.join(self.root, "_base_log")
 
-    def path(self, version: int) -> str:
-        return os.path.join(self.root, "state", f"v={version:012d}")
+    def base_path(self, version: int) -> str:
+        return os.path.join(self.root, "base", f"v={version + 1:012d}")
 
-    def latest_below(self, spark: SparkSession, version: int) -> int | None:
+    def base_version(self, spark: SparkSession) -> int | None:
         try:
-            row = spark.read.parquet(self.log_path).filter(F.col("version") < version) \
-                .agg(F.max("version")).first()
-        except Exception:   # no version committed yet
+            return spark.read.parquet(self.log_path).agg(F.max("version")).first()[0]
+        except Exception:   # no base yet
             return None
-        return None if row is None else row[0]
 
-    def read(self, spark: SparkSession, below: int) -> DataFrame:
-        v = self.latest_below(spark, below)
-        if v is None:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.parquet(self.path(v))
-
-    def commit(self, spark: SparkSession, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self.path(version))
+    def init(self, spark: SparkSession, df: DataFrame, version: int = -1) -> None:
+        """Write the starting state (e.g. the initial snapshot, C5)."""
+        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self.base_path(version))
         spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(self.log_path)
 
-    def current(self, spark: SparkSession) -> DataFrame:
-        return self.read(spark, 2 ** 62)
+    def base(self, spark: SparkSession) -> tuple[DataFrame, int | None]:
+        v = self.base_version(spark)
+        if v is None:
+            return spark.createDataFrame([], self.schema), None
+        return spark.read.schema(self.schema).parquet(self.base_path(v)), v
+
+    def current(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        raise NotImplementedError
+
+    def compact(self, spark: SparkSession, upto: int) -> bool:
+        """Fold the deltas up to batch ``upto`` into a new base version."""
+        v = self.base_version(spark)
+        if v is not None and v >= upto:
+            return False          # already compacted (replayed batch)
+        self.current(spark, upto).write.mode("overwrite").parquet(self.base_path(upto))
+        spark.createDataFrame([(upto,)], "version long").write.mode("append").parquet(self.log_path)
+        ch.release_cached()
+        return True
 
 
 @dataclass
-class ApplySpec:
-    keys: Sequence[str]
+class ChangeTable(_Compacted):
+    """Destination state as base + change deltas (C6 / C7 semantics)."""
+    keys: Sequence[str] = ()
     mode: str = "strict"                    # strict (C6) | last_wins (C7)
     order: Sequence[str] = ch.ORDER
     op_col: str = "op_code"
     insert_only: Sequence[str] = ()
     generated: Mapping[str, str] = field(default_factory=dict)
-    inserts: bool = True                    # C8 operation switches
+
+    @property
+    def changes_path(self) -> str:
+        return os.path.join(self.root, "changes")
+
+    def append(self, spark: SparkSession, feed: DataFrame, batch_id: int) -> None:
+        _write_batch(feed, self.changes_path, batch_id)
+
+    def fold(self, state: DataFrame, deltas: DataFrame) -> DataFrame:
+        if self.mode == "strict":
+            out = ch.apply_strict(state, deltas, self.keys, self.order, self.op_col,
+                                  self.insert_only, self.generated)
+        elif self.mode == "last_wins":
+            out = ch.apply_last_wins(state, deltas, self.keys, self.order, self.op_col,
+                                     self.insert_only, self.generated)
+        else:
+            raise ValueError(f"unknown apply mode {self.mode!r}")
+        return out.select(*self.schema.fieldNames())
+
+    def current(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        base, v = self.base(spark)
+        deltas = _read_batches(spark, self.changes_path, v, upto)
+        return base if deltas is None else self.fold(base, deltas)
+
+    def outcomes(self, spark: SparkSession, upto: int) -> DataFrame | None:
+        """C22 for the batches after the current base, up to ``upto``."""
+        base, v = self.base(spark)
+        deltas = _read_batches(spark, self.changes_path, v, upto)
+        if deltas is None:
+            return None
+        return ch.strict_outcomes(deltas, base, self.keys, self.order, self.op_col)
+
+
+@dataclass
+class ApplySpec:
+    """Per-batch settings: operation switches (C8), compaction period and
+    optional outcome (C22) and latency (C21) sinks."""
+    inserts: bool = True
     updates: bool = True
     deletes: bool = True
-    outcomes_path: str | None = None        # C22 per-event outcomes
-    latency: tuple[str, str] | None = None  # (path, source time column): C21
+    compact_every: int = 8
+    outcomes_path: str | None = None
+    latency: tuple[str, str] | None = None  # (path, source time column)
 
 
-def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: VersionedTable,
+def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: ChangeTable,
                 spec: ApplySpec) -> None:
-    """C11: one micro-batch - F6, then C6 / C7 against the previous version,
-    then the new version, outcomes and latency records."""
-    feed = ch.enabled_operations(batch, spec.inserts, spec.updates, spec.deletes, spec.op_col)
-    feed = feed.persist()
-    try:
-        state = table.read(spark, batch_id)
-        if spec.mode == "strict":
-            new = ch.apply_strict(state, feed, spec.keys, spec.order, spec.op_col,
-                                  spec.insert_only, spec.generated)
-        elif spec.mode == "last_wins":
-            new = ch.apply_last_wins(state, feed, spec.keys, spec.order, spec.op_col,
-                                     spec.insert_only, spec.generated)
-        else:
-            raise ValueError(f"unknown apply mode {spec.mode!r}")
-        table.commit(spark, new.select(*state.columns), batch_id)
-        if spec.outcomes_path:
-            out = ch.strict_outcomes(feed, state, spec.keys, spec.order, spec.op_col) \
-                .withColumn("batch_id", F.lit(batch_id).cast("long"))
+    """C11: one micro-batch - F6, append the deltas, latency records; every
+    ``compact_every`` batches the outcomes and a new base version."""
+    feed = ch.enabled_operations(batch, spec.inserts, spec.updates, spec.deletes, table.op_col)
+    table.append(spark, feed, batch_id)
+    if spec.latency:
+        from changeflow.operators.telemetry import capture_latency
+        path, src_time = spec.latency
+        lat = capture_latency(ch.decode_feed(feed, table.op_col)
+                              .withColumn("_written_at", F.current_timestamp()), src_time, "_written_at")
+        _write_batch(lat, path, batch_id)
+    if spec.compact_every and (batch_id + 1) % spec.compact_every == 0:
+        compact(spark, table, batch_id, spec)
+
+
+def compact(spark: SparkSession, table: ChangeTable, upto: int, spec: ApplySpec) -> None:
+    """Outcomes of the batches since the last base, then the new base."""
+    v = table.base_version(spark)
+    if v is not None and v >= upto:
+        return
+    if spec.outcomes_path:
+        out = table.outcomes(spark, upto)
+        if out is not None:
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("batch_id").parquet(spec.outcomes_path)
-        if spec.latency:
-            from changeflow.operators.telemetry import capture_latency
-            path, src_time = spec.latency
-            lat = capture_latency(ch.decode_feed(feed, spec.op_col)
-                                  .withColumn("_written_at", F.current_timestamp()),
-                                  src_time, "_written_at") \
-                .withColumn("batch_id", F.lit(batch_id).cast("long"))
-            lat.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("batch_id").parquet(path)
-    finally:
-        feed.unpersist()
-        ch.release_cached()
+               .partitionBy("batch_id").parquet(spec.outcomes_path)
+    table.compact(spark, upto)
 
 
-def start_apply(stream: DataFrame, table: VersionedTable, spec: ApplySpec, checkpoint: str,
+def start_apply(stream: DataFrame, table: ChangeTable, spec: ApplySpec, checkpoint: str,
                 trigger: Mapping[str, object] | None = None) -> StreamingQuery:
     """C9 + C11: run ``apply_batch`` for every micro-batch.  ``trigger``
     defaults to ``availableNow`` (process what is there, then stop); use
@@ -149,19 +217,45 @@ def start_apply(stream: DataFrame, table: VersionedTable, spec: ApplySpec, check
     return w.start()
 
 
+# ---------------------------------------------------------------- C14
+
+@dataclass
+class KeyReplaceTable(_Compacted):
+    """Destination whose deltas replace whole keys: each batch stores the
+    affected keys and their re-merged rows; the current state takes, for
+    every affected key, the rows of the latest batch that touched it."""
+    key: str = "id"
+
+    def append(self, spark: SparkSession, keys: DataFrame, rows: DataFrame, batch_id: int) -> None:
+        _write_batch(keys.select(self.key).distinct(), os.path.join(self.root, "keys"), batch_id)
+        _write_batch(rows.select(*self.schema.fieldNames()), os.path.join(self.root, "rows"), batch_id)
+
+    def current(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        base, v = self.base(spark)
+        ks = _read_batches(spark, os.path.join(self.root, "keys"), v, upto)
+        if ks is None:
+            return base
+        latest = ks.groupBy(self.key).agg(F.max("batch_id").alias("batch_id"))
+        rows = _read_batches(spark, os.path.join(self.root, "rows"), v, upto)
+        fresh = rows.join(latest, [self.key, "batch_id"], "left_semi").select(*self.schema.fieldNames())
+        return base.join(latest.select(self.key), self.key, "left_anti").unionByName(fresh)
+
+
 def start_remerge(stream: DataFrame, merge: Callable[[], MergeSpec], key_col: str,
-                  table: VersionedTable, dest_key: str, checkpoint: str,
+                  table: KeyReplaceTable, checkpoint: str, compact_every: int = 8,
                   trigger: Mapping[str, object] | None = None) -> StreamingQuery:
     """C14 streaming: the distinct keys of each batch are re-merged from the
-    sources and replace those keys in the destination (merged deletes remove
-    keys that no longer come out of the merge)."""
+    sources (semi-joined to those keys before the joins) and replace those
+    keys in the destination; keys that no longer come out of the merge
+    disappear (merged deletes take effect)."""
     spark = stream.sparkSession
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        keys = batch.select(key_col).distinct()
-        state = table.read(spark, batch_id)
-        new = remerge_affected(spark, merge(), keys, key_col, state, dest_key)
-        table.commit(spark, new, batch_id)
+        keys = batch.select(F.col(key_col).alias(table.key)).distinct()
+        rows = run_merge(spark, restrict_to_keys(merge(), keys, table.key))
+        table.append(spark, keys, rows, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            table.compact(spark, batch_id)
 
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(**(dict(trigger) if trigger else {"availableNow": True}))

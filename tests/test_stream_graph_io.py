@@ -34,19 +34,20 @@ def test_stream_restart_equals_batch(spark, scratch):
     feed = change_feed(t.events).drop("change_time")
     base = base_state(t.events)
     expect = _sorted(ch.apply_strict(base, feed, ["user_id"]))
-    table = st.VersionedTable(os.path.join(scratch, "dest"), base.schema)
-    table.commit(spark, base, -1)
+    table = st.ChangeTable(os.path.join(scratch, "dest"), base.schema, keys=["user_id"])
+    table.init(spark, base)
     fdir, ck = os.path.join(scratch, "feed"), os.path.join(scratch, "ck")
     mx = feed.agg(F.max("lsn")).first()[0]
     half = mx // 2
     _parts(feed.filter(F.col("lsn") <= half), fdir, 0, half, 2)
-    spec = st.ApplySpec(keys=["user_id"])
+    spec = st.ApplySpec(compact_every=3)
     q = st.start_apply(st.read_feed_stream(spark, fdir, feed.schema, 1), table, spec, ck)
     q.awaitTermination()
     # more files arrive; a restarted query continues after the committed files
     _parts(feed.filter(F.col("lsn") > half), fdir, half + 1, mx, 2)
     q = st.start_apply(st.read_feed_stream(spark, fdir, feed.schema, 1), table, spec, ck)
     q.awaitTermination()
+    assert table.base_version(spark) == 2          # compacted after the third batch
     assert _sorted(table.current(spark)) == expect
 
 
@@ -54,9 +55,9 @@ def test_replayed_batch_is_idempotent(spark, scratch):
     t = Tables(spark, SF)
     feed = change_feed(t.events).drop("change_time")
     base = base_state(t.events)
-    table = st.VersionedTable(os.path.join(scratch, "dest"), base.schema)
-    table.commit(spark, base, -1)
-    spec = st.ApplySpec(keys=["user_id"], outcomes_path=os.path.join(scratch, "out"))
+    table = st.ChangeTable(os.path.join(scratch, "dest"), base.schema, keys=["user_id"])
+    table.init(spark, base)
+    spec = st.ApplySpec(compact_every=1, outcomes_path=os.path.join(scratch, "out"))
     st.apply_batch(spark, feed, 0, table, spec)
     first = _sorted(table.current(spark))
     st.apply_batch(spark, feed, 0, table, spec)        # the same batch again
@@ -64,6 +65,20 @@ def test_replayed_batch_is_idempotent(spark, scratch):
     assert spark.read.parquet(os.path.join(scratch, "out")).count() == feed.count()
 
 
+def test_merge_on_read_equals_copy(spark, scratch):
+    """Folding several delta batches at read time equals folding them one by one."""
+    t = Tables(spark, SF)
+    feed = change_feed(t.events).drop("change_time")
+    base = base_state(t.events)
+    table = st.ChangeTable(os.path.join(scratch, "dest"), base.schema, keys=["user_id"], mode="last_wins")
+    table.init(spark, base)
+    spec = st.ApplySpec(compact_every=0)
+    for b in range(3):
+        st.apply_batch(spark, feed.filter(F.col("lsn") % 3 == b).filter(F.col("lsn") >= 0), b, table, spec)
+    expect = _sorted(ch.apply_last_wins(base, feed, ["user_id"]))
+    assert _sorted(table.current(spark)) == expect
+
+
 def test_graph_cycle_and_logger(spark):
     with pytest.raises(ValueError, match="cycle"):
         topological_order([Node("a", "filter", {"condition": "true"}), Node("b", "filter", {"condition": "true"})],
