@@ -95,18 +95,21 @@ def s10(spark, sf_dir):
 
 
 @register("s11_event_log_sink", with_ctes(
-    "SELECT * FROM event_log WHERE event_date = DATE '2024-01-15'", "event_log"))
+    "SELECT * REPLACE (CAST(event_date AS VARCHAR) AS event_date) FROM event_log "
+    "WHERE event_date = DATE '2024-01-15'", "event_log"))
 def s11(spark, sf_dir):
     t = Tables(spark, sf_dir)
     path = _scratch(spark, "eventlog")
     io.write_event_log(event_log(t.events), path)
-    return spark.read.parquet(path).filter(F.col("event_date") == F.lit("2024-01-15").cast("date"))
+    back = spark.read.parquet(path).filter(F.col("event_date") == F.lit("2024-01-15").cast("date"))
+    return back.withColumn("event_date", F.col("event_date").cast("string"))   # dates shown as text
 
 
 @register("s12_latency_sink", with_ctes(
-    "SELECT *, CAST(destination_insert_time AS DATE) AS record_date FROM latency_metrics", "latency_metrics"))
+    "SELECT *, CAST(CAST(destination_insert_time AS DATE) AS VARCHAR) AS record_date FROM latency_metrics",
+    "latency_metrics"))
 def s12(spark, sf_dir):
     t = Tables(spark, sf_dir)
     path = _scratch(spark, "latency")
     io.write_latency(latency_metrics(t.events), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("record_date", F.col("record_date").cast("string"))

@@ -15,14 +15,16 @@ def _crm_erp(t, how):
     return MergeSpec(
         sources=(Source("crm", t.customer), Source("erp", t.orders, where="o_totalprice > 100000")),
         steps=(Step(how, "erp", "crm.c_custkey = erp.o_custkey"),),
+        # order_id is null on unmatched rows: shown as double so both engines
+        # hand the same representation to the comparison
         output=(("crm.c_custkey", "customer_id"), ("crm.c_name", "customer_name"),
-                ("erp.o_orderkey", "order_id"), ("erp.o_totalprice", "amount")))
+                ("CAST(erp.o_orderkey AS DOUBLE)", "order_id"), ("erp.o_totalprice", "amount")))
 
 
 def _join_sql(how):
     return f"""
 SELECT crm.c_custkey AS customer_id, crm.c_name AS customer_name,
-       erp.o_orderkey AS order_id, erp.o_totalprice AS amount
+       CAST(erp.o_orderkey AS DOUBLE) AS order_id, erp.o_totalprice AS amount
 FROM customer crm {how} JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) erp
 ON crm.c_custkey = erp.o_custkey
 """
@@ -54,7 +56,7 @@ WITH support AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   WHERE l.l_linestatus = 'O' GROUP BY o.o_custkey)
 SELECT crm.c_custkey AS customer_id, crm.c_name AS customer_name,
-       erp.o_totalprice AS lifetime_value, sup.open_count AS active_tickets
+       erp.o_totalprice AS lifetime_value, CAST(sup.open_count AS DOUBLE) AS active_tickets
 FROM customer crm
 LEFT JOIN orders erp ON crm.c_custkey = erp.o_custkey
 LEFT JOIN support sup ON crm.c_custkey = sup.customer_id AND sup.status = 'open'
@@ -78,7 +80,8 @@ def j5(spark, sf_dir):
         steps=(Step("left", "erp", "crm.c_custkey = erp.o_custkey"),
                Step("left", "sup", "crm.c_custkey = sup.customer_id")),
         output=(("crm.c_custkey", "customer_id"), ("crm.c_name", "customer_name"),
-                ("erp.o_totalprice", "lifetime_value"), ("sup.open_count", "active_tickets")))
+                ("erp.o_totalprice", "lifetime_value"),
+                ("CAST(sup.open_count AS DOUBLE)", "active_tickets")))
     return mg.run_merge(spark, spec)
 
 

@@ -164,11 +164,13 @@ def t5(spark, sf_dir):
 
 
 T7_SQL = with_ctes("""
-SELECT event_id, event_date FROM event_log WHERE event_date >= DATE '2024-01-31' - INTERVAL 10 DAY
+SELECT event_id, CAST(event_date AS VARCHAR) AS event_date FROM event_log
+WHERE event_date >= DATE '2024-01-31' - INTERVAL 10 DAY
 """, "event_log")
 
 
 @register("t7_log_retention", T7_SQL)
 def t7(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tm.retained(event_log(t.events), 10, "2024-01-31").select("event_id", "event_date")
+    return tm.retained(event_log(t.events), 10, "2024-01-31") \
+        .select("event_id", F.col("event_date").cast("string").alias("event_date"))
