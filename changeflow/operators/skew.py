@@ -16,10 +16,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ArrayType, BooleanType, ByteType, DateType, DecimalType, DoubleType,
+                               FloatType, IntegerType, LongType, MapType, ShortType, StructType,
+                               TimestampNTZType, TimestampType)
 
 DEFAULT_HOT_ROWS = 2_000_000      # events of one key handled by one task
 DEFAULT_MAX_HOT_KEYS = 100_000    # rows of the broadcast hot-key list
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
+
+
+def row_bytes(schema: StructType) -> int:
+    """Generous width of one row: fixed sizes for numbers and times, a
+    budget for text, binary and nested values."""
+    total = 16
+    for f in schema.fields:
+        dt = f.dataType
+        if isinstance(dt, (ByteType, BooleanType)):
+            total += 1
+        elif isinstance(dt, (ShortType, IntegerType, FloatType, DateType)):
+            total += 4
+        elif isinstance(dt, (LongType, DoubleType, TimestampType, TimestampNTZType)):
+            total += 8
+        elif isinstance(dt, DecimalType):
+            total += 16
+        elif isinstance(dt, StructType):
+            total += row_bytes(dt)
+        elif isinstance(dt, (ArrayType, MapType)):
+            total += 512
+        else:                       # strings, binary
+            total += 128
+    return total
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -27,10 +54,13 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise leave the
-    choice to the planner and AQE (which re-plans on measured sizes)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a proven bound: at most ``max_rows`` rows
+    and at most ``max_bytes`` by the generous per-row width.  Otherwise the
+    choice stays with the planner and AQE, which re-plans on measured sizes."""
+    rows = min(max_rows, max(1, max_bytes // row_bytes(df.schema)))
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def null_key(keys: Sequence[str]) -> Column:

@@ -110,3 +110,16 @@ def test_apply_mapping_kinds(spark):
     assert r["info"] == '{"first":"Ann","last":null}'
     assert r["arr"] == '["Ann",null]'
     assert r["full"] == "Ann " and r["p2"] == 5.0 and r["last2"] == "n/a"
+
+
+def test_broadcast_bound(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    from changeflow.operators.skew import broadcast_if_small, row_bytes
+    assert row_bytes(StructType([StructField("a", LongType()), StructField("b", StringType())])) == 152
+    df = spark.range(100).withColumnRenamed("id", "k")
+    small = broadcast_if_small(df, max_rows=1000)
+    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+    big = broadcast_if_small(df, max_rows=10)
+    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in broadcast_if_small(df, max_bytes=100)._jdf.queryExecution() \
+        .analyzed().toString().lower()
