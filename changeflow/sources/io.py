@@ -143,3 +143,33 @@ def table_profile(df: DataFrame, keys: Sequence[str] = (), with_count: bool = Tr
     if with_count:
         prof = prof.crossJoin(df.agg(F.count(F.lit(1)).alias("row_count")))
     return prof
+
+
+# ---------------------------------------------------------------- S11 / T7 on catalog tables
+
+def append_log_table(log: DataFrame, table: str, date_col: str = "event_date") -> None:
+    """S11 as a catalog table: append, one partition per day."""
+    log.write.mode("append").format("parquet").partitionBy(date_col).saveAsTable(table)
+
+
+def drop_old_partitions(spark: SparkSession, table: str, days: int, anchor: str,
+                        date_col: str = "event_date") -> list[str]:
+    """Drop the day partitions older than ``anchor - days`` (a managed
+    table's files go with them).  Only the partition list - one entry per
+    day - reaches the driver, never rows."""
+    cutoff = spark.sql(f"SELECT date_sub(DATE '{anchor}', {int(days)}) AS c").first()["c"]
+    parts = spark.sql(f"SHOW PARTITIONS {table}") \
+        .select(F.regexp_extract("partition", rf"{date_col}=([0-9-]+)", 1).alias("d")) \
+        .filter(F.col("d").cast("date") < F.lit(cutoff)).collect()
+    dropped = [r["d"] for r in parts]
+    for d in dropped:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({date_col} = DATE '{d}')")
+    return dropped
+
+
+def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    """S13 sink: write a long-form export as CSV (with header) or JSON lines."""
+    if fmt not in ("csv", "json"):
+        raise ValueError("export format is csv or json")
+    w = df.write.mode("overwrite")
+    (w.option("header", "true").csv(path) if fmt == "csv" else w.json(path))

@@ -13,7 +13,8 @@ SF001 = "/root/testdata/sf0.001"
 def spark():
     from changeflow.session import build_session, checkpoint_dir
     s = build_session("local[*]", app="changeflow-tests", shuffle_partitions=8,
-                      conf={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cf-tests-")})
+                      conf={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cf-tests-"),
+                            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="cf-wh-")})
     checkpoint_dir(s)
     yield s
     s.stop()

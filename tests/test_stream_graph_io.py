@@ -107,3 +107,23 @@ def test_profile_csv_sinks(spark, scratch):
     io.write_table(t.customer, os.path.join(scratch, "w"), "overwrite")
     io.write_table(t.customer, os.path.join(scratch, "w"), "overwrite")
     assert spark.read.parquet(os.path.join(scratch, "w")).count() == t.customer.count()
+
+
+def test_log_table_retention_and_export(spark, scratch):
+    from changeflow.operators import patterns as pt
+    from changeflow.sources.fixtures import customer_dest, event_log
+    t = Tables(spark, SF)
+    log = event_log(t.events)
+    io.append_log_table(log, "cf_event_log")
+    dropped = io.drop_old_partitions(spark, "cf_event_log", 10, "2024-01-31")
+    kept = spark.table("cf_event_log")
+    assert dropped and min(r["event_date"] for r in kept.select("event_date").distinct().collect()) \
+        .isoformat() >= "2024-01-21"
+    assert kept.count() == log.filter("event_date >= DATE '2024-01-21'").count()
+    spark.sql("DROP TABLE cf_event_log")
+    res = pt.analyze_sources([("a", t.customer), ("b", customer_dest(t.customer))],
+                             {"name": {"a": "c_name", "b": "c_name"}}, ["c_custkey"])
+    out = os.path.join(scratch, "export")
+    io.export_table(pt.export_long(res), out, "csv")
+    back = spark.read.option("header", "true").csv(out)
+    assert back.count() == pt.export_long(res).count() > 0
