@@ -321,3 +321,22 @@ def p9(spark, sf_dir):
     target = base_state(t.events).withColumn("first_seen", F.lit("seed"))
     return ch.apply_strict(target, change_feed(t.events), KEYS, insert_only=["first_seen"],
                            generated={"first_seen": "'generated'"})
+
+
+# C11 path for one mapping: switches, column mapping, fold
+C11M_SQL = with_ctes(f"""
+WITH folded AS ({C6_SQL.strip()})
+SELECT user_id AS customer_id, upper(event_type) AS kind, value * 2 AS amount FROM folded
+""")
+
+
+@register("c11_mapped_change_apply", C11M_SQL)
+def c11_mapped(spark, sf_dir):
+    from changeflow.operators.mapping import ColumnMap, TableMap, apply_mapping
+    t = Tables(spark, sf_dir)
+    m = TableMap((ColumnMap("customer_id", "user_id"),
+                  ColumnMap("kind", kind="expression", expression="upper(event_type)"),
+                  ColumnMap("amount", kind="expression", expression="value * 2")),
+                 keys=("customer_id",))
+    target = apply_mapping(base_state(t.events), m)
+    return ch.apply_mapped_changes(target, change_feed(t.events), m)

@@ -58,8 +58,6 @@ def strip_diacritics(c: Column | str, replacements: Mapping[str, str] | None = N
 
 
 def _nfd_strip(s):
-    import pandas as pd  # noqa: F401  (executed on executors)
-
     def one(v):
         if v is None:
             return None

@@ -350,3 +350,23 @@ def dimension_history(feed: DataFrame, keys: Sequence[str], time_col: str = "cha
                        F.col(time_col).alias("effective_date"),
                        nxt.alias("expiration_date"),
                        nxt.isNull().alias("is_current"))
+
+
+# ---------------------------------------------------------------- C11 pipeline
+
+def apply_mapped_changes(target: DataFrame, feed: DataFrame, mapping, mode: str = "strict",
+                         order: Sequence[str] = ORDER, op_col: str = "op_code") -> DataFrame:
+    """The per-mapping change path: operation switches of the mapping (F6),
+    the column mapping of the change rows (P1-P7, generated columns left for
+    the insert branch), then the strict (C6) or last-wins (C7) fold with the
+    mapping's keys and insert-only columns (P8-P10)."""
+    from changeflow.operators.mapping import apply_mapping
+    feed = enabled_operations(feed, mapping.sync_inserts, mapping.sync_updates,
+                              mapping.sync_deletes, op_col)
+    mapped = apply_mapping(feed, mapping, keep=[*order, op_col])
+    gen = {c.target: c.generated for c in mapping.columns if c.generated}
+    fold = apply_strict if mode == "strict" else apply_last_wins
+    if mode not in ("strict", "last_wins"):
+        raise ValueError(f"unknown apply mode {mode!r}")
+    return fold(target, mapped, list(mapping.keys), order, op_col,
+                mapping.insert_only_columns, gen)

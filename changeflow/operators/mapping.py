@@ -9,7 +9,7 @@ prunes every source column the mapping does not use.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,16 +115,17 @@ def compile_column(m: ColumnMap) -> Column:
 
 
 def apply_mapping(df: DataFrame, mapping: TableMap | Sequence[ColumnMap],
-                  generate: bool = False) -> DataFrame:
+                  generate: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Project ``df`` through the mapping (one narrow ``select``).
 
     With ``generate=True`` generated columns (P8/P9) take their generator
     expression - use this for rows known to be inserts.  Otherwise a generated
     column without a source is left null, to be filled by the load operator on
-    its insert branch.
+    its insert branch.  ``keep`` carries extra columns through unchanged
+    (change positions and operation codes of a feed).
     """
     cols = mapping.columns if isinstance(mapping, TableMap) else tuple(mapping)
-    out = []
+    out = [F.col(k) for k in keep]
     for m in cols:
         if m.generated and (generate or not m.source):
             c = F.expr(m.generated) if generate else F.lit(None)

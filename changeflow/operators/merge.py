@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.operators.skew import DEFAULT_BROADCAST_ROWS, broadcast_if_small, null_key
+from changeflow.operators.skew import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full_outer"}
 SET_OPS = ("union_all", "union", "intersect", "except")
