@@ -132,7 +132,7 @@ def s5_range(spark, sf_dir):
 
 
 S6_SQL = with_ctes("""
-SELECT p.source_id, p.min_lsn, p.max_lsn, o.max_lsn_overall
+SELECT p.source_id, p.min_lsn, p.max_lsn, o.max_lsn_overall, o.max_lsn_overall + 1 AS next_lsn
 FROM (SELECT source_id, min(lsn) AS min_lsn, max(lsn) AS max_lsn FROM change_feed GROUP BY source_id) p
 CROSS JOIN (SELECT max(lsn) AS max_lsn_overall FROM change_feed) o
 """, "change_feed")
@@ -247,7 +247,8 @@ def c12_tagged(spark, sf_dir):
 
 
 C20_SQL = with_ctes("""
-SELECT user_id, lsn, event_type, change_time AS effective_date,
+SELECT row_number() OVER (ORDER BY lsn, seqval) AS surrogate_key,
+       user_id, lsn, event_type, change_time AS effective_date,
        lead(change_time) OVER (PARTITION BY user_id ORDER BY lsn, seqval) AS expiration_date,
        lead(change_time) OVER (PARTITION BY user_id ORDER BY lsn, seqval) IS NULL AS is_current
 FROM change_feed
@@ -257,7 +258,8 @@ FROM change_feed
 @register("c20_dimension_history", C20_SQL)
 def c20_scd2(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return ch.dimension_history(change_feed(t.events), KEYS, columns=["lsn", "event_type"])
+    return ch.dimension_history(change_feed(t.events), KEYS, columns=["lsn", "event_type"],
+                                width=500, surrogate="surrogate_key")
 
 
 C22_SQL = with_ctes("""

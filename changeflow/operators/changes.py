@@ -86,13 +86,20 @@ def feed_range(feed: DataFrame, from_lsn=None, to_lsn=None, row_filter: str = "a
 
 
 def feed_bounds(feed: DataFrame, lsn_col: str = "lsn", source_col: str | None = None) -> DataFrame:
-    """Min position per feed (per source when given) and max overall."""
+    """Min position per feed (per source when given), max overall and the
+    next position to read from (an exclusive incremental read starts after
+    the max; for integral positions ``next_lsn`` = max + 1)."""
+    integral = isinstance(feed.schema[lsn_col].dataType, IntegralType)
     if source_col:
         per = feed.groupBy(source_col).agg(F.min(lsn_col).alias("min_lsn"),
                                            F.max(lsn_col).alias("max_lsn"))
         overall = feed.agg(F.max(lsn_col).alias("max_lsn_overall"))
-        return per.crossJoin(overall)   # 1-row side: a broadcast of one row
-    return feed.agg(F.min(lsn_col).alias("min_lsn"), F.max(lsn_col).alias("max_lsn"))
+        out = per.crossJoin(overall)   # 1-row side: a broadcast of one row
+        top = "max_lsn_overall"
+    else:
+        out = feed.agg(F.min(lsn_col).alias("min_lsn"), F.max(lsn_col).alias("max_lsn"))
+        top = "max_lsn"
+    return out.withColumn("next_lsn", F.col(top) + 1) if integral else out
 
 
 def enabled_operations(feed: DataFrame, inserts: bool = True, updates: bool = True,
@@ -338,18 +345,28 @@ def tag_sources(feeds: Mapping[str, DataFrame], aliases: Mapping[str, str] | Non
 
 
 def dimension_history(feed: DataFrame, keys: Sequence[str], time_col: str = "change_time",
-                      order: Sequence[str] = ORDER, columns: Sequence[str] | None = None) -> DataFrame:
+                      order: Sequence[str] = ORDER, columns: Sequence[str] | None = None,
+                      width: float = 1_000_000, surrogate: str | None = None) -> DataFrame:
     """C20: SCD type 2 rows from a feed - effective from the change time,
-    expiring at the next change of the key, current when none follows."""
-    from pyspark.sql import Window
+    expiring at the next change of the key, current when none follows.
+
+    The next change comes from the block-wise ``lead`` (no window over a
+    whole key; ``width`` positions per block); ``surrogate`` adds a dense
+    surrogate key in change order."""
+    from changeflow.operators.ordered import keyed_neighbor
+    from changeflow.operators.sequence import sequence_ids
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in feed.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-    nxt = F.lead(F.col(time_col)).over(w)
-    return feed.select(*keys, *cols,
-                       F.col(time_col).alias("effective_date"),
-                       nxt.alias("expiration_date"),
-                       nxt.isNull().alias("is_current"))
+    base = feed.select(*keys, *{c: None for c in [*cols, *order, time_col]})
+    nb = keyed_neighbor(base, keys, list(order), [time_col], width, "next", prefix="_next_")
+    nxt = F.col(f"_next_{time_col}")
+    out = nb.select(*keys, *cols, *[c for c in order if c not in cols],
+                    F.col(time_col).alias("effective_date"), nxt.alias("expiration_date"),
+                    nxt.isNull().alias("is_current"))
+    if surrogate:
+        out = sequence_ids(out, list(order), surrogate)
+    return out.select(*([surrogate] if surrogate else []), *keys, *cols,
+                      "effective_date", "expiration_date", "is_current")
 
 
 # ---------------------------------------------------------------- C11 pipeline

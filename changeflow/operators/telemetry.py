@@ -146,13 +146,15 @@ def run_counters(log: DataFrame, run_col: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- T4 / T5 / T7
 
-def query_log(log: DataFrame, start: str, end: str | None = None, table: str | None = None,
+def query_log(log: DataFrame, start: str | None = None, end: str | None = None, table: str | None = None,
               operation: str | None = None, status: str | None = None, limit: int | None = 100,
               date_col: str = "event_date", time_col: str = "logged_at") -> DataFrame:
-    """T4: events of a date range (partition pruned on ``date_col``), optionally
-    one table / operation / status, newest first, at most ``limit``."""
-    df = log.filter(F.col(date_col) >= F.lit(start).cast("date"))
-    df = df.filter(F.col(date_col) <= F.lit(end or start).cast("date"))
+    """T4: events of a date range (partition pruned on ``date_col``; default
+    today), optionally one table / operation / status, newest first, at most
+    ``limit``."""
+    lo = F.lit(start).cast("date") if start else F.current_date()
+    hi = F.lit(end).cast("date") if end else lo
+    df = log.filter((F.col(date_col) >= lo) & (F.col(date_col) <= hi))
     for col, val in (("source_table", table), ("operation", operation), ("status", status)):
         if val is not None:
             df = df.filter(F.col(col) == val)

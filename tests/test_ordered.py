@@ -46,3 +46,14 @@ def test_ordered_fold_multi_level(spark):
     for k, p, v in sorted(rows, key=lambda r: r[1]):
         expect[k] = v if k not in expect else reduce(lambda a, b: a + b, [expect[k], v])
     assert {r["k"]: r["v"] for r in got.collect()} == expect
+
+
+def test_sequence_ids_dense_and_ordered(spark):
+    from changeflow.operators.sequence import next_values, sequence_ids
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("v"))
+    out = sequence_ids(df, ["v"], "sid", start=10, partitions=7).collect()
+    pairs = sorted((r["v"], r["sid"]) for r in out)
+    assert [s for _, s in pairs] == list(range(10, 1010))
+    existing = spark.createDataFrame([(5,), (41,)], "sid long")
+    new = next_values(spark.range(3).withColumnRenamed("id", "v"), existing, "sid", ["v"])
+    assert sorted(r["sid"] for r in new.collect()) == [42, 43, 44]
