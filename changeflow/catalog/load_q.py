@@ -156,3 +156,25 @@ def p8(spark, sf_dir):
     mapped = apply_mapping(orders_delta(t.orders), m)
     gen = {c.target: c.generated for c in m.columns if c.generated}
     return ld.upsert(target, mapped, m.keys, insert_only=m.insert_only_columns, generated=gen)
+
+
+# P8 with a sequence generator: new rows continue the target's row numbers
+P8S_SQL = with_ctes("""
+WITH t AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderkey * 10 AS row_no FROM orders)
+SELECT d.o_orderkey, d.o_custkey, d.o_orderstatus, d.o_totalprice, t.row_no
+FROM orders_delta d JOIN t ON t.o_orderkey = d.o_orderkey
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, row_no FROM t
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_delta)
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+       (SELECT max(row_no) FROM t) + row_number() OVER (ORDER BY o_orderkey) AS row_no
+FROM orders_delta WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)
+""", "orders_delta")
+
+
+@register("p8_sequence_on_insert", P8S_SQL)
+def p8s(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    target = t.orders.select(*ORDER_COLS, (F.col("o_orderkey") * 10).alias("row_no"))
+    return ld.upsert(target, orders_delta(t.orders), ["o_orderkey"], generated={"row_no": ld.SEQUENCE})

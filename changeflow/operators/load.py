@@ -93,11 +93,32 @@ def upsert_actions(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return out.unionByName(src_null).unionByName(t_null)
 
 
+# generator marker: continue a sequence column (``NEXT VALUE FOR`` a sequence)
+SEQUENCE = "NEXT VALUE FOR SEQUENCE"
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            order: Sequence[str] | Column | None = None, insert_only: Sequence[str] = (),
            generated: Mapping[str, str] | None = None) -> DataFrame:
-    """Destination after the upsert."""
-    return upsert_actions(target, source, keys, order, insert_only, generated).drop("_action")
+    """Destination after the upsert.
+
+    A generated column whose generator is ``SEQUENCE`` continues the target's
+    numbering on inserted rows only (``max + 1, ...`` in key order, assigned
+    with ``sequence.next_values`` - no single-partition window)."""
+    generated = dict(generated or {})
+    seq = [c for c, g in generated.items() if g == SEQUENCE]
+    if not seq:
+        return upsert_actions(target, source, keys, order, insert_only, generated).drop("_action")
+    from pyspark import StorageLevel
+    from changeflow.operators.sequence import next_values
+    gen = {c: (f"CAST(NULL AS {target.schema[c].dataType.simpleString()})" if c in seq else g)
+           for c, g in generated.items()}
+    acts = upsert_actions(target, source, keys, order, [*insert_only, *seq], gen) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    inserted = acts.filter(F.col("_action") == "insert").drop("_action")
+    for c in seq:
+        inserted = next_values(inserted.drop(c), target, c, list(keys)).select(*target.columns)
+    return acts.filter(F.col("_action") != "insert").drop("_action").unionByName(inserted)
 
 
 def upsert_counts(actions: DataFrame) -> DataFrame:

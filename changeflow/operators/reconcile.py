@@ -184,14 +184,16 @@ def verify_rows(source_mapped: DataFrame, destination: DataFrame, keys: Sequence
 
 
 def verification_summary(rows: DataFrame, source: DataFrame, destination: DataFrame,
-                         mismatch_limit: int = 10) -> tuple[DataFrame, DataFrame]:
+                         keys: Sequence[str], mismatch_limit: int = 10) -> tuple[DataFrame, DataFrame]:
     """Q2/Q3 report: (one summary row, first ``mismatch_limit`` mismatches by
     key).  The mismatch list is a top-k report; the counts cover all rows."""
     counts = row_count_compare(source, destination)
     checked = rows.filter(F.col("status") != "missing_in_source").agg(
         F.count(F.lit(1)).alias("samples_checked"),
         F.count(F.when(F.col("status") == "matched", 1)).alias("samples_matched"))
-    return counts.crossJoin(checked), rows.filter(F.col("status").isin("different", "missing_in_destination"))
+    bad = rows.filter(F.col("status").isin("different", "missing_in_destination")) \
+        .orderBy(*keys).limit(mismatch_limit)
+    return counts.crossJoin(checked), bad
 
 
 def sampled_verification(source_mapped: DataFrame, destination: DataFrame, keys: Sequence[str],
