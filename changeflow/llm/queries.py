@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeflow.llm import bpe_replay, decontaminate, langid, token_attribution, token_store
+from changeflow.llm import bpe_replay, decontaminate, langid, license_scan, token_attribution, token_store
 from changeflow.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-store")
