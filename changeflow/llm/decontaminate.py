@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from changeflow.llm.common import alnum_words, filesystem, new_path, text_slices
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# a word of the original text: lower case is not applied yet
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 OUTPUT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
