@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeflow.llm import bpe_replay, decontaminate, langid, license_scan, token_attribution, token_store
+from changeflow.llm import bpe_replay, decontaminate, langid, license_scan, token_attribution, token_store, warc
 from changeflow.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(token_store.read_store(spark, folder))
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"), folder), folder)
+    return warc.digest(warc.read_archives(spark, folder))
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
