@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import bpe_replay, decontaminate, langid, license_scan, rp_forest, token_attribution, token_store, warc
+from changeflow.llm import bpe_replay, decontaminate, langid, license_scan, rp_forest, substring_dedup, token_attribution, token_store, warc
 from changeflow.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
