@@ -30,12 +30,16 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import ChunkEncoder, text_slices
+from changeflow.llm.common import ChunkEncoder, kept_in_worker, ranges, text_slices
+
+
+BLOCK_WORDS = 50_000      # distinct words replayed together: bounds the linked lists
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -147,65 +151,77 @@ class ReplayEncoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.replay, self.pattern = MergeReplay(tokens), regex.compile(pattern)
 
-    def __call__(self, chunks: list[str]) -> list[list[int]]:
+    def __call__(self, chunks: list[str], alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         words = [self.pattern.findall(c) for c in chunks]
-        distinct = list(dict.fromkeys(itertools.chain.from_iterable(words)))
-        ids = dict(zip(distinct, self.replay([w.encode() for w in distinct])))
-        return [[i for w in own for i in ids[w]] for own in words]
+        distinct = dict.fromkeys(itertools.chain.from_iterable(words))
+        data = [w.encode() for w in distinct]
+        blocks = (self.replay(data[i:i + BLOCK_WORDS]) for i in range(0, len(data), BLOCK_WORDS))
+        ids = dict(zip(distinct, itertools.chain.from_iterable(blocks)))
+        coded = [ids[w] for own in words for w in own]
+        flat = np.fromiter(itertools.chain.from_iterable(coded), np.int64)
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
+        return flat, np.diff(sums[np.concatenate([[0], np.cumsum(n_words)])])
+
+
+def _encode(batches, ranks_path: str, pattern: str, names: list[str]):
+    encoder = kept_in_worker(f"replay {ranks_path} {pattern}",
+                             lambda: ChunkEncoder(ReplayEncoder(read_ranks(ranks_path), pattern)))
+    for batch in text_slices(batches):
+        ids, lengths = encoder(batch.column("text"))
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names)
+
+
+def _decode(batches, ranks_path: str, ids: str, names: list[str]):
+    tokens = read_ranks(ranks_path)
+    size = np.array([len(t) for t in tokens], np.int64)
+    start = np.cumsum(size) - size
+    table = np.frombuffer(b"".join(tokens), np.uint8)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            own = part.column(ids)
+            flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(size) or not size[flat].all()):
+                raise ValueError("an id is not in the vocabulary")
+            counts = pc.fill_null(own.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data = table[ranges(start[flat], size[flat])]
+            ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(counts)])]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.Array.from_buffers(
+                pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])], names)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, result: str = "ids") -> DataFrame:
     """``docs`` and an array<int> column of the ids of each whole text."""
     kept = docs.drop(result)
     names = [*kept.columns, result]
-
-    def run(batches):
-        encoder = ChunkEncoder(ReplayEncoder(read_ranks(ranks_path), pattern))
-        for batch in text_slices(batches):
-            ids, lengths = encoder(batch.column("text").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
-                names=names)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(result, T.ArrayType(T.IntegerType()))]))
+    return kept.mapInArrow(lambda batches: _encode(batches, ranks_path, pattern, names),
+                           T.StructType([*kept.schema.fields, T.StructField(result, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", result: str = "decoded") -> DataFrame:
     """``encoded`` and a binary column of the bytes of each id array."""
     kept = encoded.drop(result)
     names = [*kept.columns, result]
+    return kept.mapInArrow(lambda batches: _decode(batches, ranks_path, ids, names),
+                           T.StructType([*kept.schema.fields, T.StructField(result, T.BinaryType())]))
+
 
-    def run(batches):
-        tokens = read_ranks(ranks_path)
-        size = np.array([len(t) for t in tokens], np.int64)
-        start = np.cumsum(size) - size
-        table = np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = part.column(ids)
-                flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(size) or not size[flat].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                counts = np.array([0 if x is None else x for x in own.value_lengths().to_pylist()], np.int64)
-                data = _gather(table, start[flat], size[flat])
-                ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(counts)])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.Array.from_buffers(
-                    pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])],
-                    names=names)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(result, T.BinaryType())]))
-
-
-def _gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes of many slices of ``table``, in order."""
-    from changeflow.llm.common import ranges
-    return table[ranges(starts, sizes)]
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``encode`` and then ``decode`` in one pass of one Python worker: the
+    columns of ``docs``, ids, and decoded."""
+    kept = docs.drop("ids", "decoded")
+    coded = [*kept.columns, "ids"]
+    return kept.mapInArrow(lambda batches: _decode(_encode(batches, ranks_path, pattern, coded), ranks_path, "ids", [*coded, "decoded"]),
+                           T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                                         T.StructField("decoded", T.BinaryType())]))
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The registered query's columns: ids digested, decoded again, digested."""
-    coded = encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text")
-    return decode(coded, ranks_path).select(
+    return round_trip(docs.select("doc_id", "text"), ranks_path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

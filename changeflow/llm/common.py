@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from changeflow.session import scratch_path
 
-SLICE_BYTES = 8 << 20      # text handled at once by a Python worker
+SLICE_BYTES = 4 << 20      # text handled at once by a Python worker
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -85,8 +85,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-_TOUCHING = re.compile(r"\s\s|^\s|\s$")
+# White space other than single blanks and line ends between two characters.
+_OTHER_SPACE = (r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}"
+                r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+_ALONE = "\n\n"
 
 
 class ChunkEncoder:
@@ -94,68 +97,130 @@ class ChunkEncoder:
 
     A single blank or line end between two other characters always starts a
     new match of the byte-level BPE pre-tokenizer's pattern, so a text's ids
-    are the ids of its chunks in order.  ``encode`` maps a list of chunks to
-    their ids.  The memo is dropped beyond ``max_chunks`` entries or
-    ``max_chars`` characters.
+    are the ids of its chunks in order.  Texts with other white space are cut
+    at such blanks only.  ``encode`` maps a list of chunks, and whether each
+    must be encoded alone, to (all ids, number of ids of each chunk).  Beyond
+    ``max_chunks`` entries or ``max_chars`` characters the memo keeps the half
+    of its entries that were used most.
+
+    A chunk's memo key is the chunk without its blank, or with its line end;
+    after two line ends it is a chunk that must be encoded alone.
     """
 
-    def __init__(self, encode, max_chunks: int = 500_000, max_chars: int = 32 << 20):
+    def __init__(self, encode, max_chunks: int = 300_000, max_chars: int = 16 << 20):
         self.encode, self.max_chunks, self.max_chars = encode, max_chunks, max_chars
-        self._reset()
-
-    def _reset(self) -> None:
         self.pending: list[str] = []
         self.index = _Index(self.pending)
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.chars = 0
 
-    @staticmethod
-    def keys(text: str) -> list[str]:
-        """Chunks as memo keys: a key stands for itself after a blank, after
-        '\\n' if it starts with one, or alone if it starts with two."""
-        if not text:
-            return []
-        if _TOUCHING.search(text):
-            pieces = _SINGLE.split(text)
-            return ["\n\n" + pieces[0], *("\n\n " + p for p in pieces[1:])]
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\n\n" + pieces[0]
-        return pieces
+    def _trim(self) -> None:
+        keys = list(self.index)
+        size = np.fromiter(map(len, keys), np.int64, len(keys))
+        by_use = np.argsort(-self.uses, kind="stable")[:self.max_chunks // 2]
+        kept = np.sort(by_use[np.cumsum(size[by_use]) <= self.max_chars // 2])
+        self.pending = []
+        self.index = _Index(self.pending)
+        self.index.update((keys[k], i) for i, k in enumerate(kept.tolist()))
+        lengths = self.lengths[kept]
+        self.ids = self.ids[ranges(self.starts[kept], lengths)]
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+        self.uses, self.chars = self.uses[kept], int(size[kept].sum())
 
     @staticmethod
-    def literal(key: str) -> str:
-        return key[2:] if key.startswith("\n\n") else key if key[0] == "\n" else " " + key
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
-        keys: list[str] = []
+    def _chunk(key: str) -> str:
+        return key[2:] if key.startswith(_ALONE) else key if key[:1] == "\n" else " " + key
+
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(memo places of all chunks in order, chunks of each text)."""
+        texts = texts.cast(pa.large_string())
+        present = pc.fill_null(pc.not_equal(texts, ""), False)
+        odd = pc.and_(present, pc.fill_null(pc.match_substring_regex(texts, _OTHER_SPACE), False))
+        plain = pc.and_(present, pc.invert(odd))
         n_keys = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                own = self.keys(t)
-                n_keys[i] = len(own)
-                keys += own
-        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        start = np.zeros(len(texts), np.int64)
+        own = pc.replace_substring(texts.filter(plain), "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_ALONE, pa.large_string()), own, pa.scalar("", pa.large_string())), " ")
+        coded = lists.flatten().dictionary_encode()
+        memo = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        places = [memo[coded.indices.to_numpy()]]
+        rows = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        n_keys[rows] = pc.list_value_length(lists).to_numpy()
+        start[rows] = np.cumsum(n_keys[rows]) - n_keys[rows]
+        at = len(places[0])
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            first, *rest = _SINGLE.split(texts[i].as_py())
+            keys = [_ALONE + first, *(f"{_ALONE} {p}" for p in rest)]
+            places.append(np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys)))
+            start[i], n_keys[i] = at, len(keys)
+            at += len(keys)
+        if len(places) == 1:
+            return places[0], n_keys
+        return np.concatenate(places)[ranges(start, n_keys)], n_keys
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text)."""
+        at, n_keys = self._places(texts)
         if self.pending:
-            chunks = [self.literal(k) for k in self.pending]
+            chunks = [self._chunk(k) for k in self.pending]
+            flat, lengths = self.encode(chunks, [k.startswith(_ALONE) for k in self.pending])
             self.chars += sum(map(len, chunks))
             self.pending.clear()
-            coded = self.encode(chunks)
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((x for ids in coded for x in ids), np.uint32, int(lengths.sum()))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, flat])
+            self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.index) - len(self.uses), np.int64)])
+        self.uses += np.bincount(at, minlength=len(self.uses))
         length = self.lengths[at]
         ids = self.ids[ranges(self.starts[at], length)]
         ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n_keys)])]
         if len(self.index) > self.max_chunks or self.chars > self.max_chars:
-            self._reset()
+            self._trim()
         return ids, np.diff(ends)
 
 
+def joined(encode_all, token_bytes: np.ndarray, group: int = 50):
+    """A chunk encoder over ``encode_all`` (list of texts -> list of id lists).
+
+    Chunks that need not be alone are encoded as one text of up to ``group``
+    chunks; the ids' byte lengths tell the chunks apart again."""
+    def encode(chunks: list[str], alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        texts: list[str] = []
+        held: list[str] = []
+        for chunk, single in zip(chunks, alone):
+            if single or len(held) == group:
+                if held:
+                    texts.append("".join(held))
+                held = []
+            if single:
+                texts.append(chunk)
+            else:
+                held.append(chunk)
+        if held:
+            texts.append("".join(held))
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in encode_all(texts))])
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        covered = np.cumsum(token_bytes[ids])
+        last = np.searchsorted(covered, ends)
+        if len(ends) and not (covered[last] == ends).all():
+            raise ValueError("a token crosses the end of a chunk")
+        return ids, np.diff(last + 1, prepend=0)
+    return encode
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(name: str, make):
+    """``make()``, kept by this Python worker for its later tasks."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class _Index(dict):
     """Numbers keys in order of appearance and notes the new ones."""
 

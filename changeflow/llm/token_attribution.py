@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import ChunkEncoder, text_slices
+from changeflow.llm.common import ChunkEncoder, joined, kept_in_worker, text_slices
 
 RULES = ("first", "last", "split")
 _ADDED = [("field", pa.string()), ("section", pa.int32()), ("char_start", pa.int64()),
@@ -53,7 +53,7 @@ def rank_encoder(ranks_path: str, pattern: str):
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
-    return ChunkEncoder(lambda chunks: [coding.encode_ordinary(c) for c in chunks]), lengths
+    return ChunkEncoder(joined(lambda texts: [coding.encode_ordinary(t) for t in texts], lengths)), lengths
 
 
 def section_bounds(data: bytes, separator: re.Pattern) -> np.ndarray:
@@ -92,7 +92,7 @@ def attribute(docs: DataFrame, ranks_path: str, pattern: str, fields: tuple[str,
     columns = tuple(f"text_{i}" for i in range(len(fields)))
 
     def count(batches):
-        encoder, token_bytes = rank_encoder(ranks_path, pattern)
+        encoder, token_bytes = kept_in_worker(f"ranks {ranks_path} {pattern}", lambda: rank_encoder(ranks_path, pattern))
         for batch in text_slices(batches, columns):
             parts = [batch.column(c).to_pylist() for c in columns]
             texts, rows = [], []            # joined texts; per document its (field, bytes, start)
@@ -104,7 +104,7 @@ def attribute(docs: DataFrame, ranks_path: str, pattern: str, fields: tuple[str,
                     at += len(v) + len(joiner.encode())
                 texts.append(joiner.join(v.decode() for _, v in present))
                 rows.append(own)
-            ids, lengths = encoder(texts)
+            ids, lengths = encoder(pa.array(texts, pa.string()))
             ends = np.cumsum(token_bytes[ids])
             starts = ends - token_bytes[ids]
             last = np.cumsum(lengths)

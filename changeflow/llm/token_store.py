@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import ChunkEncoder, filesystem, text_slices
+from changeflow.llm.common import ChunkEncoder, filesystem, joined, kept_in_worker, text_slices
 from changeflow.llm.elias_fano import EliasFano
 
 END_ID = 2
@@ -47,7 +47,12 @@ def library_encoder(tokenizer_path: str):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path)
     tok.encode_special_tokens = True
-    return ChunkEncoder(lambda chunks: [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)])
+    vocab = tok.get_vocab(with_added_tokens=True)
+    token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        token_bytes[i] = len(token)          # byte-level tokens have a character for each byte
+    return ChunkEncoder(joined(
+        lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], token_bytes))
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
@@ -101,10 +106,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
 
     def write(batches):
         from pyspark import TaskContext
-        part, seq, out, encoder = TaskContext.get().partitionId(), 0, None, library_encoder(tokenizer_path)
+        part, seq, out, encoder = TaskContext.get().partitionId(), 0, None, kept_in_worker(
+            f"library {tokenizer_path}", lambda: library_encoder(tokenizer_path))
         rows: list[tuple] = []
         for batch in text_slices(batches):
-            ids, lengths = encoder(batch.column("text").to_pylist())
+            ids, lengths = encoder(batch.column("text"))
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             lengths = lengths + 1
             out = out or _Files(files, width)
