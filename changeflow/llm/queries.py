@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import bpe_replay, decontaminate, langid, license_scan, rp_forest, substring_dedup, token_attribution, token_store, warc
+from changeflow.llm import bpe_replay, decontaminate, jaccard_join, langid, license_scan, rp_forest, substring_dedup, token_attribution, token_store, warc
 from changeflow.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_attribution.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                        public_tokenizers.PATTERN)
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
