@@ -36,11 +36,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import _Index, text_slices
+from changeflow.llm.common import _Index, stored, text_slices
 
 DOCS_PER_LANG = 400
 CHARS_PER_DOC = 4_000
 CHARS_PER_LANG = 120_000
+MAX_LANGS = 500           # more distinct values of lang are an error
 MEMO_WORDS = 500_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -101,14 +102,17 @@ def phrases(go: list[dict[str, int]], text: str) -> int:
     return n + (state != 0)
 
 
-def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG,
-                  chars_per_doc: int = CHARS_PER_DOC) -> DataFrame:
-    """(lang, text): the bounded sample; text cut to whole words."""
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")
-    return (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-            .select("doc_id", "lang", F.substring("text", 1, chars_per_doc).alias("text"))
-            .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_lang)
-            .select("lang", "text"))
+def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """(lang, text): the bounded sample.  The rows are chosen by hash alone,
+    first within 64 parts of each language, and their texts fetched after."""
+    h = F.xxhash64("doc_id", "text")
+    taught = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    chosen = taught.select("lang", h.alias("h"))
+    for keys in (("lang", F.pmod(F.col("h"), F.lit(64))), ("lang",)):
+        first = W.partitionBy(*keys).orderBy("h")
+        chosen = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_lang).drop("n")
+    chosen = stored(chosen.distinct(), "chosen")
+    return taught.select("lang", "text", h.alias("h")).join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).drop("h")
 
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC,
@@ -117,11 +121,13 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int
     (``chars_per_lang`` a language) that each worker builds automata from."""
     def join(pdf):
         import pandas as pd
-        words = [w for t in sorted(pdf["text"]) for w in dict.fromkeys(letters(t))]
+        words = [w for t in sorted(pdf["text"].str[:chars_per_doc]) for w in dict.fromkeys(letters(t))]
         line = " ".join(dict.fromkeys(words))[:chars_per_lang]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "text": [f" {line} " if line else ""]})
-    rows = (training_text(docs, docs_per_lang, chars_per_doc).groupBy("lang")
-            .applyInPandas(join, "lang string, text string").collect())
+    rows = (training_text(docs, docs_per_lang).groupBy("lang")
+            .applyInPandas(join, "lang string, text string").limit(MAX_LANGS + 1).collect())
+    if len(rows) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     return {r.lang: r.text for r in rows if r.text}
 
 
