@@ -246,12 +246,15 @@ def c12_tagged(spark, sf_dir):
     return tagged.select("lsn", "user_id", "_source_id", "_source_alias")
 
 
+# versions are inserts and after-images; a delete ends the version before it
 C20_SQL = with_ctes("""
 SELECT row_number() OVER (ORDER BY lsn, seqval) AS surrogate_key,
-       user_id, lsn, event_type, change_time AS effective_date,
-       lead(change_time) OVER (PARTITION BY user_id ORDER BY lsn, seqval) AS expiration_date,
-       lead(change_time) OVER (PARTITION BY user_id ORDER BY lsn, seqval) IS NULL AS is_current
-FROM change_feed
+       user_id, lsn, event_type, effective_date, expiration_date, next_lsn IS NULL AS is_current FROM (
+  SELECT *, change_time AS effective_date,
+         lead(change_time) OVER (PARTITION BY user_id ORDER BY lsn, seqval) AS expiration_date,
+         lead(lsn) OVER (PARTITION BY user_id ORDER BY lsn, seqval) AS next_lsn
+  FROM change_feed WHERE op_code <> 3)
+WHERE op_code <> 1
 """, "change_feed")
 
 
@@ -259,7 +262,27 @@ FROM change_feed
 def c20_scd2(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return ch.dimension_history(change_feed(t.events), KEYS, columns=["lsn", "event_type"],
-                                width=500, surrogate="surrogate_key")
+                                surrogate="surrogate_key")
+
+
+def binary_lsn(feed):
+    """The feed with 10-byte positions that sort as the numeric ones do."""
+    return feed.withColumn("lsn_no", F.col("lsn")).withColumn("lsn", F.unhex(F.lpad(F.hex("lsn_no"), 20, "0")))
+
+
+C20_NULLS_SQL = C20_SQL.replace("user_id, lsn, event_type", "k AS user_id, lsn, event_type").replace(
+    "PARTITION BY user_id", "PARTITION BY k").replace(
+    "SELECT *, change_time", "SELECT *, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS k, change_time").replace(
+    "PARTITION BY k", "PARTITION BY CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END")
+
+
+@register("c20_dimension_history_nulls", C20_NULLS_SQL)
+def c20_nulls(spark, sf_dir):
+    """Null keys are a key of their own; positions are binary."""
+    feed = binary_lsn(change_feed(Tables(spark, sf_dir).events))
+    feed = feed.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    out = ch.dimension_history(feed, KEYS, columns=["lsn_no", "event_type"], surrogate="surrogate_key")
+    return out.withColumnRenamed("lsn_no", "lsn")
 
 
 C22_SQL = with_ctes("""
@@ -281,10 +304,27 @@ FROM l
 @register("c22_event_outcomes", C22_SQL)
 def c22_outcomes(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = ch.strict_outcomes(change_feed(t.events), base_state(t.events), KEYS, block=500)
+    out = ch.strict_outcomes(change_feed(t.events), base_state(t.events), KEYS)
     return out.select("lsn", "user_id", "op_code", "status")
 
 
+# null keys never match a row: inserts and deletes are processed, updates fail
+C22_NULLS_SQL = C22_SQL.rstrip() + """ WHERE user_id % 5 <> 0
+UNION ALL SELECT lsn, NULL, op_code, CASE WHEN op_code = 4 THEN 'failed' ELSE 'processed' END
+FROM change_feed WHERE user_id % 5 = 0
+"""
+
+
+@register("c22_event_outcomes_nulls", C22_NULLS_SQL)
+def c22_nulls(spark, sf_dir):
+    """Events with null keys, on binary positions."""
+    t = Tables(spark, sf_dir)
+    feed = binary_lsn(change_feed(t.events))
+    feed = feed.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    out = ch.strict_outcomes(feed, base_state(t.events), KEYS)
+    return out.select(F.col("lsn_no").alias("lsn"), "user_id", "op_code", "status")
+
+
 # Deletes switched off for the mapping, then the strict fold
 C8_SQL = C6_SQL.replace("op_code IN (1, 2, 4)", "op_code IN (2, 4)")
 assert C8_SQL != C6_SQL

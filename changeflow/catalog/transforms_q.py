@@ -9,7 +9,6 @@ from changeflow.catalog import register
 from changeflow.operators import transforms as tf
 from changeflow.sources.fixtures import Tables
 
-DAY_US = 86_400_000_000          # block width for timestamp orders: one day
 EV_ORDER = ["ts", "event_id"]
 
 
@@ -89,7 +88,7 @@ SELECT event_id, user_id, event_type FROM (
 def f7(spark, sf_dir):
     t = Tables(spark, sf_dir)
     ev = t.events.select("event_id", "user_id", "event_type", "ts")
-    return tf.on_change(ev, ["user_id"], EV_ORDER, ["event_type"], DAY_US) \
+    return tf.on_change(ev, ["user_id"], EV_ORDER, ["event_type"]) \
         .select("event_id", "user_id", "event_type")
 
 
@@ -246,8 +245,8 @@ SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
 @register("w4_row_number", W4_SQL)
 def w4(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tf.with_row_number(t.events.select("event_id", "user_id", "ts"), ["user_id"], EV_ORDER,
-                              DAY_US).select("event_id", "user_id", "rn")
+    return tf.with_row_number(t.events.select("event_id", "user_id", "ts"), ["user_id"], EV_ORDER) \
+        .select("event_id", "user_id", "rn")
 
 
 W5_SQL = """
@@ -258,7 +257,7 @@ SELECT event_id, user_id, rank() OVER (PARTITION BY user_id ORDER BY value) AS r
 @register("w5_rank", W5_SQL)
 def w5(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tf.with_rank(t.events.select("event_id", "user_id", "value"), ["user_id"], ["value"], 5.0) \
+    return tf.with_rank(t.events.select("event_id", "user_id", "value"), ["user_id"], ["value"]) \
         .select("event_id", "user_id", "rnk")
 
 
@@ -271,7 +270,7 @@ SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, eve
 @register("w6_lag", W6_SQL)
 def w6(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tf.with_lag(t.events, ["user_id"], EV_ORDER, ["value", "event_type"], DAY_US) \
+    return tf.with_lag(t.events, ["user_id"], EV_ORDER, ["value", "event_type"]) \
         .select("event_id", "user_id", "prev_value", "prev_event_type")
 
 
@@ -284,9 +283,75 @@ SELECT event_id, user_id, lead(value) OVER (PARTITION BY user_id ORDER BY ts, ev
 @register("w7_lead", W7_SQL)
 def w7(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tf.with_lead(t.events, ["user_id"], EV_ORDER, ["value", "ts"], DAY_US) \
+    return tf.with_lead(t.events, ["user_id"], EV_ORDER, ["value", "ts"]) \
         .select("event_id", "user_id", "next_value", "next_ts")
 
+# null keys, null order values and repeated order values
+SPARSE_SQL = """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS k,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 11 END AS p, event_type, value FROM events
+"""
+
+
+def sparse_events(t):
+    e = F.col("event_id")
+    return t.events.select("event_id", F.when(e % 7 != 0, F.col("user_id")).alias("k"),
+                           F.when(e % 5 != 0, e % 11).alias("p"), "event_type", "value")
+
+
+def w_nulls(columns: str) -> str:
+    return f"SELECT * FROM (WITH s AS ({SPARSE_SQL}) SELECT event_id, k, {columns} FROM s)"
+
+
+@register("w4_row_number_nulls", w_nulls("""row_number() OVER (PARTITION BY k ORDER BY p, event_id) AS rn,
+   row_number() OVER (PARTITION BY k ORDER BY p DESC, event_id DESC) AS rn_desc,
+   row_number() OVER (ORDER BY event_id) AS rn_all"""))
+def w4_nulls(spark, sf_dir):
+    df = tf.with_row_number(sparse_events(Tables(spark, sf_dir)), ["k"], ["p", "event_id"])
+    df = tf.with_row_number(df, ["k"], ["p", "event_id"], "rn_desc", descending=True)
+    return tf.with_row_number(df, [], ["event_id"], "rn_all").select("event_id", "k", "rn", "rn_desc", "rn_all")
+
+
+@register("w5_rank_nulls", w_nulls("""rank() OVER (PARTITION BY k ORDER BY p) AS rnk,
+   rank() OVER (PARTITION BY k ORDER BY p DESC) AS rnk_desc"""))
+def w5_nulls(spark, sf_dir):
+    df = tf.with_rank(sparse_events(Tables(spark, sf_dir)), ["k"], ["p"])
+    return tf.with_rank(df, ["k"], ["p"], "rnk_desc", descending=True).select("event_id", "k", "rnk", "rnk_desc")
+
+
+@register("w6_lag_nulls", w_nulls("""lag(value) OVER (PARTITION BY k ORDER BY p, event_id) AS prev_value,
+   lag(event_type) OVER (PARTITION BY k ORDER BY p DESC, event_id DESC) AS desc_event_type"""))
+def w6_nulls(spark, sf_dir):
+    df = tf.with_lag(sparse_events(Tables(spark, sf_dir)), ["k"], ["p", "event_id"], ["value"])
+    return tf.with_lag(df, ["k"], ["p", "event_id"], ["event_type"], "desc_", descending=True) \
+        .select("event_id", "k", "prev_value", "desc_event_type")
+
+
+@register("w7_lead_nulls", w_nulls("""lead(value) OVER (PARTITION BY k ORDER BY p, event_id) AS next_value,
+   lead(event_id) OVER (ORDER BY event_id) AS next_event_id"""))
+def w7_nulls(spark, sf_dir):
+    df = tf.with_lead(sparse_events(Tables(spark, sf_dir)), ["k"], ["p", "event_id"], ["value"])
+    return tf.with_lead(df, [], ["event_id"], ["event_id"]).select("event_id", "k", "next_value", "next_event_id")
+
+
+@register("f7_on_change_nulls", f"""
+SELECT event_id, k, event_type FROM (WITH s AS ({SPARSE_SQL})
+  SELECT *, lag(event_type) OVER w AS prev_type, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY k ORDER BY p, event_id))
+WHERE rn = 1 OR prev_type IS DISTINCT FROM event_type
+""")
+def f7_nulls(spark, sf_dir):
+    return tf.on_change(sparse_events(Tables(spark, sf_dir)), ["k"], ["p", "event_id"], ["event_type"]) \
+        .select("event_id", "k", "event_type")
+
+
+@register("f7_on_change_binary", F7_SQL)
+def f7_binary(spark, sf_dir):
+    """F7 over 10-byte positions: the timestamp's microseconds and the id."""
+    t = Tables(spark, sf_dir)
+    ev = t.events.withColumn("pos", F.unhex(F.concat(F.lpad(F.hex(F.unix_micros(F.col("ts").cast("timestamp"))), 14, "0"),
+                                                     F.lpad(F.hex("event_id"), 6, "0"))))
+    return tf.on_change(ev, ["user_id"], ["pos"], ["event_type"]).select("event_id", "user_id", "event_type")
+
 
 # ------------------------------------------------------------------ A1 - A4, A13 - A15
 
@@ -364,7 +429,7 @@ FROM customer GROUP BY c_nationkey
 @register("a13_string_aggregate", A13_SQL)
 def a13(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tf.string_agg(t.customer, ["c_nationkey"], "c_mktsegment")
+    return tf.string_agg(t.customer, ["c_nationkey"], "c_mktsegment", distinct=True)
 
 
 A14_SQL = """
@@ -377,7 +442,7 @@ FROM customer GROUP BY c_nationkey
 def a14(spark, sf_dir):
     """Array result, shown as text for the comparison."""
     t = Tables(spark, sf_dir)
-    out = tf.array_agg(t.customer, ["c_nationkey"], "c_mktsegment")
+    out = tf.array_agg(t.customer, ["c_nationkey"], "c_mktsegment", distinct=True)
     return out.select("c_nationkey", F.col("c_mktsegment_array").cast("string").alias("c_mktsegment_array"))
 
 
@@ -390,3 +455,51 @@ SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS median_l_quantity FROM li
 def a15(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return tf.median(t.lineitem, ["l_returnflag"], "l_quantity")
+
+
+A13_ALL_SQL = """
+SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS c_mktsegment_list
+FROM customer GROUP BY c_nationkey
+"""
+
+
+@register("a13_string_aggregate_all", A13_ALL_SQL)
+def a13_all(spark, sf_dir):
+    return tf.string_agg(Tables(spark, sf_dir).customer, ["c_nationkey"], "c_mktsegment")
+
+
+A14_ALL_SQL = """
+SELECT c_nationkey, CAST(list(c_mktsegment ORDER BY c_mktsegment) AS VARCHAR) AS c_mktsegment_array
+FROM customer GROUP BY c_nationkey
+"""
+
+
+@register("a14_array_aggregate_all", A14_ALL_SQL)
+def a14_all(spark, sf_dir):
+    """Duplicates kept; array result, shown as text for the comparison."""
+    out = tf.array_agg(Tables(spark, sf_dir).customer, ["c_nationkey"], "c_mktsegment")
+    return out.select("c_nationkey", F.col("c_mktsegment_array").cast("string").alias("c_mktsegment_array"))
+
+
+# several percentiles of doubles, all exact
+@register("a15_percentiles", """
+SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.9) AS p90,
+       quantile_cont(o_totalprice, 0.99) AS p99 FROM orders GROUP BY o_orderstatus
+""")
+def a15_percentiles(spark, sf_dir):
+    return tf.exact_percentiles(Tables(spark, sf_dir).orders, ["o_orderstatus"], "o_totalprice",
+                                {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
+# parts by key modulo, every row in exactly one part
+F5_SQL = "SELECT o_orderkey, o_orderkey % 3 AS part FROM orders"
+
+
+@register("f5_fork_split_modulo", F5_SQL)
+def f5_modulo(spark, sf_dir):
+    parts = tf.split_parts(Tables(spark, sf_dir).orders.select("o_orderkey"), ["o_orderkey"], 3, by="modulo")
+    out = None
+    for i, p in enumerate(parts):
+        q = p.select("o_orderkey", F.lit(i).cast("long").alias("part"))
+        out = q if out is None else out.unionByName(q)
+    return out

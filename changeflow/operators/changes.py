@@ -254,37 +254,40 @@ def apply_strict(target: DataFrame, feed: DataFrame, keys: Sequence[str],
 
 def strict_outcomes(feed: DataFrame, target: DataFrame, keys: Sequence[str],
                     order: Sequence[str] = ORDER, op_col: str = "op_code",
-                    block: int = 1_000_000) -> DataFrame:
+                    partitions: int | None = None) -> DataFrame:
     """C6 event outcomes (for C22 / F8): every event with ``status``
     processed or failed and an ``error`` text.
 
     An event needs the live flag of its key just before it, i.e. running
-    maxima of delete and insert positions.  These are computed as a two-level
-    prefix scan so that no task sorts a whole hot key: events are cut into
-    blocks of ``block`` consecutive positions (``lsn div block``); block
-    maxima are aggregated (map-side), prefixed over the blocks of a key, and
-    only the rows of one (key, block) are sorted together."""
+    maxima of delete and insert places.  These are computed as a two-level
+    prefix scan over the blocks of ``ordered.ordered_blocks`` (range
+    partitions of (key, position)), so no task sorts a whole hot key and
+    positions may be of any type.  The target's keys are joined to the block
+    summaries, one row per (key, block), not to the events.  A null key never
+    matches a row: its inserts and deletes are processed, its updates fail."""
     from pyspark.sql import Window
+
+    from changeflow.operators.ordered import ordered_blocks
     keys = list(keys)
-    lsn = F.col(order[0])
-    pos = position(order, feed.schema)
     op = F.col(op_col)
-    ev = feed.filter(~null_key(keys)).withColumn("_blk", F.floor(lsn / F.lit(block)).cast("long")) \
-             .withColumn("_pos", pos)
-    dpos = F.when(op == OP_DELETE, F.col("_pos"))
-    ipos = F.when(op == OP_INSERT, F.col("_pos"))
-    blocks = ev.groupBy(*keys, "_blk").agg(F.max(dpos).alias("_bd"), F.max(ipos).alias("_bi"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "_blk", F.max("_bd").over(wb).alias("_pd"),
-                           F.max("_bi").over(wb).alias("_pi"))
-    live0 = target.filter(~null_key(keys)).select(*keys).distinct().withColumn("_e0", F.lit(True))
-    j = ev.join(blocks, keys + ["_blk"], "inner").join(live0, keys, "left")
-    wr = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    ld = F.greatest(F.col("_pd"), F.max(dpos).over(wr))
-    li = F.greatest(F.col("_pi"), F.max(ipos).over(wr))
-    j = j.withColumn("_ldp", ld).withColumn("_lip", li)
+    ev = ordered_blocks(feed, keys, order, partitions=partitions)
+    place = F.col("_mid")
+    dpos = F.when(op == OP_DELETE, place)
+    ipos = F.when(op == OP_INSERT, place)
+    blocks = ev.groupBy("_k", "_blk").agg(F.max(dpos).alias("_bd"), F.max(ipos).alias("_bi"))
+    wb = Window.partitionBy("_k").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_k", "_blk", F.max("_bd").over(wb).alias("_pd"), F.max("_bi").over(wb).alias("_pi"))
+    live0 = (target.filter(~null_key(keys)).select(F.struct(*keys).alias("_k")).distinct()
+             .withColumn("_e0", F.lit(True)))
+    # the target's key columns may have other types than the feed's
+    kt = feed.select(F.struct(*keys).alias("_k")).schema["_k"].dataType
+    blocks = blocks.join(live0.withColumn("_k", F.col("_k").cast(kt)), "_k", "left")
+    j = ev.join(blocks, ["_k", "_blk"], "inner")
+    wr = Window.partitionBy("_k", "_blk").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    j = j.withColumn("_ldp", F.greatest(F.col("_pd"), F.max(dpos).over(wr))) \
+         .withColumn("_lip", F.greatest(F.col("_pi"), F.max(ipos).over(wr)))
     live = (F.when(F.col("_ldp").isNull(), F.coalesce(F.col("_e0"), F.lit(False)) | F.col("_lip").isNotNull())
-             .otherwise(F.coalesce(F.col("_lip") > F.col("_ldp"), F.lit(False))))
+             .otherwise(F.coalesce(F.col("_lip") > F.col("_ldp"), F.lit(False)))) & ~null_key(keys)
     ok = ((op == OP_DELETE) | (op == OP_UPDATE_BEFORE)
           | ((op == OP_INSERT) & ~live) | ((op == OP_UPDATE_AFTER) & live))
     err = (F.when(ok, F.lit(None).cast("string"))
@@ -295,14 +298,22 @@ def strict_outcomes(feed: DataFrame, target: DataFrame, keys: Sequence[str],
                     err.alias("error"))
 
 
+def last_wins_outcomes(feed: DataFrame) -> DataFrame:
+    """C7 event outcomes: under last-wins no event can fail."""
+    return feed.withColumn("status", F.lit("processed")).withColumn("error", F.lit(None).cast("string"))
+
+
 # ---------------------------------------------------------------- C7 / A16
 
 def latest_per_key(feed: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER,
-                   columns: Sequence[str] | None = None) -> DataFrame:
+                   columns: Sequence[str] | None = None, op_col: str = "op_code") -> DataFrame:
     """A16 / W1 by aggregation: newest row per key via ``max_by`` (partial
-    aggregation map-side; no window sort of a whole key group)."""
+    aggregation map-side; no window sort of a whole key group).  Before-images
+    share their position with the after-image and are skipped."""
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in feed.columns if c not in keys]
+    if op_col in feed.columns:
+        feed = feed.filter(F.col(op_col).isNull() | (F.col(op_col) != OP_UPDATE_BEFORE))
     agg = feed.groupBy(*keys).agg(F.max_by(F.struct(*cols), position(order, feed.schema)).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
@@ -346,23 +357,27 @@ def tag_sources(feeds: Mapping[str, DataFrame], aliases: Mapping[str, str] | Non
 
 def dimension_history(feed: DataFrame, keys: Sequence[str], time_col: str = "change_time",
                       order: Sequence[str] = ORDER, columns: Sequence[str] | None = None,
-                      width: float = 1_000_000, surrogate: str | None = None) -> DataFrame:
+                      surrogate: str | None = None, op_col: str = "op_code",
+                      partitions: int | None = None) -> DataFrame:
     """C20: SCD type 2 rows from a feed - effective from the change time,
     expiring at the next change of the key, current when none follows.
 
-    The next change comes from the block-wise ``lead`` (no window over a
-    whole key; ``width`` positions per block); ``surrogate`` adds a dense
-    surrogate key in change order."""
+    Inserts and after-images are versions; a delete expires the version
+    before it and is none itself; before-images are skipped.  The next change
+    comes from the block-wise ``lead`` (no window over a whole key, null keys
+    kept); ``surrogate`` adds a dense surrogate key in change order."""
     from changeflow.operators.ordered import keyed_neighbor
     from changeflow.operators.sequence import sequence_ids
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in feed.columns if c not in keys]
-    base = feed.select(*keys, *{c: None for c in [*cols, *order, time_col]})
-    nb = keyed_neighbor(base, keys, list(order), [time_col], width, "next", prefix="_next_")
-    nxt = F.col(f"_next_{time_col}")
-    out = nb.select(*keys, *cols, *[c for c in order if c not in cols],
-                    F.col(time_col).alias("effective_date"), nxt.alias("expiration_date"),
-                    nxt.isNull().alias("is_current"))
+    events = feed.filter(F.col(op_col).isin(OP_DELETE, OP_INSERT, OP_UPDATE_AFTER))
+    base = events.select(*keys, *{c: None for c in [*cols, *order, time_col, op_col] if c not in keys})
+    nb = keyed_neighbor(base.withColumn("_follows", F.lit(True)), keys, list(order), [time_col, "_follows"], "next",
+                        prefix="_next_", partitions=partitions)
+    out = nb.filter(F.col(op_col) != OP_DELETE).select(
+        *keys, *cols, *[c for c in order if c not in cols and c not in keys],
+        F.col(time_col).alias("effective_date"), F.col(f"_next_{time_col}").alias("expiration_date"),
+        F.col("_next__follows").isNull().alias("is_current"))
     if surrogate:
         out = sequence_ids(out, list(order), surrogate)
     return out.select(*([surrogate] if surrogate else []), *keys, *cols,

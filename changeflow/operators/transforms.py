@@ -8,7 +8,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeflow.functions.columns import any_changed, present
@@ -49,20 +49,28 @@ def fork(df: DataFrame, n: int = 2, persist: bool = True) -> list[DataFrame]:
     return [df] * n
 
 
-def split_parts(df: DataFrame, keys: Sequence[str], n: int) -> list[DataFrame]:
-    """disjoint parts by ``pmod(xxhash64(keys), n)``; every row lands in
-    exactly one part."""
-    part = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n))
+def split_parts(df: DataFrame, keys: Sequence[str], n: int, by: str = "hash") -> list[DataFrame]:
+    """disjoint parts by ``pmod(xxhash64(keys), n)``, or with
+    ``by='modulo'`` by ``pmod(key, n)`` of one integral key (null keys in part
+    0); every row lands in exactly one part.  The parts are filters over one
+    plan: write them with ``partitionBy`` on a part column where a single
+    pass over the input matters."""
+    if by == "hash":
+        part = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n))
+    elif by == "modulo" and len(keys) == 1:
+        part = F.coalesce(F.pmod(F.col(keys[0]), F.lit(n)), F.lit(0))
+    else:
+        raise ValueError("by is hash, or modulo with one key")
     tagged = df.withColumn("_part", part)
     return [tagged.filter(F.col("_part") == i).drop("_part") for i in range(n)]
 
 
 def on_change(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              fields: Sequence[str], width: float) -> DataFrame:
+              fields: Sequence[str]) -> DataFrame:
     """F7 over a feed: pass a row only if one of ``fields`` differs from the
     previous row of the same key (the first row of a key always passes)."""
     marked = df.withColumn("_marker", F.lit(1))
-    nb = keyed_neighbor(marked, keys, order, [*fields, "_marker"], width, "prev", prefix="_prev_")
+    nb = keyed_neighbor(marked, keys, order, [*fields, "_marker"], "prev", prefix="_prev_")
     first = F.col("_prev__marker").isNull()
     changed = any_changed([(F.col(f"_prev_{f}"), F.col(f)) for f in fields])
     return nb.filter(first | changed).select(*df.columns)
@@ -193,29 +201,29 @@ def drop_exact_duplicates(df: DataFrame, subset: Sequence[str] | None = None) ->
     return df.dropDuplicates(list(subset)) if subset else df.distinct()
 
 
-def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float,
-                    name: str = "rn") -> DataFrame:
-    """``row_number`` per key (block-wise, see ``ordered``)."""
-    return keyed_row_number(df, keys, order, width, name)
+def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
+                    descending: bool = False) -> DataFrame:
+    """``row_number`` per key (block-wise, see ``ordered``), over all rows
+    when there are no keys."""
+    return keyed_row_number(df, keys, order, name, descending=descending)
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float,
-              name: str = "rnk") -> DataFrame:
-    """``rank`` per key; ties share a block because blocks are ranges of
-    the first order column."""
-    return keyed_row_number(df, keys, order, width, name, ties="rank")
+def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rnk",
+              descending: bool = False) -> DataFrame:
+    """``rank`` per key."""
+    return keyed_row_number(df, keys, order, name, ties="rank", descending=descending)
 
 
 def with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-             width: float, prefix: str = "prev_") -> DataFrame:
+             prefix: str = "prev_", descending: bool = False) -> DataFrame:
     """Previous row's columns within the key."""
-    return keyed_neighbor(df, keys, order, cols, width, "prev", prefix)
+    return keyed_neighbor(df, keys, order, cols, "prev", prefix, descending)
 
 
 def with_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-              width: float, prefix: str = "next_") -> DataFrame:
+              prefix: str = "next_", descending: bool = False) -> DataFrame:
     """Next row's columns within the key."""
-    return keyed_neighbor(df, keys, order, cols, width, "next", prefix)
+    return keyed_neighbor(df, keys, order, cols, "next", prefix, descending)
 
 
 # ---------------------------------------------------------------- A1 - A4, A13 - A15
@@ -261,25 +269,72 @@ def value_tiers(df: DataFrame, key: str, value: str, ts: str,
 
 
 def string_agg(df: DataFrame, keys: Sequence[str], column: str, sep: str = ",",
-               distinct: bool = True) -> DataFrame:
-    """Sorted values joined by ``sep``.  The distinct form reduces
-    map-side (``collect_set``) and its size is bounded by the number of
-    distinct values, not by the group's rows."""
-    coll = F.collect_set if distinct else F.collect_list
-    return df.groupBy(*keys).agg(F.array_join(F.array_sort(coll(column)), sep).alias(f"{column}_list"))
+               distinct: bool = False) -> DataFrame:
+    """Sorted values joined by ``sep``, duplicates kept unless
+    ``distinct``; nulls are left out, a group of nulls alone is null.  Values
+    are counted per (group, value) first, so rows of a hot group are combined
+    map-side and what meets in one task is one entry a distinct value; the
+    result itself is as long as the group's values."""
+    values = _repeated()
+    return (_value_counts(df, keys, column, distinct).groupBy(*keys)
+            .agg(F.when(F.count("_v") > 0, F.array_join(values, sep)).alias(f"{column}_list")))
 
 
-def array_agg(df: DataFrame, keys: Sequence[str], column: str, distinct: bool = True) -> DataFrame:
-    """Sorted array of the group's (distinct) values."""
-    coll = F.collect_set if distinct else F.collect_list
-    return df.groupBy(*keys).agg(F.array_sort(coll(column)).alias(f"{column}_array"))
+def array_agg(df: DataFrame, keys: Sequence[str], column: str, distinct: bool = False) -> DataFrame:
+    """Sorted array of the group's values with nulls last, duplicates
+    kept unless ``distinct``; counted per value first, as ``string_agg``."""
+    nulls = F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).cast("int")
+    none = F.lit(None).cast(df.schema[column].dataType)
+    return (_value_counts(df, keys, column, distinct).groupBy(*keys)
+            .agg(F.concat(_repeated(), F.array_repeat(none, nulls)).alias(f"{column}_array")))
+
+
+def _value_counts(df: DataFrame, keys: Sequence[str], column: str, distinct: bool) -> DataFrame:
+    counts = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.withColumn("_n", F.lit(1).cast("long")) if distinct else counts
+
+
+def _repeated() -> Column:
+    """Sorted values, each as often as it was counted, without nulls."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_v", "_n"))))
+    return F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["_v"], p["_n"].cast("int"))))
 
 
 def median(df: DataFrame, keys: Sequence[str], column: str, approx: bool = False,
            accuracy: int = 10000) -> DataFrame:
-    """Interpolated median (``percentile_cont(0.5)``).  The exact form
-    keeps a value -> count map per group (bounded by distinct values, merged
-    across tasks); ``approx`` uses a fixed-size sketch for unbounded domains."""
-    c = F.col(column)
-    fn = F.percentile_approx(c, 0.5, accuracy) if approx else F.percentile(c, F.lit(0.5))
-    return df.groupBy(*keys).agg(fn.cast("double").alias(f"median_{column}"))
+    """Interpolated median (``percentile_cont(0.5)``); ``approx`` uses a
+    fixed-size sketch.  The exact form counts per (group, value) and numbers
+    the values block-wise (``ordered``), so neither a value map nor a sort of
+    a whole group has to fit into one task."""
+    if approx:
+        return df.groupBy(*keys).agg(F.percentile_approx(F.col(column), 0.5, accuracy).cast("double").alias(f"median_{column}"))
+    return exact_percentiles(df, keys, column, {f"median_{column}": 0.5})
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles per group (``percentile_cont``), one column
+    for each name in ``wanted``; null where a group has no value."""
+    from changeflow.operators.ordered import ordered_blocks
+    keys = list(keys)
+    counts = (df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    b = ordered_blocks(counts, keys, ["_v"])
+    sums = b.groupBy("_k", "_blk").agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy("_k").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_k", "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
+                       F.sum("_s").over(Window.partitionBy("_k")).alias("_total"))
+    run = Window.partitionBy("_k", "_blk").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.join(sums, ["_k", "_blk"]).withColumn("_last", F.col("_off") + F.sum("_n").over(run) - 1) \
+         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    aggs, out = [], []
+    for name, p in wanted.items():
+        place = (F.col("_total") - 1) * F.lit(float(p))
+        for part, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            held = (F.col("_first") <= rank) & (rank <= F.col("_last"))
+            aggs.append(F.max(F.when(held, F.col("_v").cast("double"))).alias(f"_{name}_{part}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"_{name}_at"))
+        lo, hi, at = (F.col(f"_{name}_{x}") for x in ("lo", "hi", "at"))
+        out.append((lo + (hi - lo) * at).alias(name))
+    found = b.groupBy("_k").agg(*aggs).select("_k", *out)
+    groups = df.select(F.struct(*keys).alias("_k") if keys else F.struct(F.lit(0).alias("_all")).alias("_k")).distinct()
+    return groups.join(found, "_k", "left").select(*[F.col(f"_k.{k}").alias(k) for k in keys], *wanted)

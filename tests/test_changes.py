@@ -120,7 +120,7 @@ def seq_outcomes(target, feed):
 @given(target=target_st, events=events_st)
 def test_outcomes_match_sequential(spark, target, events):
     t, f = _frames(spark, target, events)
-    got = ch.strict_outcomes(f, t, ["k"], block=3).select("lsn", "seqval", "status").collect()
+    got = ch.strict_outcomes(f, t, ["k"], partitions=5).select("lsn", "seqval", "status").collect()
     assert sorted(tuple(r) for r in got) == seq_outcomes(target, _feed(events))
 
 

@@ -19,11 +19,11 @@ def test_row_number_and_rank(spark):
     df = _data(spark)
     w = Window.partitionBy("k").orderBy("p")
     ref = df.withColumn("rn", F.row_number().over(w))
-    got = keyed_row_number(df, ["k"], ["p"], width=7, name="rn")
+    got = keyed_row_number(df, ["k"], ["p"], name="rn", partitions=7)
     assert sorted(ref.collect()) == sorted(got.select("k", "p", "v", "rn").collect())
     w2 = Window.partitionBy("k").orderBy("v")
     ref2 = df.withColumn("r", F.rank().over(w2))
-    got2 = keyed_row_number(df, ["k"], ["v"], width=2, name="r", ties="rank")
+    got2 = keyed_row_number(df, ["k"], ["v"], name="r", ties="rank", partitions=5)
     assert sorted(ref2.collect()) == sorted(got2.select("k", "p", "v", "r").collect())
 
 
@@ -31,8 +31,8 @@ def test_lag_lead(spark):
     df = _data(spark)
     w = Window.partitionBy("k").orderBy("p")
     ref = df.withColumn("prev_v", F.lag("v").over(w)).withColumn("next_v", F.lead("v").over(w))
-    got = keyed_neighbor(df, ["k"], ["p"], ["v"], 5, "prev")
-    got = keyed_neighbor(got, ["k"], ["p"], ["v"], 5, "next")
+    got = keyed_neighbor(df, ["k"], ["p"], ["v"], "prev", partitions=6)
+    got = keyed_neighbor(got, ["k"], ["p"], ["v"], "next", partitions=6)
     assert sorted(ref.collect()) == sorted(got.select("k", "p", "v", "prev_v", "next_v").collect())
 
 
