@@ -9,17 +9,23 @@ documents.  A document of which fewer prefix shingles occur elsewhere than
 the smallest l it can meet has no partner and goes; that removes most
 documents before any pair is made.
 
-The others' prefix shingles vote for a hub, the smallest document sharing
-them; each document is compared with its hub, which joins groups of copies
-in linear time.  Then pairs of different components are formed over shingles
-that at most ``LIGHT`` documents hold, and a pair is verified if its light
-matches, and the heavy ones it may have besides, reach l.  A pair that this
-misses shares heavy shingles alone: both documents have at least l of them.
+The others' prefix shingles vote for a hub, of the documents that hold them
+the one whose shingles are the most widely shared; each document is compared
+with its hub, which joins groups of copies in linear time.  Then pairs of
+different components are formed over shingles that at most ``LIGHT``
+documents hold.  Sets of n and m shingles must share a = ceil(t (n + m) / (1 +
+t)), and their prefixes the smaller l + a - ceil(t n) of the two; a pair is
+verified if its light matches, and the heavy ones it may have besides, reach
+that.  A pair that this misses shares heavy shingles alone: both documents
+have at least l of them.
 
 Those documents, whose candidates would cost most, form the next round, with
-their prefixes lengthened to the whole set and l to ceil(t n): of the
-shingles that occur elsewhere only the rarest c - l + 1 are needed then.
-Again a hub first, then all remaining pairs of different components.
+their prefixes lengthened to the whole set and l to ceil(t n): of the c
+shingles that occur elsewhere only the rarest c - l + 1 are needed then, and
+the r-th of them only for partners with which at most c - r + 1 must be
+shared.  Again a hub first, then the remaining pairs of different components:
+rows outside a shingle's largest component are matched with its other rows
+of a size that may link.
 
 Pairs are verified on whole texts, grouped by hub, hot hubs dealt over
 several tasks.  Within a component known so far no pair is formed: links
@@ -46,7 +52,8 @@ from changeflow.llm.components import components
 from changeflow.llm.rolling import BASES, WordHashes, Windows, mix
 
 LENGTHEN = 0.25     # of n - ceil(t n), added to the prefixes of the first round
-LIGHT = 64          # documents of a shingle over which all pairs may be formed
+LIGHT = 16          # documents of a shingle over which all pairs may be formed
+SIZE_STEP = 1.05    # ratio of the set sizes of one class
 HUB_TEXTS = 512     # texts that one task compares with a hub
 PROFILES = "doc_id long, node long, n int, prefix array<long>"
 
@@ -107,9 +114,10 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """(x, y): each node y with the node that most often is the smallest one
-    holding its tokens."""
-    hubs = rows.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("__max")).filter("x != __max").select("token", "x")
+    """(x, y): each node y with the node x that most often is the hub of its
+    tokens, the one of the highest score (the mean number of holders)."""
+    hubs = (rows.groupBy("token").agg(F.max(F.struct("score", "node")).alias("hub"), F.count(F.lit(1)).alias("held"))
+            .filter("held > 1").select("token", F.col("hub.node").alias("x")))
     votes = rows.join(hubs, "token").filter("x != node").groupBy("node", "x").agg(F.count(F.lit(1)).alias("v"))
     return (votes.groupBy("node").agg(F.max(F.struct("v", "x")).alias("best"))
             .select(F.col("best.x").alias("x"), F.col("node").alias("y")))
@@ -155,20 +163,50 @@ def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(r, rows["node"] == r["__node"], "left").withColumn("root", F.coalesce("__root", "node")).drop("__node", "__root")
 
 
-def _cross(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of nodes of different components that share a token and
-    whose sizes allow a link, with the number of tokens shared."""
-    a = rows.select("token", *(F.col(c).alias(f"{c}_x") for c in rows.columns if c != "token"))
-    b = rows.select("token", *(F.col(c).alias(f"{c}_y") for c in rows.columns if c != "token"))
-    sizes = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    both = a.join(b, "token").filter((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & sizes)
-    return both.groupBy(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """What sets of ``n`` and ``m`` must share to link."""
+    return F.ceil(percent * (n + m) / (100 + percent))
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Per token held by several components: the number of its rows."""
-    return (rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .filter("lo != hi").select("token", "held"))
+def _sizes_allow(percent: int) -> Column:
+    return 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+
+
+def _light_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of nodes of different components over light tokens whose
+    matches may reach what their sizes ask for.  ``rows``: token, node, n,
+    root, c (shared tokens of the node's prefix), h (heavy ones)."""
+    a, b = (rows.select("token", *(F.col(k).alias(f"{k}_{side}") for k in ("node", "n", "root", "c", "h"))) for side in "xy")
+
+    def more(n: Column) -> Column:      # l - ceil(t n)
+        return _matches_sql(n, percent) - F.ceil(percent * n / 100)
+    need = _overlap(F.col("n_x"), F.col("n_y"), percent) + F.least(more(F.col("n_x")), more(F.col("n_y")))
+    both = a.join(b, "token").filter((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y"))
+                                     & _sizes_allow(percent) & (F.least("c_x", "c_y") >= need))
+    return (both.withColumn("need", need).groupBy(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+            .agg(F.count(F.lit(1)).alias("matches"), F.max("need").alias("need"), F.max(F.least("h_x", "h_y")).alias("h"))
+            .filter("matches + h >= need").select("x", "y"))
+
+
+def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of nodes of different components over the rarest tokens.
+    ``rows``: token, node, n, root, left (shared tokens from this one on)."""
+    held = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    largest = held.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
+    rows = rows.join(largest.filter("roots > 1").drop("roots"), "token")
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP)) + 1e-9).cast("int")
+    n = F.col("n")
+    low, high = F.ceil(percent * n / 100), F.least(F.floor(100 * n / percent), F.floor(F.col("left") * (100 + percent) / percent) - n)
+    asks = (rows.filter((F.col("root") != F.col("largest")) & (low <= high))
+            .select("token", F.explode(F.sequence(size_class(low), size_class(high))).alias("class"),
+                    *(F.col(k).alias(f"{k}_x") for k in ("node", "n", "root", "left"))))
+    held = rows.select("token", size_class(n).alias("class"), *(F.col(k).alias(f"{k}_y") for k in ("node", "n", "root", "left")))
+    both = asks.join(held, ["token", "class"]).filter(
+        (F.col("root_x") != F.col("root_y")) & _sizes_allow(percent)
+        & (F.least("left_x", "left_y") >= _overlap(F.col("n_x"), F.col("n_y"), percent)))
+    return both.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
 def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
@@ -176,46 +214,37 @@ def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> D
     documents' profiles."""
     # round 1: prefixes of all documents
     rows = _shared(known.select(F.explode("prefix").alias("token"), "node", "n"))
-    partner = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100))
-    alive = rows.groupBy("node").agg(F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
-    alive = alive.filter(F.size("tokens") >= _matches_sql(partner, percent))
-    alive = stored(alive, "alive")
-    keys = alive.select("node")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text")
-    texts = texts.join(keys, "node", "left_semi")
+    least = _matches_sql(F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100)), percent)
+    alive = rows.groupBy("node").agg(F.max("n").alias("n"), F.avg("df").alias("score"), F.collect_set("token").alias("tokens"))
+    alive = stored(alive.filter(F.size("tokens") >= least), "alive")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text").join(alive.select("node"), "node", "left_semi")
     texts = stored(texts, "texts").dropDuplicates(["node"])
-    rows = alive.select(F.explode("tokens").alias("token"), "node", "n")
+    rows = alive.select(F.explode("tokens").alias("token"), "node", "n", "score", F.size("tokens").alias("c"))
     edges = stored(verify(_hub_pairs(rows), texts, width, percent), "links")
-    roots = components(edges)
-
-    rows = _with_root(rows, roots)
-    rows = stored(rows.join(_several(rows), "token"), "several")
-    heavy = rows.groupBy("node").agg(F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
-    light = rows.filter(F.col("held") <= LIGHT).join(heavy, "node").select("token", "node", "n", "root", "h")
-    least = F.least(_matches_sql(F.col("n_x"), percent), _matches_sql(F.col("n_y"), percent))
-    pairs = (_cross(light, percent).agg(F.count(F.lit(1)).alias("c"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"),
-                                        F.first("h_x").alias("h_x"), F.first("h_y").alias("h_y"))
-             .filter(F.col("c") + F.least("h_x", "h_y") >= least).select("x", "y"))
-    edges = stored(edges.unionByName(verify(stored(pairs, "pairs"), texts, width, percent)), "links")
+    rows = _with_root(rows.drop("score"), components(edges))
+    several = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+               .filter("lo != hi").select("token", "held"))
+    rows = stored(rows.join(several, "token"), "several")
+    heavy = rows.groupBy("node").agg(F.max("n").alias("n"), F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
+    light = rows.filter(F.col("held") <= LIGHT).join(heavy.select("node", "h"), "node")
+    pairs = stored(_light_pairs(light, percent), "pairs")
+    edges = stored(edges.unionByName(verify(pairs, texts, width, percent)), "links")
 
     # round 2: whole sets of the documents that may share heavy tokens alone
-    sizes = alive.select("node", "n")
-    costly = (heavy.join(sizes, "node").filter(F.col("h") >= _matches_sql(partner, percent)).select("node"))
-    chosen = texts.join(stored(costly, "costly"), "node", "left_semi")
+    chosen = stored(texts.join(heavy.filter(F.col("h") >= least).select("node"), "node", "left_semi"), "costly")
     if chosen.isEmpty():
         return edges
-    roots = components(edges)
     whole = stored(whole_sets(chosen, width), "whole-sets")
     rows = _shared(whole.select(F.explode("tokens").alias("token"), "node", "n"))
     mine = W.partitionBy("node")
-    rows = (rows.withColumn("c", F.count(F.lit(1)).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("df", "token")))
-            .filter(F.col("r") <= F.col("c") - F.ceil(percent * F.col("n") / 100) + 1).select("token", "node", "n"))
+    rows = rows.withColumns({"c": F.count(F.lit(1)).over(mine), "r": F.row_number().over(mine.orderBy("df", "token")),
+                             "score": F.avg("df").over(mine)})
+    rows = (rows.withColumn("left", F.col("c") - F.col("r") + 1).filter(F.col("left") >= F.ceil(percent * F.col("n") / 100))
+            .select("token", "node", "n", "score", "left"))
     rows = stored(rows, "rarest")
-    edges = stored(edges.unionByName(verify(_hub_pairs(rows), texts, width, percent)), "links")
-    rows = _with_root(rows, components(edges))
-    rows = rows.join(_several(rows).select("token"), "token")
-    pairs = stored(_cross(rows, percent).agg(F.count(F.lit(1)).alias("c")).select("x", "y"), "pairs")
-    return edges.unionByName(verify(pairs, texts, width, percent))
+    edges = stored(edges.unionByName(verify(_hub_pairs(rows), chosen, width, percent)), "links")
+    pairs = stored(_rare_pairs(_with_root(rows.drop("score"), components(edges)), percent), "pairs")
+    return edges.unionByName(verify(pairs, chosen, width, percent))
 
 
 def whole_sets(texts: DataFrame, width: int) -> DataFrame:
