@@ -31,10 +31,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def doc_key() -> list:
-    """(doc_id, 64-bit hash of id and text): rows with equal keys are equal
-    rows and get equal results, whatever partition they are read in."""
-    return [F.col("doc_id"), F.xxhash64("doc_id", "text").alias("text_hash")]
+BIT_WORDS = 1 << 18       # rows that a bit filter has at most
+
+
+def _bit(column: str) -> tuple:
+    place = F.pmod(F.xxhash64(column), F.lit(64 * BIT_WORDS))
+    return F.floor(place / 64).cast("int"), (place % 64).cast("int")
+
+
+def rows_that_may_match(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among that of ``keys``: a bit
+    for each hash, 64 a row, so the side that is broadcast has ``BIT_WORDS``
+    rows at most.  It spares a join's shuffle rows without a partner while the
+    keys are few against the bits, and lets all rows pass when they are many."""
+    word, bit = _bit(column)
+    bits = (keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word")
+            .agg(F.expr("bit_or(shiftleft(1L, __bit))").alias("__bits")))
+    tagged = df.withColumns({"__w": word, "__b": bit}).join(F.broadcast(bits), F.col("__w") == F.col("__word"))
+    return tagged.filter(F.expr("(__bits & shiftleft(1L, __b)) != 0")).drop("__w", "__b", "__word", "__bits")
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:

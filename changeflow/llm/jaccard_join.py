@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import ASCII_LOWER, ranges, stored, text_slices
+from changeflow.llm.common import ASCII_LOWER, ranges, rows_that_may_match, stored, text_slices
 from changeflow.llm.components import components
 from changeflow.llm.rolling import BASES, WordHashes, Windows, mix
 
@@ -217,7 +217,8 @@ def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> D
     least = _matches_sql(F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100)), percent)
     alive = rows.groupBy("node").agg(F.max("n").alias("n"), F.avg("df").alias("score"), F.collect_set("token").alias("tokens"))
     alive = stored(alive.filter(F.size("tokens") >= least), "alive")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text").join(alive.select("node"), "node", "left_semi")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text")
+    texts = rows_that_may_match(texts, "node", alive).join(alive.select("node"), "node", "left_semi")
     texts = stored(texts, "texts").dropDuplicates(["node"])
     rows = alive.select(F.explode("tokens").alias("token"), "node", "n", "score", F.size("tokens").alias("c"))
     edges = stored(verify(_hub_pairs(rows), texts, width, percent), "links")

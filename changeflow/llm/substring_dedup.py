@@ -36,9 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import doc_key, ranges, space_words, stored, text_slices
+from changeflow.llm.common import ranges, rows_that_may_match, space_words, stored, text_slices
 from changeflow.llm.rolling import BASES, WordHashes, Windows, sliding_argmin
 
+SLICE = 2 << 20     # text hashed at once by a Python worker
 RUNS = "doc_id long, text_hash long, gram long, context long, first int, last int, at int"
 _ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
@@ -66,7 +67,7 @@ def runs(docs: DataFrame, size: int) -> DataFrame:
 
     def find(batches):
         hashes = WordHashes()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=SLICE):
             s = _Slice(batch.column("text").to_pylist(), hashes)
             n = len(s.hashes)
             if n < size:
@@ -102,11 +103,12 @@ def candidate_windows(docs: DataFrame, chosen: DataFrame, size: int) -> DataFram
     g = first_length(size)
     double = min(size, 2 * g)
     lists = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "at")).alias("runs"))
+    docs = rows_that_may_match(docs, "text_hash", chosen)
     rows = docs.join(lists, _same_doc(docs, lists)).select(docs["doc_id"], docs["text_hash"], docs["text"], lists["runs"])
 
     def expand(batches):
         hashes = WordHashes()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=SLICE):
             s = _Slice(batch.column("text").to_pylist(), hashes)
             lists = batch.column("runs")
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
@@ -166,7 +168,7 @@ def dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     columns = [*kept.columns, *names]
 
     def cut(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=SLICE):
             n_words, n_removed, texts = [], [], []
             spans = batch.column(batch.num_columns - 1)
             for i, text in enumerate(batch.column("text").to_pylist()):
