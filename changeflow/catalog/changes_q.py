@@ -113,7 +113,32 @@ def c17_custom(spark, sf_dir):
         .withColumn("n_events", F.lit(1).cast("long"))
     return resolve_conflicts(feed, KEYS, "custom", columns=["value", "n_events"],
                              rules={"value": "greatest(old.value, new.value)",
-                                    "n_events": "old.n_events + new.n_events"})
+                                    "n_events": "old.n_events + new.n_events"},
+                             order=ch.ORDER, associative=True)
+
+
+# a rule whose result depends on the order of the events
+C17_ORDER_SQL = with_ctes("""
+SELECT user_id, string_agg(event_type, '|' ORDER BY lsn, seqval) AS event_type FROM change_feed
+WHERE op_code IN (1, 2, 4) GROUP BY user_id
+""", "change_feed")
+
+
+@register("c17_conflict_custom_ordered", C17_ORDER_SQL)
+def c17_ordered(spark, sf_dir):
+    """Texts joined in change order, over binary positions, in small blocks."""
+    from changeflow.operators.merge import resolve_conflicts
+    feed = binary_lsn(change_feed(Tables(spark, sf_dir).events)).filter(F.col("op_code").isin(1, 2, 4))
+    return resolve_conflicts(feed, KEYS, "custom", columns=["event_type"], order=ch.ORDER, block=7, associative=True,
+                             rules={"event_type": "concat(old.event_type, '|', new.event_type)"})
+
+
+@register("c16_conflict_priority_binary", C16_SQL)
+def c16_binary(spark, sf_dir):
+    from changeflow.operators.merge import resolve_conflicts
+    feed = binary_lsn(change_feed(Tables(spark, sf_dir).events)).filter(F.col("op_code").isin(1, 2, 4))
+    return resolve_conflicts(feed, KEYS, "priority", source_col="source_id", priority=["src_erp", "src_crm"],
+                             order=ch.ORDER, columns=["source_id", "event_type", "value"])
 
 
 # ------------------------------------------------------------------ S5 / S6 / F6 / P15
@@ -200,6 +225,16 @@ def t1_order(spark, sf_dir):
         .select("lsn", "seqval", "op_code", "user_id")
 
 
+@register("t1_change_order_whole", with_ctes("""
+SELECT lsn, seqval, op_code, user_id, row_number() OVER (ORDER BY lsn, seqval) AS place FROM change_feed
+""", "change_feed"))
+def t1_whole(spark, sf_dir):
+    """Every change with its place in the change order."""
+    from changeflow.operators.sequence import sequence_ids
+    feed = change_feed(Tables(spark, sf_dir).events).select("lsn", "seqval", "op_code", "user_id")
+    return sequence_ids(feed, ["lsn", "seqval"], "place")
+
+
 # ------------------------------------------------------------------ C9 batch form
 
 C9_SQL = with_ctes("""
@@ -218,10 +253,9 @@ def c9_incremental(spark, sf_dir):
     captured before 2024-01-15); the read is exclusive of it."""
     t = Tables(spark, sf_dir)
     feed = change_feed(t.events)
-    hwm = feed.filter(F.col("change_time") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")) \
-        .agg(F.max("lsn").alias("_hwm"))
-    newer = feed.join(hwm, F.col("lsn") > F.col("_hwm")).drop("_hwm")
-    newer = ch.feed_range(newer)
+    mark = feed.filter(F.col("change_time") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")) \
+        .agg(F.max("lsn")).first()[0]
+    newer = ch.feed_range(feed, mark, exclusive_from=True)     # one number: the filter reaches the scan
     latest = ch.latest_per_key(newer, KEYS, columns=["op_code", "event_type", "value"])
     return latest.filter(F.col("op_code") != 1).select("user_id", "event_type", "value")
 
@@ -382,3 +416,14 @@ def c11_mapped(spark, sf_dir):
                  keys=("customer_id",))
     target = apply_mapping(base_state(t.events), m)
     return ch.apply_mapped_changes(target, change_feed(t.events), m)
+
+
+# P9 on the fold where the feed carries a value for the generated column
+@register("p9_generated_over_source", P9_SQL)
+def p9_source(spark, sf_dir):
+    """The feed's own value is ignored; the column need not be listed as
+    insert-only."""
+    t = Tables(spark, sf_dir)
+    target = base_state(t.events).withColumn("first_seen", F.lit("seed"))
+    feed = change_feed(t.events).withColumn("first_seen", F.lit("from the feed"))
+    return ch.apply_strict(target, feed, KEYS, generated={"first_seen": "'generated'"})

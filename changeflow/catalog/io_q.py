@@ -85,6 +85,17 @@ def s9(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("s9_append_sink_all", "SELECT * FROM orders")
+def s9_all(spark, sf_dir):
+    """Every row, in two appends."""
+    t = Tables(spark, sf_dir)
+    path = _scratch(spark, "append")
+    for open_orders in (True, False):
+        is_open = F.coalesce(F.col("o_orderstatus") == "O", F.lit(False))
+        io.write_table(t.orders.filter(is_open if open_orders else ~is_open), path, "append")
+    return spark.read.parquet(path)
+
+
 @register("s10_replace_sink", "SELECT * FROM orders WHERE o_orderstatus = 'P'")
 def s10(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -105,6 +116,15 @@ def s11(spark, sf_dir):
     return back.withColumn("event_date", F.col("event_date").cast("string"))   # dates shown as text
 
 
+@register("s11_event_log_sink_all", with_ctes(
+    "SELECT * REPLACE (CAST(event_date AS VARCHAR) AS event_date) FROM event_log", "event_log"))
+def s11_all(spark, sf_dir):
+    """Every day of the log, read back."""
+    path = _scratch(spark, "eventlog")
+    io.write_event_log(event_log(Tables(spark, sf_dir).events), path)
+    return spark.read.parquet(path).withColumn("event_date", F.col("event_date").cast("string"))
+
+
 @register("s12_latency_sink", with_ctes(
     "SELECT *, CAST(CAST(destination_insert_time AS DATE) AS VARCHAR) AS record_date FROM latency_metrics",
     "latency_metrics"))

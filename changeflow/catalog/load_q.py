@@ -36,7 +36,8 @@ FROM orders_delta d LEFT JOIN orders o ON o.o_orderkey = d.o_orderkey
 @register("c4_upsert_counters", C4_SQL)
 def c4_counts(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    acts = ld.upsert_actions(t.orders.select(*ORDER_COLS), orders_delta(t.orders), ["o_orderkey"])
+    acts = ld.upsert_actions(t.orders.select(*ORDER_COLS), orders_delta(t.orders), ["o_orderkey"],
+                             order=["o_totalprice"])
     return ld.upsert_counts(acts)
 
 
@@ -59,7 +60,7 @@ def c3_controls(spark, sf_dir):
     """P8 + P10 on the insert / update branches of an upsert."""
     t = Tables(spark, sf_dir)
     target = t.orders.select(*ORDER_COLS, F.lit("initial").alias("load_tag"))
-    return ld.upsert(target, orders_delta(t.orders), ["o_orderkey"],
+    return ld.upsert(target, orders_delta(t.orders), ["o_orderkey"], order=["o_totalprice"],
                      insert_only=["o_orderstatus", "load_tag"], generated={"load_tag": "'delta'"})
 
 
@@ -94,6 +95,15 @@ def c2_append(spark, sf_dir):
     return ld.load(o, o.filter(F.col("o_orderstatus") == "F"), "append")
 
 
+C2_ALL_SQL = "SELECT * FROM (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders)"
+
+
+@register("c2_append_load_all", C2_ALL_SQL)
+def c2_append_all(spark, sf_dir):
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey")
+    return ld.load(o, o, "append")
+
+
 C5_SQL = """
 SELECT c_custkey AS customer_id, upper(c_name) AS customer_name, c_nationkey AS nation_id,
        (SELECT max(event_id) FROM events) AS snapshot_lsn
@@ -106,8 +116,8 @@ def c5_snapshot(spark, sf_dir):
     """Snapshot rows tagged with the feed position taken before the copy."""
     from changeflow.sources.fixtures import change_feed
     t = Tables(spark, sf_dir)
-    snap, hwm = ld.initial_snapshot(t.customer, CUSTOMER_MAP, change_feed(t.events))
-    return snap.crossJoin(hwm)   # one-row side
+    snap, mark = ld.initial_snapshot(t.customer, CUSTOMER_MAP, change_feed(t.events))
+    return snap.withColumn("snapshot_lsn", F.lit(mark))
 
 
 C18_SQL = """
@@ -130,7 +140,7 @@ def c18_grouped(spark, sf_dir):
     ), keys=("customer_id",))
     runs = [
         ld.MappingRun("cust", t.customer, CUSTOMER_MAP, "dim_party", "full"),
-        ld.MappingRun("supp", t.supplier, sup_map, "dim_party", "upsert"),
+        ld.MappingRun("supp", t.supplier, sup_map, "dim_party", "upsert", order=("s_suppkey",)),
         ld.MappingRun("off", t.orders, CUSTOMER_MAP, "dim_party", "append", enabled=False),
     ]
     return ld.grouped_run(runs)["dim_party"]
@@ -155,7 +165,18 @@ def p8(spark, sf_dir):
     target = t.orders.select(*ORDER_COLS, F.lit("initial").alias("load_tag"))
     mapped = apply_mapping(orders_delta(t.orders), m)
     gen = {c.target: c.generated for c in m.columns if c.generated}
-    return ld.upsert(target, mapped, m.keys, insert_only=m.insert_only_columns, generated=gen)
+    return ld.upsert(target, mapped, m.keys, ["o_totalprice"], insert_only=m.insert_only_columns, generated=gen)
+
+
+# P8 where a source column is mapped to the generated one: its value is
+# ignored, and the column is insert-only without being listed
+@register("p8_generated_over_source", P8_SQL)
+def p8_source(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    m = TableMap(columns=tuple(ColumnMap(c, c) for c in ORDER_COLS)
+                 + (ColumnMap("load_tag", "o_orderstatus", on_insert="'delta'"),), keys=("o_orderkey",))
+    target = t.orders.select(*ORDER_COLS, F.lit("initial").alias("load_tag"))
+    return ld.upsert(target, apply_mapping(orders_delta(t.orders), m), m.keys, ["o_totalprice"], generated={"load_tag": "'delta'"})
 
 
 # P8 with a sequence generator: new rows continue the target's row numbers
@@ -177,4 +198,4 @@ FROM orders_delta WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)
 def p8s(spark, sf_dir):
     t = Tables(spark, sf_dir)
     target = t.orders.select(*ORDER_COLS, (F.col("o_orderkey") * 10).alias("row_no"))
-    return ld.upsert(target, orders_delta(t.orders), ["o_orderkey"], generated={"row_no": ld.SEQUENCE})
+    return ld.upsert(target, orders_delta(t.orders), ["o_orderkey"], order=["o_totalprice"], generated={"row_no": ld.SEQUENCE})

@@ -38,6 +38,35 @@ for _name, _how, _sql in (("j1_inner_merge", "inner", "INNER"), ("j2_left_merge"
     register(_name, _join_sql(_sql))(_q)
 
 
+def _join_all_sql(how):
+    return _join_sql(how).replace("WHERE o_totalprice > 100000", "")
+
+
+for _name, _how, _sql in (("j1_inner_merge_all", "inner", "INNER"), ("j2_left_merge_all", "left", "LEFT"),
+                          ("j3_right_merge_all", "right", "RIGHT"), ("j4_full_merge_all", "full", "FULL")):
+    def _all(spark, sf_dir, _how=_how):
+        t = Tables(spark, sf_dir)
+        spec = _crm_erp(t, _how)
+        return mg.run_merge(spark, MergeSpec((spec.sources[0], Source("erp", t.orders)), spec.steps, spec.output))
+    register(_name, _join_all_sql(_sql))(_all)
+
+
+# The join key of each source, read off the first join condition
+@register("c13_join_keys", """
+SELECT 'crm' AS source, 'c_custkey' AS join_key, count(DISTINCT c_custkey) AS keys FROM customer
+UNION ALL SELECT 'erp', 'o_custkey', count(DISTINCT o_custkey) FROM orders
+""")
+def c13(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    spec = _crm_erp(t, "inner")
+    out = None
+    for alias, df in (("crm", t.customer), ("erp", t.orders)):
+        key = mg.join_key_of(spec, alias)
+        q = df.agg(F.count_distinct(key).alias("keys")).select(F.lit(alias).alias("source"), F.lit(key).alias("join_key"), "keys")
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
 S3_SQL = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 50000"
 
 

@@ -119,6 +119,12 @@ FROM s
 """, "customer_dest")
 
 
+@register("q15_preload_gate", A12_SQL)
+def q15(spark, sf_dir):
+    """The gate passes at its bound and hands on the statistics."""
+    return pt.preload_gate(_analysis(spark, sf_dir), 0.0)
+
+
 @register("a12_match_statistics", A12_SQL)
 def a12(spark, sf_dir):
     return pt.match_statistics(_analysis(spark, sf_dir))

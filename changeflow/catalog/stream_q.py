@@ -1,11 +1,10 @@
 """Checks for streaming change application (C9, C11, C12 streaming, C14
-streaming).  Each check splits a derived feed into files, runs the stream
-to completion (``availableNow``, one file per micro-batch) and returns the
-final destination state - which must equal the batch result."""
+streaming).  Each check splits a derived feed into parts, runs the stream
+to completion after each part has arrived (``availableNow``, one part per
+micro-batch, resumed from its checkpoint) and returns the final destination state - which must equal the batch result."""
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,33 +20,30 @@ from changeflow.streaming import stream as st
 N_PARTS = 4
 
 
-def _write_parts(feed, path):
-    """Feed split into position ranges, one file each, written in order."""
-    bounds = feed.agg(F.min("lsn"), F.max("lsn")).first()
-    lo, hi = bounds[0], bounds[1]
+def _parts(feed):
+    """The feed split into ranges of positions."""
+    lo, hi = feed.agg(F.min("lsn"), F.max("lsn")).first()
     step = (hi - lo) // N_PARTS + 1
     for i in range(N_PARTS):
-        part = feed.filter((F.col("lsn") >= lo + i * step) & (F.col("lsn") < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.05)   # distinct file times keep the arrival order
+        yield feed.filter((F.col("lsn") >= lo + i * step) & (F.col("lsn") < lo + (i + 1) * step))
 
 
 def _run(spark, sf_dir, mode, tagged=False):
     t = Tables(spark, sf_dir)
     root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     feed = change_feed(t.events).drop("change_time") if not tagged else change_feed(t.events)
-    _write_parts(feed, f"{root}/feed")
     base = base_state(t.events)
     table = st.ChangeTable(f"{root}/dest", base.schema, keys=["user_id"], mode=mode)
     table.init(spark, base)
-    stream = st.read_feed_stream(spark, f"{root}/feed", feed.schema, files_per_trigger=1)
-    if tagged:
-        stream = st.tag_stream(stream.filter(F.col("source_id") == "src_erp"), "erp").unionByName(
-            st.tag_stream(stream.filter(F.col("source_id") == "src_crm"), "crm"))
     # 4 batches, compaction after the third: the result is base + one delta
     spec = st.ApplySpec(compact_every=3, outcomes_path=f"{root}/outcomes")
-    q = st.start_apply(stream, table, spec, f"{root}/checkpoint")
-    q.awaitTermination()
+    for part in _parts(feed):
+        part.write.mode("append").parquet(f"{root}/feed")
+        stream = st.read_feed_stream(spark, f"{root}/feed", feed.schema)
+        if tagged:
+            stream = st.tag_stream(stream.filter(F.col("source_id") == "src_erp"), "erp").unionByName(
+                st.tag_stream(stream.filter(F.col("source_id") == "src_crm"), "crm"))
+        st.start_apply(stream, table, spec, f"{root}/checkpoint").awaitTermination()
     return table.current(spark)
 
 
@@ -79,11 +75,11 @@ def c14_stream(spark, sf_dir):
     changed = dest_src.filter(F.col("c_mktsegment").isNull() | (F.col("c_custkey") >= 10000000)) \
         .select("c_custkey")
     keys = changed.withColumn("lsn", F.col("c_custkey"))
-    _write_parts(keys, f"{root}/keys")
     table = st.KeyReplaceTable(f"{root}/dest", old.schema, key="customer_id")
     table.init(spark, old)
-    stream = st.read_feed_stream(spark, f"{root}/keys", keys.schema, files_per_trigger=1)
-    q = st.start_remerge(stream, lambda: c14_spec(t, t.customer), "c_custkey", table,
-                         f"{root}/checkpoint", compact_every=3)
-    q.awaitTermination()
+    for part in _parts(keys):
+        part.write.mode("append").parquet(f"{root}/keys")
+        stream = st.read_feed_stream(spark, f"{root}/keys", keys.schema)
+        st.start_remerge(stream, lambda: c14_spec(t, t.customer), "c_custkey", table,
+                         f"{root}/checkpoint", compact_every=3).awaitTermination()
     return table.current(spark)

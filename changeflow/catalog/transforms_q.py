@@ -109,6 +109,17 @@ def f8(spark, sf_dir):
     return bad.select("l_orderkey", "l_linenumber", F.array_join("errors", ",").alias("errors"))
 
 
+@register("f8_both_sides", """
+SELECT l_orderkey, l_linenumber, coalesce(l_discount <= 0.08, false) AND coalesce(l_quantity < 45, false) AS good FROM lineitem
+""")
+def f8_both(spark, sf_dir):
+    """Every row is on exactly one side."""
+    rows = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_discount", "l_quantity")
+    good, bad = tf.validate(rows, rules={"max_discount": "l_discount <= 0.08", "max_quantity": "l_quantity < 45"})
+    return good.select("l_orderkey", "l_linenumber", F.lit(True).alias("good")).unionByName(
+        bad.select("l_orderkey", "l_linenumber", F.lit(False).alias("good")))
+
+
 R1_SQL = """
 SELECT l_orderkey, l_linenumber, 'l_quantity' AS metric_name, l_quantity AS metric_value FROM lineitem
 UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem
@@ -503,3 +514,17 @@ def f5_modulo(spark, sf_dir):
         q = p.select("o_orderkey", F.lit(i).cast("long").alias("part"))
         out = q if out is None else out.unionByName(q)
     return out
+
+
+# scalar functions of the expression text: SUBSTRING, JSON_EXTRACT, UNNEST, LIST_VALUE, ISNULL
+@register("fn_text_and_arrays", """
+SELECT o_orderkey, tag, substring(o_orderstatus || '-' || o_orderkey, 3, 4) AS part,
+       json_extract_string('{"k":"' || o_orderstatus || '"}', '$.k') AS js,
+       coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END, -1) AS cust
+FROM (SELECT *, unnest(list_value(o_orderstatus, 'x')) AS tag FROM orders)
+""")
+def fn_text(spark, sf_dir):
+    return Tables(spark, sf_dir).orders.withColumn("tag", F.expr("explode(array(o_orderstatus, 'x'))")).selectExpr(
+        "o_orderkey", "tag", "substring(concat(o_orderstatus, '-', o_orderkey), 3, 4) AS part",
+        "get_json_object(concat('{\"k\":\"', o_orderstatus, '\"}'), '$.k') AS js",
+        "coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END, -1) AS cust")

@@ -17,8 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DecimalType, IntegerType, IntegralType, ShortType,
                                StructType)
@@ -26,19 +25,10 @@ from pyspark.sql.types import (ByteType, DecimalType, IntegerType, IntegralType,
 from changeflow.functions.columns import (OP_DELETE, OP_INSERT, OP_UPDATE_AFTER,
                                           OP_UPDATE_BEFORE, decode_operation)
 from changeflow.operators.skew import DEFAULT_HOT_ROWS, null_key, salted_key_join
+from changeflow.session import written
 
 ORDER = ("lsn", "seqval")
 
-# per-key summaries persisted while a fold is planned and run; released by
-# ``release_cached`` once the caller has written the result
-_PERSISTED: list[DataFrame] = []
-
-
-def release_cached() -> None:
-    """Unpersist the per-key summaries kept by earlier folds."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-
 # Row filters of a change-range scan
 ROW_FILTERS = {
     "all": (OP_DELETE, OP_INSERT, OP_UPDATE_AFTER),
@@ -93,8 +83,8 @@ def feed_bounds(feed: DataFrame, lsn_col: str = "lsn", source_col: str | None =
     if source_col:
         per = feed.groupBy(source_col).agg(F.min(lsn_col).alias("min_lsn"),
                                            F.max(lsn_col).alias("max_lsn"))
-        overall = feed.agg(F.max(lsn_col).alias("max_lsn_overall"))
-        out = per.crossJoin(overall)   # 1-row side: a broadcast of one row
+        # one row a source: the overall maximum is taken from those rows
+        out = per.withColumn("max_lsn_overall", F.max("max_lsn").over(Window.partitionBy(F.lit(0))))
         top = "max_lsn_overall"
     else:
         out = feed.agg(F.min(lsn_col).alias("min_lsn"), F.max(lsn_col).alias("max_lsn"))
@@ -143,8 +133,8 @@ def _null_key_inserts(feed: DataFrame, keys: Sequence[str], payload: Sequence[st
                       op_col: str, generated: Mapping[str, str]) -> DataFrame:
     """Inserts with a null key part: never match a row, always added."""
     rows = feed.filter(null_key(keys) & (F.col(op_col) == OP_INSERT))
-    return rows.select(*keys, *[(F.coalesce(F.col(c), F.expr(generated[c])) if c in generated
-                                 else F.col(c)).alias(c) for c in payload])
+    return rows.select(*keys, *[(F.expr(generated[c]) if c in generated else F.col(c)).alias(c)
+                                 for c in payload])
 
 
 def _finish(target: DataFrame, keys: Sequence[str], decided: DataFrame,
@@ -172,12 +162,9 @@ def _finish(target: DataFrame, keys: Sequence[str], decided: DataFrame,
     cols = []
     for c in payload:
         from_new = F.col(f"_new.{c}")
-        if c in insert_only:
-            from_ins = F.col(f"_ins.{c}")
-            if c in generated:
-                ins_val = F.coalesce(from_ins, F.expr(generated[c]))
-            else:
-                ins_val = from_ins
+        if c in insert_only or c in generated:
+            # a generated column is insert-only; a source value for it is ignored
+            ins_val = F.expr(generated[c]) if c in generated else F.col(f"_ins.{c}")
             val = F.when(F.col("_upd"), F.col(f"_t.{c}")).otherwise(ins_val)
         else:
             val = from_new
@@ -205,8 +192,9 @@ def strict_decisions(feed: DataFrame, keys: Sequence[str], payload: Sequence[str
     stage1 = ev.groupBy(*keys).agg(
         F.max(F.when(op == OP_DELETE, pos)).alias("_ld"),
         F.count(F.lit(1)).alias("_n"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(stage1)
+    )
+    # read by the hot-key check and by the join: written once
+    stage1 = written(stage1, "last-deletes")
     j = salted_key_join(ev, stage1, keys, "_n", spread=list(order), hot_rows=hot_rows)
     after = F.col("_ld").isNull() | (pos > F.col("_ld"))
     ins = after & (op == OP_INSERT)
@@ -265,8 +253,6 @@ def strict_outcomes(feed: DataFrame, target: DataFrame, keys: Sequence[str],
     positions may be of any type.  The target's keys are joined to the block
     summaries, one row per (key, block), not to the events.  A null key never
     matches a row: its inserts and deletes are processed, its updates fail."""
-    from pyspark.sql import Window
-
     from changeflow.operators.ordered import ordered_blocks
     keys = list(keys)
     op = F.col(op_col)

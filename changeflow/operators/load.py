@@ -30,8 +30,7 @@ def append_load(target: DataFrame, source: DataFrame) -> DataFrame:
 
 def _source_order(order: Sequence[str] | Column | None) -> Column:
     if order is None:
-        # input order: deterministic for a given file layout and partitioning
-        return F.monotonically_increasing_id()
+        raise ValueError("an upsert needs an order: which of several source rows with one key is the last")
     if isinstance(order, Column):
         return order
     return F.struct(*[F.col(c) for c in order])
@@ -51,7 +50,8 @@ def upsert_actions(target: DataFrame, source: DataFrame, keys: Sequence[str],
       single partition that null keys hash to;
     * matched keys take the source's non-key columns, except insert-only
       columns, which keep the target value; new keys are inserted with their
-      generated values.
+      generated values.  A generated column is insert-only, and a source
+      value for it is ignored.
     """
     keys = list(keys)
     if not keys:
@@ -61,10 +61,11 @@ def upsert_actions(target: DataFrame, source: DataFrame, keys: Sequence[str],
     missing = [c for c in payload if c not in source.columns and c not in generated]
     if missing:
         raise ValueError(f"source lacks destination columns {missing}")
-    src_cols = [c for c in payload if c in source.columns]
+    src_cols = [c for c in payload if c in source.columns and c not in generated]
     nk = null_key(keys)
     src = source.filter(~nk).withColumn("_ord", _source_order(order))
-    dedup = src.groupBy(*keys).agg(F.max_by(F.struct(*src_cols), F.col("_ord")).alias("_s"))
+    row = F.struct(*src_cols) if src_cols else F.struct(F.lit(True).alias("_any"))
+    dedup = src.groupBy(*keys).agg(F.max_by(row, F.col("_ord")).alias("_s"))
     dedup = dedup.withColumn("_in_source", F.lit(True))
     t = target.filter(~nk).select(*keys, F.struct(*payload).alias("_t"),
                                   F.lit(True).alias("_in_target"))
@@ -75,8 +76,8 @@ def upsert_actions(target: DataFrame, source: DataFrame, keys: Sequence[str],
     cols = []
     for c in payload:
         s_val = F.col(f"_s.{c}") if c in src_cols else F.lit(None)
-        ins_val = F.coalesce(s_val, F.expr(generated[c])) if c in generated else s_val
-        if c in insert_only:
+        ins_val = F.expr(generated[c]) if c in generated else s_val
+        if c in insert_only or c in generated:
             upd_val = F.col(f"_t.{c}")
         else:
             upd_val = s_val
@@ -85,8 +86,7 @@ def upsert_actions(target: DataFrame, source: DataFrame, keys: Sequence[str],
                      .otherwise(ins_val).cast(target.schema[c].dataType).alias(c))
     out = j.select(*keys, *cols, action.alias("_action"))
     src_null = source.filter(nk).select(
-        *keys, *[(F.coalesce(F.col(c), F.expr(generated[c])) if c in generated and c in src_cols
-                  else F.expr(generated[c]) if c in generated else F.col(c))
+        *keys, *[(F.expr(generated[c]) if c in generated else F.col(c))
                  .cast(target.schema[c].dataType).alias(c) for c in payload],
         F.lit("insert").alias("_action"))
     t_null = target.filter(nk).withColumn("_action", F.lit("keep"))
@@ -109,12 +109,12 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     seq = [c for c, g in generated.items() if g == SEQUENCE]
     if not seq:
         return upsert_actions(target, source, keys, order, insert_only, generated).drop("_action")
-    from pyspark import StorageLevel
     from changeflow.operators.sequence import next_values
+    from changeflow.session import written
     gen = {c: (f"CAST(NULL AS {target.schema[c].dataType.simpleString()})" if c in seq else g)
            for c, g in generated.items()}
-    acts = upsert_actions(target, source, keys, order, [*insert_only, *seq], gen) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # read twice below: written once to the shared folder
+    acts = written(upsert_actions(target, source, keys, order, [*insert_only, *seq], gen), "upsert-actions")
     inserted = acts.filter(F.col("_action") == "insert").drop("_action")
     for c in seq:
         inserted = next_values(inserted.drop(c), target, c, list(keys)).select(*target.columns)
@@ -143,15 +143,14 @@ def load(target: DataFrame | None, source: DataFrame, mode: str,
 
 
 def initial_snapshot(source: DataFrame, mapping: TableMap, feed: DataFrame | None = None,
-                     lsn_col: str = "lsn") -> tuple[DataFrame, DataFrame | None]:
+                     lsn_col: str = "lsn") -> tuple[DataFrame, object | None]:
     """Mapped full copy of the source, with the feed's high-water mark.
 
-    The mark (max position) must be taken *before* the source is read, so
-    the caller materialises the returned mark first and starts the change
-    feed strictly after it; rows changed during the copy are then replayed
-    by the feed (upsert / strict fold make that replay harmless)."""
-    hwm = feed.agg(F.max(lsn_col).alias("snapshot_lsn")) if feed is not None else None
-    return apply_mapping(source, mapping, generate=True), hwm
+    The mark (max position, one value) is read here, before anything of the
+    source is: rows changed during the copy are then replayed by a feed read
+    strictly after it (upsert / strict fold make that replay harmless)."""
+    mark = feed.agg(F.max(lsn_col)).first()[0] if feed is not None else None
+    return apply_mapping(source, mapping, generate=True), mark
 
 
 @dataclass(frozen=True)
@@ -163,6 +162,7 @@ class MappingRun:
     destination: str
     mode: str = "full"
     enabled: bool = True
+    order: Sequence[str] | None = None      # source columns; needed for an upsert
 
 
 def grouped_run(runs: Sequence[MappingRun], targets: Mapping[str, DataFrame] | None = None
@@ -179,10 +179,17 @@ def grouped_run(runs: Sequence[MappingRun], targets: Mapping[str, DataFrame] | N
             continue
         if r.mode not in MODES:
             raise ValueError(f"{r.name}: unknown load mode {r.mode!r}")
-        mapped = apply_mapping(r.source, r.mapping, generate=(r.mode != "upsert"))
+        if r.mode == "upsert" and not r.order:
+            raise ValueError(f"{r.name}: an upsert needs an order")
+        # the order is carried under names of its own, as the mapping may rename its columns
+        order = [f"_order_{i}" for i in range(len(r.order or ()))] if r.mode == "upsert" else []
+        source = r.source.withColumns({o: F.col(c) for o, c in zip(order, r.order or ())})
+        mapped = apply_mapping(source, r.mapping, generate=(r.mode != "upsert"), keep=order)
         current = states.get(r.destination, targets.get(r.destination))
         gen = {c.target: c.generated for c in r.mapping.columns if c.generated}
-        states[r.destination] = load(current, mapped, r.mode, r.mapping.keys,
+        if current is None:
+            mapped = mapped.drop(*order)
+        states[r.destination] = load(current, mapped, r.mode, r.mapping.keys, order or None,
                                      insert_only=r.mapping.insert_only_columns,
                                      generated=gen)
     return states

@@ -120,14 +120,14 @@ def apply_mapping(df: DataFrame, mapping: TableMap | Sequence[ColumnMap],
 
     With ``generate=True`` generated columns (P8/P9) take their generator
     expression - use this for rows known to be inserts.  Otherwise a generated
-    column without a source is left null, to be filled by the load operator on
-    its insert branch.  ``keep`` carries extra columns through unchanged
+    column is left null, to be filled by the load operator on its insert
+    branch; a source column mapped to it is ignored.  ``keep`` carries extra columns through unchanged
     (change positions and operation codes of a feed).
     """
     cols = mapping.columns if isinstance(mapping, TableMap) else tuple(mapping)
     out = [F.col(k) for k in keep]
     for m in cols:
-        if m.generated and (generate or not m.source):
+        if m.generated:
             c = F.expr(m.generated) if generate else F.lit(None)
         else:
             c = compile_column(m)

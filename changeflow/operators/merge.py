@@ -222,15 +222,18 @@ def remerge_affected(spark: SparkSession, spec: MergeSpec, changed: DataFrame, k
 def resolve_conflicts(events: DataFrame, keys: Sequence[str], rule: str = "latest",
                       columns: Sequence[str] | None = None, order: Sequence[str] = ("lsn",),
                       source_col: str = "_source_id", priority: Sequence[str] = (),
-                      rules: Mapping[str, str] | None = None, block: int = 1024) -> DataFrame:
+                      rules: Mapping[str, str] | None = None, block: int = 1024,
+                      associative: bool = False) -> DataFrame:
     """One row per key from competing events.
 
     latest    newest event wins (``max_by`` on the change order)            C15
     priority  first source in ``priority`` wins, unlisted sources last, the
               newest event within a source                                  C16
     custom    per-column SQL over ``old`` and ``new`` (an ordered fold; the
-              rule must be associative, e.g. greatest, sum, concat)         C17
-    """
+              rule must be associative, e.g. greatest, sum, concat, and
+              declared so with ``associative=True``)                        C17
+
+    ``order`` is the full change order; its columns may be of any type."""
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in events.columns if c not in keys]
     if rule == "latest":
@@ -240,44 +243,48 @@ def resolve_conflicts(events: DataFrame, keys: Sequence[str], rule: str = "lates
         rank = F.lit(len(priority))
         for i, s in reversed(list(enumerate(priority))):
             rank = F.when(F.col(source_col) == s, F.lit(i)).otherwise(rank)
-        newest_first = [(-F.col(c)) for c in order]
         r = events.groupBy(*keys).agg(
-            F.min_by(F.struct(*cols), F.struct(rank, *newest_first)).alias("_r"))
+            F.max_by(F.struct(*cols), F.struct((-rank).alias("_rank"), *[F.col(c) for c in order])).alias("_r"))
     elif rule == "custom":
-        return ordered_fold(events, keys, cols, dict(rules or {}), order[0], block)
+        return ordered_fold(events, keys, cols, dict(rules or {}), order, block, associative)
     else:
         raise ValueError(f"unknown conflict rule {rule!r}")
     return r.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def ordered_fold(events: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                 rules: Mapping[str, str], pos_col: str, block: int = 1024) -> DataFrame:
-    """Fold events of each key in position order with ``old``/``new`` rules.
-
-    Bounded multi-level reduction: level i groups rows of a key whose
-    positions fall in the same range of ``block**i`` positions, so a group
-    never holds more than ``block`` partial results, whatever the key's
-    size.  Each level is a sorted ``aggregate`` over a bounded array."""
+                 rules: Mapping[str, str], order: str | Sequence[str], block: int = 1024,
+                 associative: bool = False) -> DataFrame:
+    """Fold events of each key in change order with ``old``/``new`` rules.
+
+    Bounded multi-level reduction: events are numbered per key in ``order``
+    (block-wise, any type of position), level i folds ``block`` consecutive
+    results of the level before, so a group never holds more than ``block``
+    of them, whatever the key's size and however often positions repeat.
+    That is one answer for every ``block`` only if the rules are associative:
+    a caller must declare it, other rules are refused."""
+    from changeflow.operators.ordered import keyed_row_number
     keys = list(keys)
+    if not associative:
+        raise ValueError("declare the rules associative: rule(rule(a, b), c) = rule(a, rule(b, c)) must hold")
     missing = [c for c in cols if c not in rules]
     if missing:
         raise ValueError(f"no rule for columns {missing}")
     fields = ", ".join(f"'{c}', {rules[c]}" for c in cols)
     merge = f"(old, new) -> named_struct('_p', new._p, {fields})"
-    cur = events.select(*keys, F.struct(F.col(pos_col).cast("long").alias("_p"),
-                                        *[F.col(c) for c in cols]).alias("_e"))
-    span = events.agg(F.max(pos_col).cast("long")).first()[0]  # one number, not rows
-    level_block = block
-    levels = 1
-    while span is not None and level_block <= span:
-        level_block *= block
-        levels += 1
+    by = [order] if isinstance(order, str) else list(order)
+    numbered = keyed_row_number(events.select(*keys, *{c: None for c in [*by, *cols] if c not in keys}), keys, by, "_p")
+    cur = numbered.select(F.struct(*keys).alias("_k"), F.struct((F.col("_p") - 1).alias("_p"),
+                                                                *[F.col(c) for c in cols]).alias("_e"))
+    most = numbered.agg(F.max("_p")).first()[0] or 1     # events of the largest key: one number
     size = block
-    for lvl in range(levels):
-        last = lvl == levels - 1
-        grp = [*keys] if last else [*keys, F.floor(F.col("_e._p") / F.lit(size)).alias("_b")]
+    while True:
+        last = size >= most
+        grp = ["_k"] if last else ["_k", F.floor(F.col("_e._p") / F.lit(size)).alias("_b")]
         cur = cur.groupBy(*grp).agg(F.array_sort(F.collect_list("_e")).alias("_a"))
-        cur = cur.select(*keys, F.expr(
+        cur = cur.select("_k", F.expr(
             f"aggregate(slice(_a, 2, greatest(size(_a) - 1, 0)), _a[0], {merge})").alias("_e"))
+        if last:
+            break
         size *= block
-    return cur.select(*keys, *[F.col(f"_e.{c}").alias(c) for c in cols])
+    return cur.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *[F.col(f"_e.{c}").alias(c) for c in cols])

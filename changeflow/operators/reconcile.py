@@ -24,8 +24,8 @@ def sample_rows(df: DataFrame, n: int, method: str = "hash", keys: Sequence[str]
               same rows any engine with md5 picks; a top-k, so each task keeps
               only ``n`` candidates (no full sort)
     exact     ``n`` rows ordered by ``rand(seed)`` (also a top-k)
-    fraction  Bernoulli ``sample(fraction, seed)`` then ``limit(n)`` - cheapest
-              for very large tables, size only approximately ``n``
+    fraction  Bernoulli ``sample(fraction, seed)``, then ``n`` of those at random -
+              for very large tables; fewer than ``n`` if the fraction is too small
     """
     if method == "hash":
         if not keys:
@@ -37,7 +37,9 @@ def sample_rows(df: DataFrame, n: int, method: str = "hash", keys: Sequence[str]
     if method == "fraction":
         if fraction is None:
             raise ValueError("fraction sampling needs a fraction")
-        return df.sample(fraction=fraction, seed=seed).limit(n)
+        # thin first, then the top-k over random numbers: ``limit`` alone would
+        # favour the first partitions
+        return df.sample(fraction=fraction, seed=seed).withColumn("_r", F.rand(seed + 1)).orderBy("_r").limit(n).drop("_r")
     raise ValueError(f"unknown sample method {method!r}")
 
 
@@ -61,22 +63,42 @@ def _missing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     return left.filter(~nk).join(rk, list(keys), "left_anti").unionByName(left.filter(nk))
 
 
+def _side_by_side(source: DataFrame, destination: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: counts of each side and of its rows whose key the other side
+    lacks.  Rows are counted per key on each side (map-side combined, so hot
+    and null keys are one row each), the counts meet in one full outer join."""
+    keys = list(keys)
+
+    def per_key(df: DataFrame, name: str) -> DataFrame:
+        return (df.groupBy(F.struct(*keys).alias("_k"), null_key(keys).alias("_null"))
+                .agg(F.count(F.lit(1)).alias(name)))
+    # null keys never match: they stay out of the key comparison by a flag
+    s = per_key(source, "_s")
+    d = per_key(destination, "_d")
+    s = s.withColumn("_side", F.when(F.col("_null"), F.lit(1)).otherwise(F.lit(0)))
+    d = d.withColumn("_side", F.when(F.col("_null"), F.lit(2)).otherwise(F.lit(0)))
+    kt = s.schema["_k"].dataType
+    j = s.drop("_null").join(d.drop("_null").withColumn("_k", F.col("_k").cast(kt)), ["_k", "_side"], "full_outer")
+    zero = F.lit(0).cast("long")
+    return j.agg(F.coalesce(F.sum("_s"), zero).alias("source_count"), F.coalesce(F.sum("_d"), zero).alias("destination_count"),
+                 F.coalesce(F.sum(F.when(F.col("_d").isNull(), F.col("_s"))), zero).alias("missing_in_destination"),
+                 F.coalesce(F.sum(F.when(F.col("_s").isNull(), F.col("_d"))), zero).alias("missing_in_source"))
+
+
 def missing_both_ways(source: DataFrame, destination: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts of source rows missing in the destination and of
     destination rows missing in the source (duplicates count per row)."""
-    keys = list(keys)
-    a = _missing(source.select(*keys), destination.select(*keys), keys) \
-        .agg(F.count(F.lit(1)).alias("missing_in_destination"))
-    b = _missing(destination.select(*keys), source.select(*keys), keys) \
-        .agg(F.count(F.lit(1)).alias("missing_in_source"))
-    return a.crossJoin(b)
+    return _side_by_side(source, destination, keys).select("missing_in_destination", "missing_in_source")
 
 
 def table_compare(source: DataFrame, destination: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Q1: counts, missing rows each way and an overall match flag."""
-    out = row_count_compare(source, destination).crossJoin(missing_both_ways(source, destination, keys))
-    return out.withColumn("tables_match", F.col("counts_match")
-                          & (F.col("missing_in_destination") == 0) & (F.col("missing_in_source") == 0))
+    """Q1: counts, missing rows each way and an overall match flag, in one
+    pass over each side."""
+    out = _side_by_side(source, destination, keys)
+    match = F.col("source_count") == F.col("destination_count")
+    return out.select("source_count", "destination_count", match.alias("counts_match"),
+                      "missing_in_destination", "missing_in_source",
+                      (match & (F.col("missing_in_destination") == 0) & (F.col("missing_in_source") == 0)).alias("tables_match"))
 
 
 # ---------------------------------------------------------------- J10 / J11
@@ -85,7 +107,9 @@ def key_exists(df: DataFrame, target: DataFrame, keys: Sequence[str], name: str
     """Flag each row by whether its key exists in the target (one
     join against the target's distinct keys instead of a probe per row)."""
     keys = list(keys)
-    tk = target.filter(~null_key(keys)).select(*keys).distinct().withColumn("_hit", F.lit(True))
+    # only the target's rows with a probed key are made distinct
+    probed = df.select(*keys).distinct()
+    tk = target.filter(~null_key(keys)).select(*keys).join(probed, keys, "left_semi").distinct().withColumn("_hit", F.lit(True))
     return df.join(tk, keys, "left").withColumn(name, F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 
 
@@ -109,7 +133,9 @@ def record_lookup(sample: DataFrame, target: DataFrame, keys: Sequence[str],
                 c = F.col(k).isNotNull() if k in used else F.col(k).isNull()
                 cond = c if cond is None else cond & c
             part = sample.filter(cond)
-            first = target.groupBy(*used).agg(F.min_by(F.struct(*tcols), ordk).alias("_r"))
+            # reduce the target to the probed keys before it is aggregated
+            held = target.join(part.select(*used).distinct(), used, "left_semi")
+            first = held.groupBy(*used).agg(F.min_by(F.struct(*tcols), ordk).alias("_r"))
             first = first.select(*[F.col(u).alias(f"_k_{u}") for u in used],
                                  *[F.col(f"_r.{c}").alias(prefix + c) for c in tcols])
             jc = None
@@ -161,20 +187,21 @@ def verify_rows(source_mapped: DataFrame, destination: DataFrame, keys: Sequence
     missing_in_destination, missing_in_source) and the differing columns.
 
     One full outer join on the key; the destination is reduced to its first
-    row per key (the reference looks up the first match).  Null keys never
-    match and are reported as missing."""
+    row per key (a look-up finds the first match).  Null keys never match;
+    every row with one is reported as missing."""
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in source_mapped.columns if c not in keys]
     s = source_mapped.select(*keys, *[F.col(c).alias("s_" + c) for c in cols]) \
         .withColumn("_s", F.lit(True))
     # first row per key, made deterministic: the smallest row
-    d = destination.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("_r")) \
+    nk = null_key(keys)
+    d = destination.filter(~nk).groupBy(*keys).agg(F.min(F.struct(*cols)).alias("_r")) \
         .select(*keys, *[F.col(f"_r.{c}").alias("d_" + c) for c in cols]) \
         .withColumn("_d", F.lit(True))
-    nk = null_key(keys)
-    j = s.filter(~nk).join(d.filter(~nk), keys, "full_outer")
+    d_null = destination.filter(nk).select(*keys, *[F.col(c).alias("d_" + c) for c in cols]).withColumn("_d", F.lit(True))
+    j = s.filter(~nk).join(d, keys, "full_outer")
     j = j.unionByName(s.filter(nk), allowMissingColumns=True) \
-         .unionByName(d.filter(nk), allowMissingColumns=True)
+         .unionByName(d_null, allowMissingColumns=True)
     diff = record_diff("s_", "d_", cols, typed)
     status = (F.when(F.col("_s").isNull(), "missing_in_source")
                .when(F.col("_d").isNull(), "missing_in_destination")
@@ -184,15 +211,17 @@ def verify_rows(source_mapped: DataFrame, destination: DataFrame, keys: Sequence
 
 
 def verification_summary(rows: DataFrame, source: DataFrame, destination: DataFrame,
-                         keys: Sequence[str], mismatch_limit: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Q2/Q3 report: (one summary row, first ``mismatch_limit`` mismatches by
-    key).  The mismatch list is a top-k report; the counts cover all rows."""
+                         keys: Sequence[str], mismatch_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q2/Q3 report: (one summary row, all mismatches).  With
+    ``mismatch_limit`` the mismatch list is a top-k report by key; the counts
+    cover all rows either way."""
     counts = row_count_compare(source, destination)
     checked = rows.filter(F.col("status") != "missing_in_source").agg(
         F.count(F.lit(1)).alias("samples_checked"),
         F.count(F.when(F.col("status") == "matched", 1)).alias("samples_matched"))
-    bad = rows.filter(F.col("status").isin("different", "missing_in_destination")) \
-        .orderBy(*keys).limit(mismatch_limit)
+    bad = rows.filter(F.col("status").isin("different", "missing_in_destination"))
+    if mismatch_limit is not None:
+        bad = bad.orderBy(*keys).limit(mismatch_limit)
     return counts.crossJoin(checked), bad
 
 

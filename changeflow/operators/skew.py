@@ -54,13 +54,25 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def measured_bytes(df: DataFrame, max_rows: int) -> int | None:
+    """Bytes of ``df``'s values, with 16 a row and value for overhead, or None
+    beyond ``max_rows`` rows (reads at most max_rows + 1)."""
+    sizes = [F.coalesce(F.length(F.to_json(F.struct(f.name)) if isinstance(f.dataType, (ArrayType, MapType, StructType))
+                                 else F.col(f.name).cast("string").cast("binary")), F.lit(0)) + 16 for f in df.schema.fields]
+    row = sizes[0] if sizes else F.lit(16)
+    for x in sizes[1:]:
+        row = row + x
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()
+    return int(size) if n <= max_rows else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                        max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only behind a proven bound: at most ``max_rows`` rows
-    and at most ``max_bytes`` by the generous per-row width.  Otherwise the
-    choice stays with the planner and AQE, which re-plans on measured sizes."""
-    rows = min(max_rows, max(1, max_bytes // row_bytes(df.schema)))
-    return F.broadcast(df) if fits(df, rows) else df
+    """Broadcast hint only behind a measured bound: at most ``max_rows`` rows
+    whose values hold at most ``max_bytes``.  Otherwise the choice stays with
+    the planner and AQE, which re-plans on measured sizes."""
+    size = measured_bytes(df, max_rows)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def null_key(keys: Sequence[str]) -> Column:
@@ -77,15 +89,16 @@ def salted_key_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str],
                     max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """Inner join ``big`` with ``per_key`` (unique on ``keys``; ``count_col``
     = rows of ``big`` per key).  ``spread`` are columns of ``big`` hashed to
-    pick a salt bucket for rows of hot keys."""
+    pick a salt bucket for rows of hot keys, however many those are."""
     keys = list(keys)
     nsalt = F.ceil(F.col(count_col) / F.lit(hot_rows)).cast("int")
     hot = per_key.filter(F.col(count_col) > hot_rows).select(*keys, nsalt.alias("_nsalt"))
     n_hot = hot.limit(max_hot_keys + 1).count()
-    if n_hot == 0 or n_hot > max_hot_keys:
-        # no hot key, or too many to list: plain shuffle join, AQE splits skew
+    if n_hot == 0:
         return big.join(per_key, keys, "inner")
-    tagged = big.join(F.broadcast(hot), keys, "left")
+    # a short list is broadcast; a long one is joined by key, where AQE may
+    # split hot keys because nothing above needs their rows together yet
+    tagged = big.join(F.broadcast(hot) if n_hot <= max_hot_keys else hot, keys, "left")
     salt = (F.when(F.col("_nsalt").isNull(), F.lit(0))
              .otherwise(F.pmod(F.xxhash64(*spread), F.col("_nsalt"))).cast("int"))
     big_s = tagged.withColumn("_salt", salt).drop("_nsalt")

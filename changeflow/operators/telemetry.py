@@ -68,25 +68,28 @@ def latency_stats(latency: DataFrame, anchor: str | None = None, hours: float |
     mappings and interpolated p50 / p95 / p99 over the last ``hours`` before
     ``anchor``.
 
-    The exact percentile keeps a value -> count map per group, bounded by the
-    number of distinct millisecond values and merged across tasks;
-    ``approx=True`` switches to ``percentile_approx`` (fixed-size sketch)."""
+    Exact percentiles come from counts per (group, value) numbered block-wise
+    (``transforms.exact_percentiles``), so no group has to fit into one task;
+    ``approx=True`` uses ``percentile_approx`` (fixed-size sketch)."""
     df = _window(latency, time_col, anchor, hours, mapping, mapping_col)
     v = F.col("latency_ms")
-    pct = F.percentile_approx(v, list(PERCENTILES), 10000) if approx else \
-        F.percentile(v, list(PERCENTILES))
+    names = [f"p{round(p * 100)}_latency_ms" for p in PERCENTILES]
+    keys = [mapping_col] if by_mapping else []
     aggs = [F.count(F.lit(1)).alias("total_records"),
             (F.sum(v).cast("double") / F.count(v)).alias("avg_latency_ms"),
-            F.min(v).alias("min_latency_ms"), F.max(v).alias("max_latency_ms"),
-            pct.alias("_p")]
+            F.min(v).alias("min_latency_ms"), F.max(v).alias("max_latency_ms")]
     if not by_mapping:
         aggs.append(F.count_distinct(mapping_col).alias("distinct_mappings"))
-        out = df.agg(*aggs)
-    else:
-        out = df.groupBy(mapping_col).agg(*aggs)
-    return out.withColumn("p50_latency_ms", F.col("_p")[0].cast("double")) \
-              .withColumn("p95_latency_ms", F.col("_p")[1].cast("double")) \
-              .withColumn("p99_latency_ms", F.col("_p")[2].cast("double")).drop("_p")
+    if approx:
+        aggs.append(F.percentile_approx(v, list(PERCENTILES), 10000).alias("_p"))
+        out = df.groupBy(*keys).agg(*aggs)
+        return out.withColumns({n: F.col("_p")[i].cast("double") for i, n in enumerate(names)}).drop("_p")
+    from changeflow.operators.transforms import exact_percentiles
+    key = (F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))).alias("_k")
+    out = df.groupBy(key).agg(*aggs) if keys else df.agg(*aggs).select("*", key)
+    pct = exact_percentiles(df, keys, "latency_ms", dict(zip(names, PERCENTILES))).select(key, *names)
+    return out.join(pct, "_k", "left").select(*[F.col(f"_k.{k}").alias(k) for k in keys],
+                                              *[c for c in out.columns if c != "_k"], *names)
 
 
 def recent_latency(latency: DataFrame, n: int = 100, mapping: str | None = None,
@@ -108,17 +111,28 @@ def log_statistics(log: DataFrame, start: str | None = None, end: str | None = N
         log = log.filter(F.col(date_col) >= F.lit(start).cast("date"))
     if end:
         log = log.filter(F.col(date_col) <= F.lit(end).cast("date"))
-    totals = log.agg(F.count(F.lit(1)).alias("total_events"),
-                     F.count(F.when(F.col("status") == "processed", 1)).alias("successful_events"),
-                     F.count(F.when(F.col("status") == "failed", 1)).alias("failed_events"))
-    totals = totals.withColumn("success_rate", F.when(
-        F.col("total_events") > 0,
-        F.round(F.col("successful_events") * 100.0 / F.col("total_events"), 2)).otherwise(F.lit(0.0)))
-
-    def counts(col, name):
-        per = log.groupBy(F.coalesce(F.col(col), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
-    return totals.crossJoin(counts("operation", "operations")).crossJoin(counts("source_table", "tables"))
+    # one pass over the log; the rest works on one row per (operation, table,
+    # status), of which there are few
+    n = F.col("n")
+    per = log.groupBy(F.coalesce("operation", F.lit("unknown")).alias("operation"),
+                      F.coalesce("source_table", F.lit("unknown")).alias("source_table"), "status") \
+             .agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("long")
+
+    def total(cond=None):
+        return F.coalesce(F.sum(n if cond is None else F.when(cond, n)), zero)
+    by = per.agg(total().alias("total_events"), total(F.col("status") == "processed").alias("successful_events"),
+                 total(F.col("status") == "failed").alias("failed_events"),
+                 F.collect_list(F.struct("operation", "source_table", "n")).alias("_rows"))
+
+    def counts(col):
+        names = F.array_sort(F.array_distinct(F.transform("_rows", lambda r: r[col])))
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.aggregate(
+            F.filter("_rows", lambda r: r[col] == k), zero, lambda a, r: a + r["n"]))))
+    rate = F.when(F.col("total_events") > 0, F.round(F.col("successful_events") * 100.0 / F.col("total_events"), 2)) \
+        .otherwise(F.lit(0.0))
+    return by.select("total_events", "successful_events", "failed_events", rate.alias("success_rate"),
+                     counts("operation").alias("operations"), counts("source_table").alias("tables"))
 
 
 def throughput(log: DataFrame, time_col: str = "logged_at") -> DataFrame:
@@ -147,11 +161,11 @@ def run_counters(log: DataFrame, run_col: str | None = None) -> DataFrame:
 # ---------------------------------------------------------------- T4 / T5 / T7
 
 def query_log(log: DataFrame, start: str | None = None, end: str | None = None, table: str | None = None,
-              operation: str | None = None, status: str | None = None, limit: int | None = 100,
+              operation: str | None = None, status: str | None = None, limit: int | None = None,
               date_col: str = "event_date", time_col: str = "logged_at") -> DataFrame:
     """T4: events of a date range (partition pruned on ``date_col``; default
-    today), optionally one table / operation / status, newest first, at most
-    ``limit``."""
+    today), optionally one table / operation / status, newest first; all of
+    them, or the newest ``limit``."""
     lo = F.lit(start).cast("date") if start else F.current_date()
     hi = F.lit(end).cast("date") if end else lo
     df = log.filter((F.col(date_col) >= lo) & (F.col(date_col) <= hi))

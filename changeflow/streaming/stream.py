@@ -11,12 +11,17 @@ proportion to the batch, not to the destination:
   ``<root>/changes/batch_id=<b>`` with dynamic partition overwrite - a
   replayed batch rewrites its own partition, so appends are idempotent;
 * the current state is ``fold(base, changes after the base)`` with the batch
-  operators of ``operators.changes`` (the strict fold composes, so folding
-  many batches at once equals folding them one by one);
+  operators of ``operators.changes``, in arrival order: by batch, then by
+  position within the batch, as positions of two sources do not compare.  The
+  strict fold composes, so folding many batches at once equals folding them
+  one by one, whatever ``compact_every`` is;
+* generated values are drawn once, when a batch is appended;
 * every ``compact_every`` batches the state is folded into a new base
   version ``<root>/base/v=<b>`` - a new location, never the one being read -
   and the version is appended to a small Parquet log.  A replay of a
-  compacted batch skips the compaction.
+  compacted batch skips the compaction.  Deltas and bases that only states
+  before the previous version need are then removed; readers have one whole
+  compaction period to finish with them.
 
 Per-event outcomes (C22) are produced at compaction for the compacted
 batches and latency records (C21) per batch; both are written to
@@ -30,6 +35,7 @@ import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,13 +67,24 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
       .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
+def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet data under ``path``, None if nothing was written yet.  Any
+    other failure to read is raised: state must never silently start empty."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None        # no folder, or a folder without a data file
+        raise
+
+
 def _read_batches(spark: SparkSession, path: str, after: int | None, upto: int | None
                   ) -> DataFrame | None:
     """Rows of batches in (after, upto]; ``batch_id`` prunes partitions."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:   # nothing appended yet
+    df = _read_if_any(spark, path)
+    if df is None or "batch_id" not in df.columns:
         return None
+    df = df.withColumn("batch_id", F.col("batch_id").cast("long"))
     if after is not None:
         df = df.filter(F.col("batch_id") > after)
     if upto is not None:
@@ -75,6 +92,26 @@ def _read_batches(spark: SparkSession, path: str, after: int | None, upto: int |
     return df
 
 
+def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete folders through the file system Spark itself uses for them."""
+    jvm = spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Number -> path of the folders ``<prefix><number>`` under ``path``."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return {}
+    names = [st.getPath().getName() for st in fs.listStatus(top)]
+    return {int(n[len(prefix):]): os.path.join(path, n) for n in names
+            if n.startswith(prefix) and n[len(prefix):].isdigit()}
+
+
 @dataclass
 class _Compacted:
     """Base versions plus per-batch deltas under ``root``."""
@@ -89,10 +126,8 @@ class _Compacted:
         return os.path.join(self.root, "base", f"v={version + 1:012d}")
 
     def base_version(self, spark: SparkSession) -> int | None:
-        try:
-            return spark.read.parquet(self.log_path).agg(F.max("version")).first()[0]
-        except Exception:   # no base yet
-            return None
+        log = _read_if_any(spark, self.log_path)
+        return None if log is None else log.agg(F.max("version")).first()[0]
 
     def init(self, spark: SparkSession, df: DataFrame, version: int = -1) -> None:
         """Write the starting state (e.g. the initial snapshot, C5)."""
@@ -115,9 +150,21 @@ class _Compacted:
             return False          # already compacted (replayed batch)
         self.current(spark, upto).write.mode("overwrite").parquet(self.base_path(upto))
         spark.createDataFrame([(upto,)], "version long").write.mode("append").parquet(self.log_path)
-        ch.release_cached()
+        self.expire(spark, v)
         return True
 
+    def delta_paths(self) -> list[str]:
+        return []
+
+    def expire(self, spark: SparkSession, version: int | None) -> None:
+        """Remove what only states before ``version`` (the base before the
+        current one) need: the deltas folded into it and the bases before it."""
+        if version is None:
+            return
+        old = [p for d in self.delta_paths() for b, p in _children(spark, d, "batch_id=").items() if b <= version]
+        old += [p for b, p in _children(spark, os.path.join(self.root, "base"), "v=").items() if b - 1 < version]
+        _remove(spark, old)
+
 
 @dataclass
 class ChangeTable(_Compacted):
@@ -133,18 +180,22 @@ class ChangeTable(_Compacted):
     def changes_path(self) -> str:
         return os.path.join(self.root, "changes")
 
+    def delta_paths(self) -> list[str]:
+        return [self.changes_path]
+
     def append(self, spark: SparkSession, feed: DataFrame, batch_id: int) -> None:
+        """Store a batch; generated values are drawn here, once, and a source
+        value for them is ignored."""
+        for c, g in self.generated.items():
+            feed = feed.withColumn(c, F.expr(g).cast(self.schema[c].dataType))
         _write_batch(feed, self.changes_path, batch_id)
 
     def fold(self, state: DataFrame, deltas: DataFrame) -> DataFrame:
-        if self.mode == "strict":
-            out = ch.apply_strict(state, deltas, self.keys, self.order, self.op_col,
-                                  self.insert_only, self.generated)
-        elif self.mode == "last_wins":
-            out = ch.apply_last_wins(state, deltas, self.keys, self.order, self.op_col,
-                                     self.insert_only, self.generated)
-        else:
+        if self.mode not in ("strict", "last_wins"):
             raise ValueError(f"unknown apply mode {self.mode!r}")
+        apply = ch.apply_strict if self.mode == "strict" else ch.apply_last_wins
+        insert_only = [*self.insert_only, *(c for c in self.generated if c not in self.insert_only)]
+        out = apply(state, deltas, self.keys, ["batch_id", *self.order], self.op_col, insert_only)
         return out.select(*self.schema.fieldNames())
 
     def current(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
@@ -153,12 +204,15 @@ class ChangeTable(_Compacted):
         return base if deltas is None else self.fold(base, deltas)
 
     def outcomes(self, spark: SparkSession, upto: int) -> DataFrame | None:
-        """C22 for the batches after the current base, up to ``upto``."""
+        """C22 for the batches after the current base, up to ``upto``, by the
+        rules of the table's mode."""
         base, v = self.base(spark)
         deltas = _read_batches(spark, self.changes_path, v, upto)
         if deltas is None:
             return None
-        return ch.strict_outcomes(deltas, base, self.keys, self.order, self.op_col)
+        if self.mode == "last_wins":
+            return ch.last_wins_outcomes(deltas)
+        return ch.strict_outcomes(deltas, base, self.keys, ["batch_id", *self.order], self.op_col)
 
 
 @dataclass
@@ -226,6 +280,9 @@ class KeyReplaceTable(_Compacted):
     every affected key, the rows of the latest batch that touched it."""
     key: str = "id"
 
+    def delta_paths(self) -> list[str]:
+        return [os.path.join(self.root, "keys"), os.path.join(self.root, "rows")]
+
     def append(self, spark: SparkSession, keys: DataFrame, rows: DataFrame, batch_id: int) -> None:
         _write_batch(keys.select(self.key).distinct(), os.path.join(self.root, "keys"), batch_id)
         _write_batch(rows.select(*self.schema.fieldNames()), os.path.join(self.root, "rows"), batch_id)
@@ -236,9 +293,12 @@ class KeyReplaceTable(_Compacted):
         if ks is None:
             return base
         latest = ks.groupBy(self.key).agg(F.max("batch_id").alias("batch_id"))
+        kept = base.join(latest.select(self.key), self.key, "left_anti")
         rows = _read_batches(spark, os.path.join(self.root, "rows"), v, upto)
+        if rows is None:        # every batch so far only removed keys
+            return kept
         fresh = rows.join(latest, [self.key, "batch_id"], "left_semi").select(*self.schema.fieldNames())
-        return base.join(latest.select(self.key), self.key, "left_anti").unionByName(fresh)
+        return kept.unionByName(fresh)
 
 
 def start_remerge(stream: DataFrame, merge: Callable[[], MergeSpec], key_col: str,

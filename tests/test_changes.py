@@ -133,7 +133,6 @@ def test_hot_key_is_salted(spark):
     assert "_salt" in plan._jdf.queryExecution().analyzed().toString()
     got = _rows(ch.apply_strict(t, f, ["k"], hot_rows=20))
     assert got == [(7, 199, "t199"), (8, 1, "x")]
-    ch.release_cached()
 
 
 def test_feed_range_and_bounds(spark):

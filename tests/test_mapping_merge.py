@@ -33,7 +33,7 @@ def test_generated_on_insert_only(spark):
     """Uuid generated for new rows only; updates keep the stored value."""
     target = spark.createDataFrame([(1, "old", "fixed-id")], "k long, v string, gid string")
     source = spark.createDataFrame([(1, "new"), (2, "ins")], "k long, v string")
-    out = {r["k"]: r for r in ld.upsert(target, source, ["k"], insert_only=["gid"],
+    out = {r["k"]: r for r in ld.upsert(target, source, ["k"], order=["v"], insert_only=["gid"],
                                         generated={"gid": "uuid()"}).collect()}
     assert out[1]["v"] == "new" and out[1]["gid"] == "fixed-id"
     assert out[2]["gid"] is not None and len(out[2]["gid"]) == 36
@@ -57,6 +57,8 @@ def test_load_mode_checks(spark):
         ld.load(df, df, "merge")
     with pytest.raises(ValueError):
         ld.upsert(df, df, [])
+    with pytest.raises(ValueError, match="order"):
+        ld.upsert(df, df, ["k"])
 
 
 def test_strip_metadata(spark):

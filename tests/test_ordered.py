@@ -40,7 +40,7 @@ def test_ordered_fold_multi_level(spark):
     rows = [(k, p, p % 11) for k in (1, 2) for p in range(0, 300, k)]
     df = spark.createDataFrame(rows, "k long, lsn long, v long")
     got = ordered_fold(df, ["k"], ["v"],
-                       {"v": "old.v * 3 + new.v - old.v * 2"}, "lsn", block=4)
+                       {"v": "old.v * 3 + new.v - old.v * 2"}, "lsn", block=4, associative=True)
     # rule: v' = old.v + new.v (written awkwardly), an associative sum
     expect = {}
     for k, p, v in sorted(rows, key=lambda r: r[1]):
