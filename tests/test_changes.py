@@ -100,7 +100,8 @@ def seq_outcomes(target, feed):
     live = set(target)
     out = []
     for lsn, seq, op, k, v, tag in sorted(feed, key=lambda r: (r[0], r[1])):
-        if k is None:
+        if k is None:         # never matches a row
+            out.append((lsn, seq, "failed" if op == 4 else "processed"))
             continue
         if op == 1:
             ok = True
