@@ -166,4 +166,4 @@ def digest(annotated: DataFrame) -> DataFrame:
     return annotated.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "spans")
+        (F.col("n_hit") > 0).alias("contaminated"))

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm import bpe_replay, decontaminate, jaccard_join, langid, license_scan, rp_forest, substring_dedup, token_attribution, token_store, warc
+from changeflow.llm import (bpe_replay, decontaminate, jaccard_join, langid, license_scan, oracle, rp_forest,
+                            substring_dedup, token_attribution, token_store, warc)
 from changeflow.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_warc": oracle.OP3, "op4_decontaminate": oracle.OP4, "op7_substring_dedup": oracle.OP7,
+                          "op10_jaccard_join": oracle.OP10}
 
 
 def query(fn):
