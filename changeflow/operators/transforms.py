@@ -7,12 +7,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeflow.functions.columns import any_changed, present
 from changeflow.operators.ordered import keyed_neighbor, keyed_row_number
+from changeflow.session import written
 
 # ---------------------------------------------------------------- F1 - F8
 
@@ -40,12 +40,14 @@ def route(df: DataFrame, condition: str | Column, persist: bool = False
 
 
 def fork(df: DataFrame, n: int = 2, persist: bool = True) -> list[DataFrame]:
-    """the same rows to ``n`` outputs (1..3); persisted once when more than
-    one output will be computed, so the input is read once."""
+    """the same rows to ``n`` outputs (1..3).  When more than one output
+    will be computed the rows are written once to the shared folder, so the
+    input is read once and nothing stays cached (``persist=False`` leaves the
+    plan as it is)."""
     if not 1 <= n <= 3:
         raise ValueError("a fork has 1 to 3 outputs")
     if n > 1 and persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = written(df, "fork")
     return [df] * n
 
 
