@@ -43,6 +43,7 @@ from pyspark.sql.types import StructType
 
 from changeflow.operators import changes as ch
 from changeflow.operators.merge import MergeSpec, restrict_to_keys, run_merge
+from changeflow.session import remove_paths
 
 
 def read_feed_stream(spark: SparkSession, path: str, schema: StructType | str,
@@ -92,14 +93,6 @@ def _read_batches(spark: SparkSession, path: str, after: int | None, upto: int |
     return df
 
 
-def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
-    """Delete folders through the file system Spark itself uses for them."""
-    jvm = spark._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _children(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
     """Number -> path of the folders ``<prefix><number>`` under ``path``."""
     jvm = spark._jvm
@@ -163,7 +156,7 @@ class _Compacted:
             return
         old = [p for d in self.delta_paths() for b, p in _children(spark, d, "batch_id=").items() if b <= version]
         old += [p for b, p in _children(spark, os.path.join(self.root, "base"), "v=").items() if b - 1 < version]
-        _remove(spark, old)
+        remove_paths(spark, old)
 
 
 @dataclass
