@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import ASCII_LOWER, ranges, rows_that_may_match, stored, text_slices
+from changeflow.llm.common import ASCII_LOWER, ranges, rows_that_may_match, scratch, stored, text_slices
 from changeflow.llm.components import components
 from changeflow.llm.rolling import BASES, WordHashes, Windows, mix
 
@@ -267,7 +267,8 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, node, n_shingles, component_id of every document: the smallest
     doc_id that links reach, its own included."""
     known = stored(profiles(docs, width, percent), "profiles")
-    roots = components(link_edges(docs, known, width, percent))
+    with scratch(docs.sparkSession):
+        roots = stored(components(link_edges(docs, known, width, percent)), "roots", keep=True)
     rows = _with_root(known.select("doc_id", "node", "n"), roots)
     least = rows.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(

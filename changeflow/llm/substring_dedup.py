@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import ranges, rows_that_may_match, space_words, stored, text_slices
+from changeflow.llm.common import ranges, rows_that_may_match, scratch, space_words, stored, text_slices
 from changeflow.llm.rolling import BASES, WordHashes, Windows, sliding_argmin
 
 SLICE = 2 << 20     # text hashed at once by a Python worker
@@ -161,7 +161,9 @@ def dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     names = [f.name for f in _ADDED]
     own = docs.drop(*names, "text_hash").withColumn("text_hash", F.xxhash64("doc_id", "text"))
     key = own.select(F.col("doc_id").cast("long"), "text", "text_hash")
-    spans = repeated(key, size).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    with scratch(docs.sparkSession):
+        spans = repeated(key, size).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        spans = stored(spans, "spans", keep=True)
     rows = own.join(spans, (own["text_hash"] == spans["text_hash"]) & own["doc_id"].cast("long").eqNullSafe(spans["doc_id"]), "left")
     kept = docs.drop(*names, "text_hash")
     rows = rows.select(*(own[c] for c in kept.columns), spans["spans"])

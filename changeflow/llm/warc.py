@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm.common import filesystem, text_slices
+from changeflow.session import remove_paths
 
 ARCHIVE_BYTES = 1 << 30
 STREAM_LEVEL, MEMBER_LEVEL = 1, 4
@@ -175,9 +176,10 @@ def _a_file_a_task(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(max(1, manifest.count()), "file")
 
 
-def normalise(manifest: DataFrame, folder: str) -> DataFrame:
+def normalise(manifest: DataFrame, folder: str, keep_streams: bool = False) -> DataFrame:
     """Rewrite each archive of ``manifest`` with one gzip member a record and
-    a sidecar index (record id, type, offset, length); the new manifest."""
+    a sidecar index (record id, type, offset, length); the new manifest.  The
+    streams are removed once all are rewritten, unless ``keep_streams``."""
     fs, path = filesystem(folder)
     fs.create_dir(f"{path}/members", recursive=True)
 
@@ -199,7 +201,9 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                         at, n = at + len(member), n + 1
                 done.append((new, n))
         yield from _manifest(done)
-    (_a_file_a_task(manifest).mapInArrow(rewrite, MANIFEST).write.parquet(f"{folder}/manifest"))
+    _a_file_a_task(manifest).mapInArrow(rewrite, MANIFEST).write.parquet(f"{folder}/manifest")
+    if not keep_streams:
+        remove_paths(manifest.sparkSession, [f"{folder}/streams"])
     return manifest.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
