@@ -108,9 +108,10 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """``rows`` (token, node, n) whose token another row has too, with the
-    number of rows that have it."""
+    number of rows that have it.  The counts are written before the join, so
+    that AQE may split a hot token's rows; so are those below."""
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    return rows.join(counts, "token")
+    return rows.join(stored(counts, "counts"), "token")
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     tokens, the one of the highest score (the mean number of holders)."""
     hubs = (rows.groupBy("token").agg(F.max(F.struct("score", "node")).alias("hub"), F.count(F.lit(1)).alias("held"))
             .filter("held > 1").select("token", F.col("hub.node").alias("x")))
-    votes = rows.join(hubs, "token").filter("x != node").groupBy("node", "x").agg(F.count(F.lit(1)).alias("v"))
+    votes = rows.join(stored(hubs, "hubs"), "token").filter("x != node").groupBy("node", "x").agg(F.count(F.lit(1)).alias("v"))
     return (votes.groupBy("node").agg(F.max(F.struct("v", "x")).alias("best"))
             .select(F.col("best.x").alias("x"), F.col("node").alias("y")))
 
@@ -127,7 +128,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """The pairs (x, y) that link.  ``texts``: (node, text), one row a node.
     Texts are sorted so that a hub's text stands before those it is compared
     with; a hub of many pairs is dealt over tasks with a copy of its text."""
-    n = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / HUB_TEXTS).cast("int").alias("n"))
+    pairs = stored(pairs, "pairs")
+    n = stored(pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / HUB_TEXTS).cast("int").alias("n")), "pairs-of-hubs")
     dealt = pairs.join(n, "x").select("x", "y", F.pmod(F.xxhash64("y"), "n").cast("int").alias("part"))
     hubs = n.select("x", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     rows = dealt.unionByName(hubs)
@@ -193,7 +195,7 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     ``rows``: token, node, n, root, left (shared tokens from this one on)."""
     held = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     largest = held.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
-    rows = rows.join(largest.filter("roots > 1").drop("roots"), "token")
+    rows = stored(rows.join(stored(largest.filter("roots > 1").drop("roots"), "largest"), "token"), "rare-rows")
 
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP)) + 1e-9).cast("int")
@@ -225,11 +227,10 @@ def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> D
     rows = _with_root(rows.drop("score"), components(edges))
     several = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
                .filter("lo != hi").select("token", "held"))
-    rows = stored(rows.join(several, "token"), "several")
+    rows = stored(rows.join(stored(several, "tokens-of-several"), "token"), "several")
     heavy = rows.groupBy("node").agg(F.max("n").alias("n"), F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
     light = rows.filter(F.col("held") <= LIGHT).join(heavy.select("node", "h"), "node")
-    pairs = stored(_light_pairs(light, percent), "pairs")
-    edges = stored(edges.unionByName(verify(pairs, texts, width, percent)), "links")
+    edges = stored(edges.unionByName(verify(_light_pairs(light, percent), texts, width, percent)), "links")
 
     # round 2: whole sets of the documents that may share heavy tokens alone
     chosen = stored(texts.join(heavy.filter(F.col("h") >= least).select("node"), "node", "left_semi"), "costly")
@@ -244,7 +245,7 @@ def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> D
             .select("token", "node", "n", "score", "left"))
     rows = stored(rows, "rarest")
     edges = stored(edges.unionByName(verify(_hub_pairs(rows), chosen, width, percent)), "links")
-    pairs = stored(_rare_pairs(_with_root(rows.drop("score"), components(edges)), percent), "pairs")
+    pairs = _rare_pairs(_with_root(rows.drop("score"), components(edges)), percent)
     return edges.unionByName(verify(pairs, chosen, width, percent))
 
 

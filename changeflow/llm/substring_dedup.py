@@ -135,12 +135,13 @@ def repeated(docs: DataFrame, size: int) -> DataFrame:
     # level 1: anchors that repeat
     anchors = (found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
                .filter("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")))
-    alive = stored(found.join(anchors, "gram"), "repeated-runs")
+    # written before the join, so that AQE may split a hot anchor's rows
+    alive = stored(found.join(stored(anchors, "anchors"), "gram"), "repeated-runs")
     mixed = alive.filter("mixed")
     contexts = mixed.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "last", "at")).alias("one"))
     contexts = stored(contexts, "contexts")
-    whole = mixed.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"])
+    whole = mixed.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"])   # contexts is written
     settled = alive.filter("NOT mixed").select("doc_id", "text_hash", "first", "last").unionByName(
         whole.select("doc_id", "text_hash", "first", "last"))
     # level 2: one run of each context, its windows at twice the anchor's length
@@ -148,10 +149,10 @@ def repeated(docs: DataFrame, size: int) -> DataFrame:
     where = F.struct("doc_id", "text_hash", "at")
     pairs = (tried.groupBy("gram", "pair").agg(F.min(where).alias("lo"), F.max(where).alias("hi"))
              .filter("NOT lo <=> hi").select("gram", "pair"))
-    doubled = tried.join(pairs, ["gram", "pair"])
+    doubled = stored(tried.join(stored(pairs, "pairs"), ["gram", "pair"]), "doubled")
     # level 3: full length
     windows = doubled.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "window")
-    single = doubled.join(windows, ["gram", "window"]).select("doc_id", "text_hash", "first", F.col("first").alias("last"))
+    single = doubled.join(stored(windows, "repeated-windows"), ["gram", "window"]).select("doc_id", "text_hash", "first", F.col("first").alias("last"))
     return settled.unionByName(single)
 
 
