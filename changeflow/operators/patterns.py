@@ -20,9 +20,6 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from changeflow.functions.columns import present
 from changeflow.functions.diacritics import strip_diacritics
-from changeflow.operators.skew import null_key
-
-NULL_SALTS = 32
 
 # Detector kinds and the texts of their suggestions.
 SWAP = "column_swap"
@@ -160,12 +157,7 @@ def n_way_match(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str],
     keys = list(keys)
     order = dict(order or {})
     (a0, d0), rest = sources[0], sources[1:]
-    # rows of the first source with a null key part would all meet in one
-    # task: they are dealt over NULL_SALTS of them, each with its own copy of
-    # the other sources' null-key rows (one row a key)
-    out = d0.select(*[F.col(c).alias(f"{a0}__{c}") for c in d0.columns],
-                    F.when(null_key(keys), F.pmod(F.xxhash64(*d0.columns), F.lit(NULL_SALTS)))
-                    .otherwise(F.lit(0)).cast("int").alias("__salt"))
+    out = d0.select(*[F.col(c).alias(f"{a0}__{c}") for c in d0.columns])
     for alias, df in rest:
         cols = [c for c in df.columns if c not in keys]
         row = F.struct(*[F.col(c) for c in cols])
@@ -174,15 +166,14 @@ def n_way_match(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str],
         else:
             first = F.min(row)
         red = df.groupBy(*keys).agg(first.alias("_r"))
-        salts = F.when(null_key(keys), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
         red = red.select(*[F.col(k).alias(f"{alias}__{k}") for k in keys],
-                         *[F.col(f"_r.{c}").alias(f"{alias}__{c}") for c in cols], F.explode(salts).alias(f"{alias}__salt"))
-        cond = out["__salt"] == red[f"{alias}__salt"]
+                         *[F.col(f"_r.{c}").alias(f"{alias}__{c}") for c in cols])
+        cond = None
         for k in keys:
             c = out[f"{a0}__{k}"].eqNullSafe(red[f"{alias}__{k}"])
             cond = c if cond is None else cond & c
-        out = out.join(red, cond, "inner").drop(f"{alias}__salt")
-    return out.drop("__salt")
+        out = out.join(red, cond, "inner")
+    return out
 
 
 # ---------------------------------------------------------------- Q6
