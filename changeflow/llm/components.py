@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
                        .unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("root")))
                        .groupBy("node").agg(F.min("root").alias("root")), "hooks")
         while True:
-            jumped = stored(_map(hooks.withColumn("old", F.col("root")), "root", hooks), "hooks")
+            # two jumps a table: most hooks are stars by then
+            jumped = stored(_map(_map(hooks.withColumn("old", F.col("root")), "root", hooks), "root", hooks), "hooks")
             moved = not jumped.filter("root != old").isEmpty()
             hooks = jumped.drop("old")
             if not moved:
