@@ -21,7 +21,7 @@ have at least l of them.
 
 Those documents, whose candidates would cost most, form the next round, with
 their prefixes lengthened to the whole set and l to ceil(t n): of the c
-shingles that occur elsewhere only the rarest c - l + 1 are needed then, and
+shingles that other components hold only the rarest c - l + 1 are needed then, and
 the r-th of them only for partners with which at most c - r + 1 must be
 shared.  Again a hub first, then the remaining pairs of different components:
 rows outside a shingle's largest component are matched with its other rows
@@ -224,12 +224,12 @@ def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> D
     texts = stored(texts, "texts").dropDuplicates(["node"])
     rows = alive.select(F.explode("tokens").alias("token"), "node", "n", "score", F.size("tokens").alias("c"))
     edges = stored(verify(_hub_pairs(rows), texts, width, percent), "links")
-    rows = _with_root(rows.drop("score"), components(edges))
-    several = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-               .filter("lo != hi").select("token", "held"))
-    rows = stored(rows.join(stored(several, "tokens-of-several"), "token"), "several")
-    heavy = rows.groupBy("node").agg(F.max("n").alias("n"), F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
-    light = rows.filter(F.col("held") <= LIGHT).join(heavy.select("node", "h"), "node")
+    # only tokens that other components hold too can link to one
+    rows = stored(_held_by_several(_with_root(rows.select("token", "node", "n"), components(edges))), "several")
+    heavy = rows.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"),
+                                     F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
+    heavy = stored(heavy.filter(F.col("c") >= least), "matches")
+    light = rows.filter(F.col("held") <= LIGHT).join(heavy.select("node", "c", "h"), "node")
     edges = stored(edges.unionByName(verify(_light_pairs(light, percent), texts, width, percent)), "links")
 
     # round 2: whole sets of the documents that may share heavy tokens alone
@@ -237,16 +237,34 @@ def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> D
     if chosen.isEmpty():
         return edges
     whole = stored(whole_sets(chosen, width), "whole-sets")
-    rows = _shared(whole.select(F.explode("tokens").alias("token"), "node", "n"))
+    rows = whole.select(F.explode("tokens").alias("token"), "node", "n")
+    ranked = stored(_rarest(_with_root(rows, components(edges)), percent), "rarest")
+    edges = stored(edges.unionByName(verify(_hub_pairs(ranked), chosen, width, percent)), "links")
+    # documents that went cannot link to another component: count without them
+    left = whole.join(ranked.select("node").distinct(), "node", "left_semi")
+    rows = left.select(F.explode("tokens").alias("token"), "node", "n")
+    ranked = stored(_rarest(_with_root(rows, components(edges)), percent), "rarest")
+    return edges.unionByName(verify(_rare_pairs(ranked, percent), chosen, width, percent))
+
+
+def _held_by_several(rows: DataFrame) -> DataFrame:
+    """``rows`` whose token more than one component (root) holds, with the
+    number of the token's rows."""
+    several = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+               .filter("lo != hi").select("token", "held"))
+    return rows.join(stored(several, "tokens-of-several"), "token")
+
+
+def _rarest(rows: DataFrame, percent: int) -> DataFrame:
+    """Of whole sets (token, node, n, root), the tokens that may be the first
+    one shared with another component: left is the number of the node's tokens
+    that others hold, from this one on, in order of rarity."""
     mine = W.partitionBy("node")
-    rows = rows.withColumns({"c": F.count(F.lit(1)).over(mine), "r": F.row_number().over(mine.orderBy("df", "token")),
-                             "score": F.avg("df").over(mine)})
-    rows = (rows.withColumn("left", F.col("c") - F.col("r") + 1).filter(F.col("left") >= F.ceil(percent * F.col("n") / 100))
-            .select("token", "node", "n", "score", "left"))
-    rows = stored(rows, "rarest")
-    edges = stored(edges.unionByName(verify(_hub_pairs(rows), chosen, width, percent)), "links")
-    pairs = _rare_pairs(_with_root(rows.drop("score"), components(edges)), percent)
-    return edges.unionByName(verify(pairs, chosen, width, percent))
+    rows = _held_by_several(rows)
+    rows = rows.withColumns({"c": F.count(F.lit(1)).over(mine), "r": F.row_number().over(mine.orderBy("held", "token")),
+                             "score": F.avg("held").over(mine)})
+    return (rows.withColumn("left", F.col("c") - F.col("r") + 1).filter(F.col("left") >= F.ceil(percent * F.col("n") / 100))
+            .select("token", "node", "n", "root", "score", "left"))
 
 
 def whole_sets(texts: DataFrame, width: int) -> DataFrame:
