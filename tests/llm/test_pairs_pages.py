@@ -66,6 +66,30 @@ def test_jaccard_keep_one(docs, rows, no_docs):
     assert jaccard_join.join(no_docs).count() == 0
 
 
+def copies_below_op10():
+    """Texts and copies of similarity 0.80 to 0.85: cut, appended, edited, and
+    a group of copies of one text."""
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    out = []
+    for i in range(12):
+        w = prose(200)
+        edited = [f"edit{k}" if k % 47 == 23 else x for k, x in enumerate(w)]
+        out += [w, (w[:166], w + prose(40), edited)[i % 3]]
+    group = prose(300)
+    out += [group, *(group[:249 - i] + prose(2) for i in range(4))]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
+    texts = copies_below_op10()
+    expected = {c for *_, c in brute.link_components(texts, 5, 80)}
+    assert len(expected) == 13 < len({c for *_, c in brute.link_components(texts)})
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, spark.createDataFrame(texts, "doc_id long, text string"), None)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(expected)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (-5, 9), (9, -5)] + [(1000, 1000 + i) for i in range(200)]
