@@ -283,26 +283,36 @@ def whole_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, node, n_shingles, component_id of every document: the smallest
-    doc_id that links reach, its own included."""
+    """doc_id, node, root, n_shingles, component_id of every document: root is
+    the smallest node that links reach, component_id the smallest doc_id, its
+    own included."""
     known = stored(profiles(docs, width, percent), "profiles")
     with scratch(docs.sparkSession):
         roots = stored(components(link_edges(docs, known, width, percent)), "roots", keep=True)
     rows = _with_root(known.select("doc_id", "node", "n"), roots)
     least = rows.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
-        "doc_id", "node", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        "doc_id", "node", "root", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The registered query's columns."""
-    return join(docs.select("doc_id", "text")).drop("node")
+    return join(docs.select("doc_id", "text")).drop("node", "root")
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """``docs``, columns unchanged, with one document of each component: the
-    one with the smallest doc_id (of rows repeating it, the smallest text hash)."""
-    found = join(docs, width, percent).select("doc_id", "node", "component_id")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("node").alias("node"))
-    own = docs.withColumn("__node", F.xxhash64("doc_id", "text"))
-    return own.join(kept.select(F.col("node").alias("__node")), "__node", "left_semi").drop("__node").select(*docs.columns)
+    """``docs``, columns unchanged, with one row of each component: the one
+    with the smallest doc_id, null after all others; of texts that share it,
+    the smallest text hash; of rows that repeat id and text, the smallest hash
+    of the other columns.
+
+    Rows of one node are met before the join, combined map-side, so a row that
+    is repeated often does not land in one task."""
+    found = join(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.node").alias("__node"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    own = (docs.groupBy(F.xxhash64("doc_id", "text").alias("__node"))
+           .agg(F.min_by(F.struct(*docs.columns), tie).alias("__row")))
+    return own.join(kept, "__node", "left_semi").select("__row.*")

@@ -66,6 +66,28 @@ def test_jaccard_keep_one(docs, rows, no_docs):
     assert jaccard_join.join(no_docs).count() == 0
 
 
+def test_jaccard_keep_one_keeps_a_row_of_each_component(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))
+    lone, shared, copied = [prose() for _ in range(20)], [prose() for _ in range(3)], prose()
+    alone = prose()
+    rows = [(None, t, "a") for t in lone]                       # null ids, nothing links
+    rows += [(7, t, "a") for t in shared]                       # one id, nothing links
+    rows += [(9, alone, s) for s in ("c", "b", "b", "d")]       # id and text repeated
+    rows += [(None, copied, "a"), (12, copied, "a"), (11, copied + " more", "a"), (11, copied + " more", "a"), (None, copied, "a")]
+    rows += [(None, None, "a"), (20, None, "a"), (21, "", "a")]
+    expected = [*((None, t) for t in lone), *((7, t) for t in shared), (9, alone), (11, copied + " more"),
+                (None, None), (20, None), (21, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for width, percent in ((4, 85), (5, 80)):
+        got = jaccard_join.keep_one(df, width, percent).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(expected, key=repr)
+    assert {r.source for r in got if r.doc_id == 9} <= {"b", "c", "d"}
+    assert jaccard_join.keep_one(df.select("doc_id", "text")).count() == len(expected)
+    assert sorted(map(tuple, jaccard_join.keep_one(df.repartition(2)).collect()), key=repr) == sorted(
+        map(tuple, jaccard_join.keep_one(df.repartition(7)).collect()), key=repr)
+
+
 def copies_below_op10():
     """Texts and copies of similarity 0.80 to 0.85: cut, appended, edited, and
     a group of copies of one text."""
