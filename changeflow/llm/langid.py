@@ -43,6 +43,8 @@ CHARS_PER_DOC = 4_000
 CHARS_PER_LANG = 120_000
 MAX_LANGS = 500           # more distinct values of lang are an error
 MEMO_WORDS = 500_000
+MOST_BITS = 8.0           # bits a character beyond which a text is of no learned language
+LEAST_CHARS = 20          # letters and word ends from which a text is judged so
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -160,11 +162,15 @@ class Parser:
         return sums * self.bits / np.maximum(n, 1)[:, None], n
 
 
-def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, str], fits: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score: 0 where the two cheapest languages
-    cost the same, near 1 where the second costs far more."""
-    kept = docs.drop("lang_pred", "score")
-    names = [*kept.columns, "lang_pred", "score"]
+    cost the same, near 1 where the second costs far more.  ``fits`` names a
+    further column: whether the text has letters and, from ``LEAST_CHARS`` on,
+    costs at most ``MOST_BITS`` a character in the cheapest language; without
+    a learned language, whether it has letters."""
+    added = ["lang_pred", "score", *([fits] if fits else [])]
+    kept = docs.drop(*added)
+    names = [*kept.columns, *added]
     shared = docs.sparkSession.sparkContext.broadcast(samples)    # bounded by fit()
 
     def run(batches):
@@ -181,18 +187,23 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.where(n > 0, 1 - best / second, 0.0)
                 score = np.clip(np.nan_to_num(score), 0, 1)
+                fit_well = (n > 0) & ((n < LEAST_CHARS) | (best <= MOST_BITS))
             else:
                 langs, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                                             names=names)
+                fit_well = [bool(t and _LETTERS.search(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()),
+                                              *([pa.array(fit_well, pa.bool_())] if fits else [])], names=names)
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-                                              T.StructField("score", T.DoubleType())]))
+                                              T.StructField("score", T.DoubleType()),
+                                              *([T.StructField(fits, T.BooleanType())] if fits else [])]))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with a language, columns unchanged: those without a
-    letter, which no language can be told for, go."""
-    return predict(docs, fit(docs)).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """The documents that may be of a learned language, columns unchanged:
+    those without a letter go, and those that cost more than ``MOST_BITS`` a
+    character in every language.  Texts of fewer than ``LEAST_CHARS`` are too
+    short to tell; if nothing could be learned, all with letters stay."""
+    return predict(docs, fit(docs), "__fits").filter("__fits").select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -243,6 +243,24 @@ def test_language_id_defined_cases(docs, no_docs, sample):
     assert not {"12345 !!! ...", "", None} & kept and {"word", "Two words"} <= kept
 
 
+def test_language_stage_rejects_by_bits(sample, spark):
+    df = sample[0].select("doc_id", "text", "lang")
+    rng = np.random.default_rng(6)
+    gibberish = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 11))) for _ in range(k)) for k in (8, 30, 200)]
+    strange = ["Быстрая коричневая лиса прыгает через ленивую собаку", "これは習ったことのない言語で書かれた文章です、まったく"]
+    short = ["Qzx", "Жук."]
+    added = spark.createDataFrame([(9_000_000 + i, t, None) for i, t in enumerate([*gibberish, *strange, *short])], df.schema)
+    kept = langid.keep_identified(df.unionByName(added))
+    clean = [(d, t) for d, t in sample[1] if any(c.isalpha() for c in t or "")]
+    assert rows_of(kept, "doc_id", "text") == sorted([*clean, *((9_000_005 + i, t) for i, t in enumerate(short))], key=repr)
+
+
+def test_language_stage_without_anything_learned(sample, docs):
+    for df, texts in ((sample[0], sample[1]), (docs, [tuple(r) for r in docs.select("doc_id", "text").collect()])):
+        kept = langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string")))
+        assert rows_of(kept, "doc_id", "text") == sorted(((d, t) for d, t in texts if any(c.isalpha() for c in t or "")), key=repr)
+
+
 def longest_matches(train, text):
     n, i = 0, 0
     while i < len(text):
