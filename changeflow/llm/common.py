@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -136,14 +136,15 @@ class ChunkEncoder:
     at such blanks only.  ``encode`` maps a list of chunks, and whether each
     must be encoded alone, to (all ids, number of ids of each chunk).  Beyond
     ``max_chunks`` entries or ``max_chars`` characters the memo keeps the half
-    of its entries that were used most.
+    of its entries that were used most.  A text that holds one of the strings
+    ``whole`` is one chunk that must be encoded alone.
 
     A chunk's memo key is the chunk without its blank, or with its line end;
     after two line ends it is a chunk that must be encoded alone.
     """
 
-    def __init__(self, encode, max_chunks: int = 300_000, max_chars: int = 16 << 20):
-        self.encode, self.max_chunks, self.max_chars = encode, max_chunks, max_chars
+    def __init__(self, encode, max_chunks: int = 300_000, max_chars: int = 16 << 20, whole: Iterable[str] = ()):
+        self.encode, self.max_chunks, self.max_chars, self.whole = encode, max_chunks, max_chars, tuple(whole)
         self.pending: list[str] = []
         self.index = _Index(self.pending)
         self.ids = np.zeros(0, np.uint32)
@@ -174,6 +175,8 @@ class ChunkEncoder:
         texts = texts.cast(pa.large_string())
         present = pc.fill_null(pc.not_equal(texts, ""), False)
         odd = pc.and_(present, pc.fill_null(pc.match_substring_regex(texts, _OTHER_SPACE), False))
+        for string in self.whole:
+            odd = pc.or_(odd, pc.fill_null(pc.match_substring(texts, string), False))
         plain = pc.and_(present, pc.invert(odd))
         n_keys = np.zeros(len(texts), np.int64)
         start = np.zeros(len(texts), np.int64)
@@ -187,7 +190,8 @@ class ChunkEncoder:
         start[rows] = np.cumsum(n_keys[rows]) - n_keys[rows]
         at = len(places[0])
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            first, *rest = _SINGLE.split(texts[i].as_py())
+            text = texts[i].as_py()
+            first, *rest = [text] if any(s in text for s in self.whole) else _SINGLE.split(text)
             keys = [_ALONE + first, *(f"{_ALONE} {p}" for p in rest)]
             places.append(np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys)))
             start[i], n_keys[i] = at, len(keys)
@@ -221,24 +225,33 @@ def joined(encode_all, token_bytes: np.ndarray, group: int = 50):
     """A chunk encoder over ``encode_all`` (list of texts -> list of id lists).
 
     Chunks that need not be alone are encoded as one text of up to ``group``
-    chunks; the ids' byte lengths tell the chunks apart again."""
+    chunks; the ids' byte lengths tell the chunks apart again.  Of a chunk
+    encoded alone only the sum counts: its ids may leave out white space."""
     def encode(chunks: list[str], alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         texts: list[str] = []
         held: list[str] = []
+        singles: list[int] = []
         for chunk, single in zip(chunks, alone):
             if single or len(held) == group:
                 if held:
                     texts.append("".join(held))
                 held = []
             if single:
+                singles.append(len(texts))
                 texts.append(chunk)
             else:
                 held.append(chunk)
         if held:
             texts.append("".join(held))
-        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in encode_all(texts))])
+        coded = [np.array(x, np.int64) for x in encode_all(texts)]
+        ids = np.concatenate([np.zeros(0, np.int64), *coded])
         ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
-        covered = np.cumsum(token_bytes[ids])
+        size = token_bytes[ids]
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        last = np.cumsum(n)[singles] - 1
+        size[ranges(last + 1 - n[singles], n[singles])] = 0
+        size[last] = [len(texts[i].encode()) for i in singles]
+        covered = np.cumsum(size)
         last = np.searchsorted(covered, ends)
         if len(ends) and not (covered[last] == ends).all():
             raise ValueError("a token crosses the end of a chunk")

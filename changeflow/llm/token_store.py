@@ -41,18 +41,23 @@ MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 
 
 def library_encoder(tokenizer_path: str):
-    """Chunk encoder over a file of the tokenizers library, without special
-    tokens: their strings in a text are ordinary text."""
+    """Chunk encoder over a file of the tokenizers library, with the library's
+    defaults: no token is added, the string of an added token is its one id.
+    An added token without white space lies within one chunk; a text that holds
+    another is encoded whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path)
-    tok.encode_special_tokens = True
     vocab = tok.get_vocab(with_added_tokens=True)
     token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
     for token, i in vocab.items():
         token_bytes[i] = len(token)          # byte-level tokens have a character for each byte
+    added = tok.get_added_tokens_decoder()
+    for i, token in added.items():
+        token_bytes[i] = len(token.content.encode())
+    whole = [t.content for t in added.values() if t.lstrip or t.rstrip or any(c.isspace() for c in t.content)]
     return ChunkEncoder(joined(
-        lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], token_bytes))
+        lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], token_bytes), whole=whole)
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from changeflow.llm import (bpe_replay, decontaminate, langid, license_scan, substring_dedup, token_attribution,
                             token_store)
@@ -101,6 +101,26 @@ def test_token_store(which, spark, docs, no_docs, rows, sample):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+def test_token_store_with_the_librarys_defaults(spark, rows, tmp_path):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"x{end}{end}y", f"a  {end}  b", f"one\n{end}\ntwo {end}", f"{end} {end}\n\n {end}", "<|endoftext| >", f"it's{end}'s"]
+    texts += [(t or "").replace(" ", f" {end} ", 3).replace("e", f"e{end}", 2) for _, t in rows] + [f"a [long  one] b <s> c\t<é> d<é>é <s>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    more = Tokenizer.from_file(LIBRARY)
+    more.add_tokens([AddedToken("[long  one]"), AddedToken("<s>", lstrip=True, rstrip=True), AddedToken("<é>", special=True)])
+    more.save(str(tmp_path / "more.json"))
+    for path in (LIBRARY, str(tmp_path / "more.json")):
+        tok = Tokenizer.from_file(path)
+        ids = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert 50256 in ids[0] and len(ids[1]) == 2
+        folder = new_path(spark, "store")
+        token_store.write_store(df, folder, path)
+        got = token_store.digest(token_store.read_store(spark, folder))
+        starts = np.cumsum([0, *map(len, ids)]).tolist()
+        same(got, ("doc_id", "start", "n_tokens", "ids_crc32"),
+             [(i, starts[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)])
+
+
 def test_lost_attempts_leave_no_trace(spark, sample):
     folder = new_path(spark, "store")
     token_store.write_store(sample[0], folder, LIBRARY)
