@@ -13,7 +13,8 @@ one group, the usual case, it builds the automaton once and keeps it.
 Defined cases: a null or empty text has no words and is clean; an empty
 benchmark leaves every document clean; repeated items or rows are each
 reported as they stand; null item texts have no window; null item ids never
-appear among the items but their windows still hit.
+appear among the items but their windows still hit.  A worker that does not
+find a written group, or not all of its windows, raises.
 """
 
 from __future__ import annotations
@@ -95,13 +96,16 @@ class Matcher:
 _MATCHERS: dict[str, Matcher] = {}     # of this worker: one automaton at most
 
 
-def _matcher(path: str) -> Matcher | None:
+def _matcher(path: str, n: int) -> Matcher:
+    """The automaton of a group's folder, which holds ``n`` windows."""
     if path not in _MATCHERS:
         _MATCHERS.clear()
         fs, own = filesystem(path)
         if fs.get_file_info(own).type.name == "NotFound":
-            return None
+            raise FileNotFoundError(f"{path}: a group of benchmark windows that was written is not found")
         t = pads.dataset(own, filesystem=fs, format="parquet").to_table(columns=["item_id", "window"])
+        if t.num_rows != n:
+            raise RuntimeError(f"{path}: {t.num_rows} of {n} benchmark windows are found")
         _MATCHERS[path] = Matcher(sorted(zip(t["item_id"].to_pylist(), t["window"].to_pylist()), key=str))
     return _MATCHERS[path]
 
@@ -120,10 +124,11 @@ def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10,
     found = spark.read.parquet(raw)
     chars = found.agg(F.sum(F.length("window"))).first()[0] or 0
     n_groups = -(-chars // group_chars)
+    groups: list[tuple[str, int]] = []     # written ones and their windows: a hash may leave a group empty
     if n_groups:
-        (found.withColumn("g", F.pmod(F.xxhash64("item_id", "window"), F.lit(n_groups)))
-         .repartition(n_groups, "g").write.partitionBy("g").parquet(path))
-    groups = [f"{path}/g={g}" for g in range(n_groups)]
+        found = found.withColumn("g", F.pmod(F.xxhash64("item_id", "window"), F.lit(n_groups)))
+        found.repartition(n_groups, "g").write.partitionBy("g").parquet(path)
+        groups = [(f"{path}/g={r.g}", r.n) for r in found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").collect()]
     kept = docs.drop(*OUTPUT.names)
     names = [*kept.columns, *OUTPUT.names]
 
@@ -133,11 +138,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10,
             covered: list = [None] * len(words)
             items: list[set] = [set() for _ in words]
             for g in groups:
-                matcher = _matcher(g)
-                if matcher is not None:
-                    for i, w in enumerate(words):
-                        if w:
-                            covered[i] = matcher.hits(w, covered[i], items[i])
+                matcher = _matcher(*g)
+                for i, w in enumerate(words):
+                    if w:
+                        covered[i] = matcher.hits(w, covered[i], items[i])
             spans = [_spans(batch.column("text")[i].as_py(), c) if c is not None else []
                      for i, c in enumerate(covered)]
             yield pa.RecordBatch.from_arrays([

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
@@ -143,6 +144,26 @@ def test_decontamination(docs, rows, spark, items, group_chars):
     assert clean == sorted(((d,) for (d, *_), (_, _, hit, _) in zip(rows, brute.contamination(rows, items)) if not hit), key=repr)
 
 
+@pytest.mark.parametrize("group_chars", [1 << 20, 60])
+def test_decontamination_without_the_written_windows(docs, spark, items, monkeypatch, group_chars):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet",
+                        lambda self, path, *a, **k: None if "benchmark-windows" in path else write(self, path, *a, **k))
+    lost = decontaminate.annotate(docs, bench, group_chars=group_chars)
+    with pytest.raises(Exception, match="is not found"):
+        lost.collect()
+
+
+def test_decontamination_with_a_part_of_a_group(spark):
+    folder = new_path(spark, "part")
+    spark.createDataFrame([(1, " a b ")], "item_id long, window string").write.parquet(folder)
+    assert decontaminate._matcher(folder, 1).n_words == [2]
+    decontaminate._MATCHERS.clear()
+    with pytest.raises(RuntimeError, match="1 of 2"):
+        decontaminate._matcher(folder, 2)
+
+
 def test_decontamination_maps_to_the_original(spark):
     df = spark.createDataFrame([(1, "Xx Éé, One-TWO three; four")], "doc_id long, text string")
     got = decontaminate.annotate(df, spark.createDataFrame([(9, "one two")], "item_id long, text string")).first()
