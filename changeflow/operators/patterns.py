@@ -283,12 +283,18 @@ def pattern_trial(df: DataFrame, a: str, b: str, detector: Detector) -> DataFram
                   F.count(F.when(hit, 1)).alias("samples_matched"))
 
 
+def gate_verdict(analysis: DataFrame, min_match_percentage: float) -> DataFrame:
+    """Q15 as data: the statistics row and whether it passes the gate."""
+    return match_statistics(analysis).withColumn(
+        "passed", F.col("match_percentage") >= F.lit(float(min_match_percentage)))
+
+
 def preload_gate(analysis: DataFrame, min_match_percentage: float) -> DataFrame:
     """Q15: raise before a load when the sources agree too little; returns
     the statistics row otherwise.  Runs one small aggregate job."""
-    stats = match_statistics(analysis)
+    stats = gate_verdict(analysis, min_match_percentage)
     row = stats.first()
-    if row is not None and row["match_percentage"] < min_match_percentage:
+    if row is not None and not row["passed"]:
         raise ValueError(f"pre-load check failed: match {row['match_percentage']}% "
                          f"< {min_match_percentage}%")
-    return stats
+    return stats.drop("passed")

@@ -61,6 +61,16 @@ def test_analysis_and_gate(spark):
     pt.preload_gate(res, 50.0)
 
 
+def test_registered_gate_decides(spark):
+    from changeflow.catalog import patterns_q as q
+    sf = "/root/testdata/sf0.001"
+    assert {r["analysis"]: r["passed"] for r in q.q15(spark, sf).collect()} == {"all": False, "balance": True}
+    with pytest.raises(ValueError, match="pre-load"):
+        pt.preload_gate(q._analysis(spark, sf), q.GATE_BOUND)
+    passed = pt.preload_gate(q._analysis(spark, sf, {"balance": q.COLUMNS["balance"]}), q.GATE_BOUND)
+    assert passed.columns == pt.match_statistics(q._analysis(spark, sf)).columns
+
+
 def test_record_lookup_partial_null_keys(spark):
     target = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "x long, y long, v string")
     sample = spark.createDataFrame([(1, None), (None, None), (2, 1)], "x long, y long")
