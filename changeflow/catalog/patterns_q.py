@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeflow.catalog import register
 from changeflow.operators import patterns as pt
+from changeflow.session import written
 from changeflow.sources.fixtures import Tables, customer_dest, with_ctes
 
 COLUMNS = {"name": {"crm": "c_name", "dw": "c_name"},
@@ -14,10 +15,17 @@ COLUMNS = {"name": {"crm": "c_name", "dw": "c_name"},
            "segment": {"crm": "c_mktsegment", "dw": "c_mktsegment"}}
 
 
-def _analysis(spark, sf_dir, columns=COLUMNS):
+def _sources(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return pt.analyze_sources([("crm", t.customer), ("dw", customer_dest(t.customer))],
-                              columns, ["c_custkey"])
+    return [("crm", t.customer), ("dw", customer_dest(t.customer))]
+
+
+def _analysis(spark, sf_dir, columns=COLUMNS):
+    return pt.analyze_sources(_sources(spark, sf_dir), columns, ["c_custkey"])
+
+
+def _mismatches(spark, sf_dir):
+    return pt.analyze_mismatches(_sources(spark, sf_dir), COLUMNS, ["c_custkey"])
 
 
 # ------------------------------------------------------------------ SQL side
@@ -87,7 +95,7 @@ FROM entries GROUP BY row_id, c_custkey
 @register("q6_multi_source_analysis", Q6_SQL)
 def q6(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return a.select("row_id", "c_custkey", "matched", F.size("mismatches").cast("long").alias("n_mismatches"))
+    return a.select("row_id", "c_custkey", "matched", "n_mismatches")
 
 
 Q12_SQL = with_ctes(f"""
@@ -98,10 +106,9 @@ SELECT row_id, column_name, "values", detected_patterns, suggested_fix FROM entr
 
 @register("q12_pattern_labels", Q12_SQL)
 def q12(spark, sf_dir):
-    e = pt.mismatch_entries(_analysis(spark, sf_dir))
-    return e.select("row_id", "column_name",
-                    F.to_json("values", {"ignoreNullFields": "false"}).alias("values"),
-                    F.array_join("detected_patterns", ",").alias("detected_patterns"), "suggested_fix")
+    return _mismatches(spark, sf_dir).select(
+        "row_id", "column_name", F.to_json("values", {"ignoreNullFields": "false"}).alias("values"),
+        F.array_join("detected_patterns", ",").alias("detected_patterns"), "suggested_fix")
 
 
 A12_SQL = with_ctes(f"""
@@ -138,11 +145,14 @@ SELECT analysis, matched_records, unmatched_records, match_percentage, match_per
 
 @register("q15_preload_gate", Q15_SQL)
 def q15(spark, sf_dir):
-    """The gate's verdict on an analysis below its bound and on one above."""
-    def verdict(name, columns):
-        return pt.gate_verdict(_analysis(spark, sf_dir, columns), GATE_BOUND).select(
+    """The gate's verdict on an analysis below its bound and on one above,
+    both from one written analysis."""
+    analysis = written(_analysis(spark, sf_dir), "analysis")
+
+    def verdict(name, held):
+        return pt.gate_verdict(held, GATE_BOUND).select(
             F.lit(name).alias("analysis"), "matched_records", "unmatched_records", "match_percentage", "passed")
-    return verdict("all", COLUMNS).unionByName(verdict("balance", {"balance": COLUMNS["balance"]}))
+    return verdict("all", analysis).unionByName(verdict("balance", pt.only_columns(analysis, ["balance"])))
 
 
 @register("a12_match_statistics", A12_SQL)
@@ -162,7 +172,7 @@ FROM entries WHERE differs
 
 @register("s13_mismatch_export", S13_SQL)
 def s13(spark, sf_dir):
-    return pt.export_long(_analysis(spark, sf_dir))
+    return pt.export_long(_mismatches(spark, sf_dir))
 
 
 J12_SQL = with_ctes("""

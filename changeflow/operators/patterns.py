@@ -3,10 +3,11 @@
 ``analyze_sources`` matches the rows of several sources on key columns
 (the first source drives), compares each logical column across sources and
 labels every mismatch with the detectors that explain it (case, whitespace,
-diacritics, swapped columns).  Matching is a chain of hash joins on
-null-safe key equality after each secondary source is reduced to one row
-per key; detectors are column expressions, so the whole analysis is one
-Spark job with no Python per row.
+diacritics, swapped columns).  Matching is a chain of joins on null-safe key
+equality after each secondary source is reduced to one row per key; rows of a
+measured hot key are dealt over salts.  Detectors are column expressions over
+generic (column, text, text) entries, written once however many columns are
+compared, with no Python per row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from changeflow.functions.columns import present
 from changeflow.functions.diacritics import strip_diacritics
+from changeflow.operators.skew import DEFAULT_HOT_ROWS, SALT, copy_rows, deal_rows, hot_key_salts
 
 # Detector kinds and the texts of their suggestions.
 SWAP = "column_swap"
@@ -146,18 +148,23 @@ def label_patterns(a: Column, b: Column, detectors: Sequence[Detector] = DEFAULT
 # ---------------------------------------------------------------- J12
 
 def n_way_match(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str],
-                order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+                order: Mapping[str, Sequence[str]] | None = None,
+                hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Every row of the first source with the first matching row of each
     other source (null key equals null key); rows not found in every source
     are dropped.  Columns come out as ``<alias>__<column>``.
 
     Secondary sources are reduced to one row per key first (``min_by`` over
     the declared order, else the smallest row), so each join is 1:1 and a
-    hot key cannot multiply rows."""
+    hot key cannot multiply rows.  Rows of the first source whose key, null
+    included, holds more than ``hot_rows`` of them are dealt over salts, and
+    the one row of that key in every other source is copied to each salt."""
     keys = list(keys)
     order = dict(order or {})
     (a0, d0), rest = sources[0], sources[1:]
-    out = d0.select(*[F.col(c).alias(f"{a0}__{c}") for c in d0.columns])
+    salts = hot_key_salts(d0, keys, hot_rows)
+    dealt = deal_rows(d0, keys, salts)
+    out = dealt.select(*[F.col(c).alias(f"{a0}__{c}") for c in d0.columns], *([SALT] if salts is not None else []))
     for alias, df in rest:
         cols = [c for c in df.columns if c not in keys]
         row = F.struct(*[F.col(c) for c in cols])
@@ -165,15 +172,15 @@ def n_way_match(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str],
             first = F.min_by(row, F.struct(*[F.col(c) for c in order[alias]]))
         else:
             first = F.min(row)
-        red = df.groupBy(*keys).agg(first.alias("_r"))
+        red = copy_rows(df.groupBy(*keys).agg(first.alias("_r")), keys, salts)
         red = red.select(*[F.col(k).alias(f"{alias}__{k}") for k in keys],
-                         *[F.col(f"_r.{c}").alias(f"{alias}__{c}") for c in cols])
-        cond = None
+                         *[F.col(f"_r.{c}").alias(f"{alias}__{c}") for c in cols],
+                         *([F.col(SALT).alias(f"{alias}_{SALT}")] if salts is not None else []))
+        cond = F.lit(True) if salts is None else out[SALT] == red[f"{alias}_{SALT}"]
         for k in keys:
-            c = out[f"{a0}__{k}"].eqNullSafe(red[f"{alias}__{k}"])
-            cond = c if cond is None else cond & c
-        out = out.join(red, cond, "inner")
-    return out
+            cond = cond & out[f"{a0}__{k}"].eqNullSafe(red[f"{alias}__{k}"])
+        out = out.join(red, cond, "inner").drop(f"{alias}_{SALT}")
+    return out.drop(SALT)
 
 
 # ---------------------------------------------------------------- Q6
@@ -190,62 +197,86 @@ def _row_id(df: DataFrame, alias: str, keys: Sequence[str]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
+def _compared(sources: Sequence[tuple[str, DataFrame]], columns: Mapping[str, Mapping[str, str]],
+              keys: Sequence[str], order: Mapping[str, Sequence[str]] | None) -> DataFrame:
+    """row_id, keys and ``entries``: one struct per logical column with its
+    name, the values by source, whether they differ, and the two texts that
+    detectors look at (null where fewer than two sources hold the column)."""
+    if len(sources) < 2:
+        raise ValueError("analysis needs at least two sources")
+    aliases = [a for a, _ in sources]
+    m = n_way_match(sources, keys, order)
+    entries = []
+    for name, own in columns.items():
+        held = [(F.col(f"{a}__{own[a]}"), m.schema[f"{a}__{own[a]}"].dataType, a) for a in aliases if a in own]
+        texts = F.array(*[value_text(c, t) for c, t, _ in held])
+        seen = [detector_text(c, t) for c, t, _ in held[:2]] if len(held) > 1 else [F.lit(None).cast("string")] * 2
+        entries.append(F.struct(
+            F.lit(name).alias("column_name"),
+            F.map_from_arrays(F.array(*[F.lit(a) for _, _, a in held]), texts).alias("values"),
+            (F.size(F.array_distinct(F.array_compact(texts))) > 1).alias("differs"),
+            seen[0].alias("a"), seen[1].alias("b")))
+    return m.select(_row_id(m, aliases[0], keys).alias("row_id"),
+                    *[F.col(f"{aliases[0]}__{k}").alias(k) for k in keys], F.array(*entries).alias("entries"))
+
+
+def _chosen(detectors: Sequence[Detector], apply_patterns: Sequence[str] | None) -> Sequence[Detector]:
+    return [d for d in detectors if d.id in set(apply_patterns)] if apply_patterns else detectors
+
+
 def analyze_sources(sources: Sequence[tuple[str, DataFrame]],
                     columns: Mapping[str, Mapping[str, str]], keys: Sequence[str],
                     detectors: Sequence[Detector] = DEFAULT_DETECTORS,
                     apply_patterns: Sequence[str] | None = None,
                     order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Q6: one row per matched primary row with ``row_id``, ``matched`` (no
-    logical column differs) and ``mismatches`` - an array of structs
-    (column_name, values map alias -> text, detected_patterns, suggested_fix).
+    logical column differs), ``n_mismatches`` and ``mismatches`` - an array of
+    structs (column_name, values map alias -> text, detected_patterns,
+    suggested_fix).
 
     A logical column differs when the sources hold more than one distinct
-    non-null text.  Detectors look at the first two sources only."""
-    if len(sources) < 2:
-        raise ValueError("analysis needs at least two sources")
-    aliases = [a for a, _ in sources]
-    if apply_patterns:
-        detectors = [d for d in detectors if d.id in set(apply_patterns)]
-    m = n_way_match(sources, keys, order)
-    # stage 1: value texts, detector texts and the differ flag per column;
-    # stage 2: detector hits and suggestions from those (simple column refs,
-    # so each costly normalisation is computed once per row); stage 3: the
-    # mismatch array.  Catalyst keeps the stages apart where a collapse
-    # would repeat costly expressions.
-    keep = [F.col(f"{aliases[0]}__{k}") for k in keys]
-    row_id = _row_id(m, aliases[0], keys).alias("row_id")
-    s1, names = [], list(columns)
-    for i, name in enumerate(names):
-        present_src = [(a, columns[name][a]) for a in aliases if a in columns[name]]
-        texts = [value_text(F.col(f"{a}__{c}"), m.schema[f"{a}__{c}"].dataType) for a, c in present_src]
-        s1.append(F.map_from_arrays(F.array(*[F.lit(a) for a, _ in present_src]),
-                                    F.array(*texts)).alias(f"_v{i}"))
-        s1.append((F.size(F.array_distinct(F.array_compact(F.array(*texts)))) > 1).alias(f"_d{i}"))
-        if len(present_src) >= 2:
-            for j, (a, c) in enumerate(present_src[:2]):
-                s1.append(detector_text(F.col(f"{a}__{c}"), m.schema[f"{a}__{c}"].dataType)
-                          .alias(f"_t{i}_{j}"))
-    st1 = m.select(row_id, *keep, *s1)
-    s2 = []
-    for i, name in enumerate(names):
-        if f"_t{i}_0" in st1.columns:
-            ids, fix = label_patterns(F.col(f"_t{i}_0"), F.col(f"_t{i}_1"), detectors)
-        else:
-            ids, fix = F.array().cast("array<string>"), F.lit(None).cast("string")
-        s2.append(F.when(F.col(f"_d{i}"), F.struct(
-            F.lit(name).alias("column_name"), F.col(f"_v{i}").alias("values"),
-            ids.alias("detected_patterns"), fix.alias("suggested_fix"))).alias(f"_m{i}"))
-    st2 = st1.select("row_id", *[F.col(f"{aliases[0]}__{k}").alias(k) for k in keys], *s2)
-    mism = present([(F.col(f"_m{i}").isNotNull(), F.col(f"_m{i}")) for i in range(len(names))])
-    return st2.select("row_id", *keys, (F.size(mism) == 0).alias("matched"), mism.alias("mismatches"))
+    non-null text.  Detectors look at the first two sources only.  They are
+    written once, over the entries of a row: the plan does not grow with the
+    logical columns, and counts read no detector at all."""
+    c = _compared(sources, columns, keys, order)
+    detectors = _chosen(detectors, apply_patterns)
+
+    def labelled(e: Column) -> Column:
+        ids, fix = label_patterns(e["a"], e["b"], detectors)
+        return F.struct(e["column_name"].alias("column_name"), e["values"].alias("values"),
+                        ids.alias("detected_patterns"), fix.alias("suggested_fix"))
+    differing = F.filter("entries", lambda e: e["differs"])
+    return c.select("row_id", *keys, (F.size(differing) == 0).alias("matched"),
+                    F.size(differing).cast("long").alias("n_mismatches"),
+                    F.transform(differing, labelled).alias("mismatches"))
+
+
+def analyze_mismatches(sources: Sequence[tuple[str, DataFrame]],
+                       columns: Mapping[str, Mapping[str, str]], keys: Sequence[str],
+                       detectors: Sequence[Detector] = DEFAULT_DETECTORS,
+                       apply_patterns: Sequence[str] | None = None,
+                       order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Q6 / Q12 long form, one row per (row, column) mismatch: the columns of
+    ``mismatch_entries`` and the keys.  Entries are unpivoted first, so each
+    detector is one generated expression over plain columns."""
+    e = _compared(sources, columns, keys, order).select("row_id", *keys, F.explode("entries").alias("e"))
+    e = e.filter("e.differs").select("row_id", *keys, "e.column_name", "e.values", "e.a", "e.b")
+    ids, fix = label_patterns(F.col("a"), F.col("b"), _chosen(detectors, apply_patterns))
+    return e.select("row_id", *keys, "column_name", "values", ids.alias("detected_patterns"), fix.alias("suggested_fix"))
 
 
 def mismatch_entries(analysis: DataFrame) -> DataFrame:
-    """Q6 / Q12 long form: one row per (row, column) mismatch."""
+    """One row per (row, column) mismatch of a (written) analysis."""
     e = analysis.select("row_id", F.explode("mismatches").alias("m"))
     return e.select("row_id", "m.column_name", "m.values", "m.detected_patterns", "m.suggested_fix")
 
 
+def only_columns(analysis: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The analysis as if it had compared the columns ``names`` alone."""
+    held = F.filter("mismatches", lambda m: m["column_name"].isin(list(names)))
+    return analysis.withColumns({"mismatches": held, "n_mismatches": F.size(held).cast("long"), "matched": F.size(held) == 0})
+
+
 def match_statistics(analysis: DataFrame) -> DataFrame:
     """Matched rows, mismatch entries and shares.
 
@@ -254,8 +285,7 @@ def match_statistics(analysis: DataFrame) -> DataFrame:
     share is reported beside it."""
     agg = analysis.agg(F.count(F.lit(1)).alias("rows_compared"),
                        F.count(F.when(F.col("matched"), 1)).alias("matched_records"),
-                       F.sum(F.size("mismatches")).cast("long").alias("unmatched_records"))
-    agg = agg.withColumn("unmatched_records", F.coalesce("unmatched_records", F.lit(0).cast("long")))
+                       F.coalesce(F.sum("n_mismatches"), F.lit(0)).cast("long").alias("unmatched_records"))
     total = F.col("matched_records") + F.col("unmatched_records")
     return agg.select(
         total.alias("total_records"), "matched_records", "unmatched_records", "rows_compared",
@@ -266,12 +296,13 @@ def match_statistics(analysis: DataFrame) -> DataFrame:
          .otherwise(F.lit(0.0)).alias("row_match_percentage"))
 
 
-def export_long(analysis: DataFrame) -> DataFrame:
-    """One line per (row, column, source) - ready for ``write.csv`` /
+def export_long(found: DataFrame) -> DataFrame:
+    """One line per (row, column, source) of an analysis or, in one pass
+    of generated code, of long-form mismatches - ready for ``write.csv`` /
     ``write.json``."""
-    e = mismatch_entries(analysis)
-    return e.select("row_id", "column_name", F.explode("values").alias("source", "value"),
-                    F.array_join("detected_patterns", ";").alias("detected_patterns"))
+    entries = mismatch_entries(found) if "mismatches" in found.columns else found
+    return entries.select("row_id", "column_name", F.explode("values").alias("source", "value"),
+                          F.array_join("detected_patterns", ";").alias("detected_patterns"))
 
 
 def pattern_trial(df: DataFrame, a: str, b: str, detector: Detector) -> DataFrame:

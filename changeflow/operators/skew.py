@@ -20,9 +20,12 @@ from pyspark.sql.types import (ArrayType, BooleanType, ByteType, DateType, Decim
                                FloatType, IntegerType, LongType, MapType, ShortType, StructType,
                                TimestampNTZType, TimestampType)
 
+from changeflow.session import written
+
 DEFAULT_HOT_ROWS = 2_000_000      # events of one key handled by one task
 DEFAULT_MAX_HOT_KEYS = 100_000    # rows of the broadcast hot-key list
 DEFAULT_BROADCAST_ROWS = 1_000_000
+SALT = "_salt"
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
@@ -105,3 +108,45 @@ def salted_key_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str],
     reps = F.when(F.col(count_col) > hot_rows, nsalt).otherwise(F.lit(1))
     small_s = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), reps - 1)))
     return big_s.join(small_s, keys + ["_salt"], "inner").drop("_salt")
+
+
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[f"_hot_{k}"])
+    return cond
+
+
+def hot_key_salts(df: DataFrame, keys: Sequence[str], hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame | None:
+    """The keys, null included, with more than ``hot_rows`` rows of ``df`` and
+    the number of salts for each; None when there are none.  A table of at
+    most ``hot_rows`` rows has none and is only counted."""
+    if fits(df, hot_rows):
+        return None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = written(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
+                                F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_nsalt")), "hot-keys")
+    return None if hot.isEmpty() else broadcast_if_small(hot, DEFAULT_MAX_HOT_KEYS)
+
+
+def _salts_of(df: DataFrame, keys: Sequence[str], salts: DataFrame) -> DataFrame:
+    return df.join(salts, _same_key(df, salts, keys), "left").drop(*[f"_hot_{k}" for k in keys])
+
+
+def deal_rows(df: DataFrame, keys: Sequence[str], salts: DataFrame | None) -> DataFrame:
+    """``df`` with a salt: 0, or one of a hot key's.  Rows are dealt by their
+    values and input partition, so that a task that runs again deals alike and
+    repeated rows of different partitions part."""
+    if salts is None:
+        return df
+    spread = df.select("*", F.xxhash64(F.spark_partition_id(), *df.columns).alias("_place"))
+    return _salts_of(spread, keys, salts).withColumn(
+        SALT, F.pmod(F.col("_place"), F.coalesce("_nsalt", F.lit(1))).cast("int")).drop("_place", "_nsalt")
+
+
+def copy_rows(per_key: DataFrame, keys: Sequence[str], salts: DataFrame | None) -> DataFrame:
+    """``per_key`` (one row a key), a hot key's row copied to each salt."""
+    if salts is None:
+        return per_key
+    return _salts_of(per_key, keys, salts).withColumn(
+        SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_nsalt", F.lit(1)) - 1))).drop("_nsalt")

@@ -71,6 +71,36 @@ def test_registered_gate_decides(spark):
     assert passed.columns == pt.match_statistics(q._analysis(spark, sf)).columns
 
 
+def test_wide_and_long_form_agree(spark):
+    from changeflow.catalog import patterns_q as q
+    sf = "/root/testdata/sf0.001"
+    wide = pt.mismatch_entries(q._analysis(spark, sf))
+    long = q._mismatches(spark, sf).select(*wide.columns)
+    text = [F.to_json(F.struct(*wide.columns)).alias("row")]
+    rows = [sorted(r["row"] for r in df.select(*text).collect()) for df in (wide, long)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_export_plans_quickly(spark):
+    """The plan of the export does not grow with the constraints inferred on it."""
+    import time
+    from changeflow.catalog import patterns_q as q
+    df = q.s13(spark, "/root/testdata/sf0.001")
+    began = time.time()
+    df._jdf.queryExecution().optimizedPlan()
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10, 2_000_000])
+def test_n_way_match_deals_hot_keys(spark, hot_rows):
+    a = spark.createDataFrame([(k, i) for i in range(30) for k in (1, None)] + [(2, 1), (3, 1)], "k long, v long").repartition(4)
+    b = spark.createDataFrame([(1, "one"), (1, "uno"), (None, "none"), (2, "two")], "k long, w string")
+    got = sorted((repr(tuple(r)) for r in pt.n_way_match([("a", a), ("b", b), ("c", b)], ["k"], hot_rows=hot_rows).collect()))
+    names = {1: "one", None: "none", 2: "two"}
+    want = sorted(repr((k, v, k, names[k], k, names[k])) for k, v in [(k, i) for i in range(30) for k in (1, None)] + [(2, 1)])
+    assert got == want
+
+
 def test_record_lookup_partial_null_keys(spark):
     target = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "x long, y long, v string")
     sample = spark.createDataFrame([(1, None), (None, None), (2, 1)], "x long, y long")
