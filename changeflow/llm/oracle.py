@@ -66,3 +66,10 @@ reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, e.y FROM re
 least AS (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = reach.other GROUP BY reach.rid)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN least USING (rid) LEFT JOIN n USING (rid)
 """
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_lowered('text')} AS t FROM documents),
+h AS (SELECT doc_id, t, sha256(t) AS text_sha256 FROM d)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM h
+"""
