@@ -67,6 +67,22 @@ least AS (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN least USING (rid) LEFT JOIN n USING (rid)
 """
 
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lowered('text')}, '{_ALNUM}') AS w FROM documents),
+size AS MATERIALIZED (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS MATERIALIZED (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM size),
+tf AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+q AS MATERIALIZED (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id,
+  unnest(regexp_extract_all({_lowered('text')}, '{_ALNUM}')) AS term FROM benchmark) GROUP BY q, item_id, term),
+scored AS (SELECT q, item_id, rid, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (rid), total GROUP BY q, item_id, rid),
+ranked AS (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN size USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP13 = f"""
 WITH d AS (SELECT doc_id, {_lowered('text')} AS t FROM documents),
 h AS (SELECT doc_id, t, sha256(t) AS text_sha256 FROM d)
