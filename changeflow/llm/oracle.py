@@ -83,6 +83,29 @@ ranked AS (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q O
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+_ASSIGN = """a{r} AS MATERIALIZED (SELECT rid, position, part, CAST(min(d) AS BIGINT) AS d, CAST(arg_min(entry, d * 256 + entry) AS BIGINT) AS entry FROM (
+  SELECT rid, p.position, part, entry, CAST(list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - c[i]) * (part[i] - c[i]))) AS BIGINT) AS d
+  FROM p JOIN c{r} AS c ON c.position = p.position) GROUP BY rid, position, part)"""
+_UPDATE = """m{r} AS (SELECT position, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+  FROM (SELECT position, entry, unnest(part) AS x, generate_subscripts(part, 1) AS i FROM a{r}) GROUP BY position, entry, i),
+c{n} AS MATERIALIZED (SELECT c.position, c.entry, coalesce(l.c, c.c) AS c FROM c{r} AS c
+  LEFT JOIN (SELECT position, entry, list(x ORDER BY i) AS c FROM m{r} GROUP BY position, entry) AS l ON l.position = c.position AND l.entry = c.entry)"""
+_ROUNDS = ",\n".join(f"{_ASSIGN.format(r=r)},\n{_UPDATE.format(r=r, n=r + 1)}" for r in range(4))
+
+OP12 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, vec_id, k AS position, x[1 + k * len(x) // 4:(k + 1) * len(x) // 4] AS part FROM v, unnest(range(4)) AS t(k)),
+first AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS entry FROM v QUALIFY entry < 256),
+c0 AS MATERIALIZED (SELECT position, entry, part AS c FROM p JOIN first USING (rid)),
+{_ROUNDS},
+{_ASSIGN.format(r=4)},
+coded AS (SELECT rid, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY position) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY rid),
+books AS (SELECT sha256(array_to_string(flatten(list(c ORDER BY position, entry)), ',')) AS codebooks_sha256 FROM c4)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN coded USING (rid), books
+"""
+
 OP13 = f"""
 WITH d AS (SELECT doc_id, {_lowered('text')} AS t FROM documents),
 h AS (SELECT doc_id, t, sha256(t) AS text_sha256 FROM d)

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm import (bpe_replay, decontaminate, exact_dedup, jaccard_join, langid, lexical_search,
-                            license_scan, oracle, rp_forest, substring_dedup, token_attribution, token_store, warc)
+                            license_scan, oracle, rp_forest, substring_dedup, token_attribution, token_store,
+                            vector_codes, warc)
 from changeflow.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {"op3_warc": oracle.OP3, "op4_decontaminate": oracle.OP4, "op7_substring_dedup": oracle.OP7,
                           "op10_jaccard_join": oracle.OP10, "op11_lexical_search": oracle.OP11,
-                          "op13_exact_dedup": oracle.OP13}
+                          "op12_vector_codes": oracle.OP12, "op13_exact_dedup": oracle.OP13}
 
 
 def query(fn):
@@ -90,6 +91,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
