@@ -263,8 +263,10 @@ _KEPT: dict[str, object] = {}
 
 
 def kept_in_worker(name: str, make):
-    """``make()``, kept by this Python worker for its later tasks."""
+    """``make()``, kept by this Python worker for its later tasks until one
+    asks for another: a worker holds one at a time."""
     if name not in _KEPT:
+        _KEPT.clear()
         _KEPT[name] = make()
     return _KEPT[name]
 

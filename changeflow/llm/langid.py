@@ -1,21 +1,22 @@
 """Language identification by cross-parsing (8).
 
 For each language a suffix automaton is built over a bounded sample of its
-labelled text.  A word is cross-parsed against an automaton: the longest
-match from the current place is one phrase, the next phrase starts where it
-ended, and a character that the automaton lacks is a phrase of its own.  A
-text's cost in a language is its number of phrases times log2 of the
-automaton's text length, over its number of characters: the cross entropy
-estimate of Ziv and Merhav, in bits a character.  The cheapest language wins.
-
-Phrases end at word ends, so a word's phrase counts do not depend on its
-neighbours; they are kept in a bounded memo and a text costs one look-up per
-word.  Every text is parsed whole.
-
-Training: per language the ``docs_per_lang`` rows with the smallest hash of
-their id and text, of each at most ``chars_per_doc`` characters: the bounded
-sample of labelled rows that the classifier is fitted on.  The language,
-source and id of a row are no input of its prediction.
+labelled running text: words lower-cased, one blank between them.  A text is
+cross-parsed against an automaton: the longest match from the current place
+is one phrase, the next phrase starts where it ended, whether within a word or
+beyond it, and a byte that the automaton lacks is a phrase of its own.  A
+text's cost in a language is its number of phrases times log2 of the training
+text's length, over its number of bytes: the cross entropy estimate of Ziv and
+Merhav, in bits a byte.  The cheapest language wins.  Every text is parsed
+whole, all texts of a slice side by side (``cross_parse``).
+
+Training: per language at most ``docs_per_lang`` whole rows, those with the
+smallest hash of their id and text, as long as their texts have at most
+``bytes_per_lang`` together; a text of more than a quarter of that is not
+chosen unless there is none else, then the shortest is.  With many languages
+each gets its share of ``TOTAL_BYTES``, which bounds a worker's automata
+(built once a worker): about 60 bytes a state and two states a byte for Latin
+letters.  The language, source and id of a row are no input of its prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 so is every text if nothing could be learned; ties go to the first language
@@ -26,6 +27,7 @@ result's names are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -36,15 +38,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import _Index, stored, text_slices
+from changeflow.llm.common import kept_in_worker, scratch, stored, text_slices
+from changeflow.llm.cross_parse import Automaton, Lanes
 
 DOCS_PER_LANG = 400
-CHARS_PER_DOC = 4_000
-CHARS_PER_LANG = 120_000
+BYTES_PER_LANG = 1 << 16
+TOTAL_BYTES = 1 << 19
+SPARE = 4
 MAX_LANGS = 500           # more distinct values of lang are an error
-MEMO_WORDS = 500_000
-MOST_BITS = 8.0           # bits a character beyond which a text is of no learned language
-LEAST_CHARS = 20          # letters and word ends from which a text is judged so
+MOST_BITS = 8.0           # bits a byte beyond which a text is of no learned language
+LEAST_BYTES = 20          # of running text from which a text is judged so
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -54,127 +57,81 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def letters(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
-
-
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of the suffix automaton of ``text``, by state; 0 is the start."""
-    go: list[dict[str, int]] = [{}]
-    link, length = [-1], [0]
-    last = 0
-    for c in text:
-        new = len(go)
-        go.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = go[p][c]
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                twin = len(go)
-                go.append(dict(go[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = twin
-                    p = link[p]
-                link[q] = link[new] = twin
-        last = new
-    return go
-
-
-def phrases(go: list[dict[str, int]], text: str) -> int:
-    """Phrases of the greedy cross-parse of ``text``."""
-    n, state, start = 0, 0, go[0]
-    for c in text:
-        to = go[state].get(c)
-        if to is None:               # the phrase ends before c, the next starts with it
-            n += state != 0
-            to = start.get(c)
-            if to is None:           # c alone is a phrase
-                n += 1
-                to = 0
-        state = to
-    return n + (state != 0)
-
-
-def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """(lang, text): the bounded sample.  The rows are chosen by hash alone,
-    first within 64 parts of each language, and their texts fetched after."""
+def running(text: str | None) -> bytes:
+    """The lower-cased words of ``text``, a blank before and after each;
+    empty if it has no letter."""
+    words = _LETTERS.findall(text.lower()) if text else []
+    return f" {' '.join(words)} ".encode() if words else b""
+
+
+def training_rows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> DataFrame:
+    """(lang, text): the bounded sample, whole texts.
+
+    Rows are chosen by hash: first by a threshold that leaves about ``SPARE``
+    times the wanted number of each language, so that no task orders a whole
+    language, then the smallest hashes while their texts fit.  Only the chosen
+    rows' texts are fetched."""
     h = F.xxhash64("doc_id", "text")
     taught = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    chosen = taught.select("lang", h.alias("h"))
-    for keys in (("lang", F.pmod(F.col("h"), F.lit(64))), ("lang",)):
-        first = W.partitionBy(*keys).orderBy("h")
-        chosen = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_lang).drop("n")
-    chosen = stored(chosen.distinct(), "chosen")
-    return taught.select("lang", "text", h.alias("h")).join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).drop("h")
-
-
-def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC,
-        chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
-    """Language -> its training words, blank-separated: bounded text
-    (``chars_per_lang`` a language) that each worker builds automata from."""
-    def join(pdf):
-        import pandas as pd
-        words = [w for t in sorted(pdf["text"].str[:chars_per_doc]) for w in dict.fromkeys(letters(t))]
-        line = " ".join(dict.fromkeys(words))[:chars_per_lang]
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "text": [f" {line} " if line else ""]})
-    rows = (training_text(docs, docs_per_lang).groupBy("lang")
-            .applyInPandas(join, "lang string, text string").limit(MAX_LANGS + 1).collect())
-    if len(rows) > MAX_LANGS:
+    labelled = stored(taught.select("lang", h.alias("h"), F.octet_length("text").cast("long").alias("size")).distinct(), "labelled")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "h")).alias("least"))
+    n_langs = counts.limit(MAX_LANGS + 1).count()
+    if n_langs > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    return {r.lang: r.text for r in rows if r.text}
+    budget = min(bytes_per_lang, TOTAL_BYTES // max(n_langs, 1))
+    by_hash = F.pmod("h", F.lit(1 << 30)) * F.col("n") < SPARE * docs_per_lang * (1 << 30)
+    near = labelled.join(F.broadcast(counts), "lang").filter(by_hash | (F.col("h") == F.col("least.h")))     # counts: MAX_LANGS rows
+    long = F.col("size") > budget // 4
+    order = W.partitionBy("lang").orderBy(long, F.when(long, F.col("size")), "h")
+    chosen = (near.withColumns({"k": F.row_number().over(order), "used": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))})
+              .filter((F.col("k") <= docs_per_lang) & ((F.col("used") <= budget) | (F.col("k") == 1))).select("lang", "h"))
+    chosen = F.broadcast(stored(chosen, "chosen"))                  # MAX_LANGS * docs_per_lang rows
+    return (taught.select("lang", "text", h.alias("h")).join(chosen, ["lang", "h"], "left_semi")
+            .groupBy("lang", "h").agg(F.min("text").alias("text")))
+
+
+def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> dict[str, bytes]:
+    """Language -> its running training text, from which each worker builds
+    an automaton: about ``TOTAL_BYTES`` of all languages, bounded."""
+    with scratch(docs.sparkSession):
+        rows = training_rows(docs, docs_per_lang, bytes_per_lang).orderBy("lang", "h").collect()
+    samples: dict[str, bytes] = {}
+    for r in rows:
+        samples[r.lang] = samples.get(r.lang, b"") + running(r.text)
+    return {lang: text for lang, text in samples.items() if text}
 
 
 class Parser:
-    """Phrase counts of words in every language, with a bounded memo."""
+    """Costs of texts in every language."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
-        self.go = [suffix_automaton(samples[l]) for l in self.langs]
-        self.bits = np.array([math.log2(max(2, len(samples[l]))) for l in self.langs])
-        self._reset()
-
-    def _reset(self) -> None:
-        self.pending: list[str] = []
-        self.index = _Index(self.pending)
-        self.counts = np.zeros((0, len(self.langs)), np.int32)
+        self.automata = [Automaton(samples[lang]) for lang in self.langs]
+        self.bits = np.array([math.log2(max(2, len(samples[lang]))) for lang in self.langs])
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(bits a character per text and language, number of letters)."""
-        words = [letters(t) for t in texts]
-        at = [np.fromiter(map(self.index.__getitem__, w), np.int64, len(w)) for w in words]
-        if self.pending:
-            new = np.array([[phrases(go, f" {w} ") for go in self.go] for w in self.pending], np.int32)
-            self.counts = np.concatenate([self.counts, new.reshape(len(self.pending), len(self.langs))])
-            self.pending.clear()
-        n = np.array([sum(map(len, w)) + len(w) for w in words])
-        sums = np.array([self.counts[a].sum(0) for a in at]).reshape(len(texts), len(self.langs))
-        if len(self.index) > MEMO_WORDS:
-            self._reset()
-        return sums * self.bits / np.maximum(n, 1)[:, None], n
+        """(bits a byte per text and language, bytes of running text)."""
+        data = [running(t) for t in texts]
+        lanes = Lanes(data)
+        n = np.fromiter(map(len, data), np.int64, len(data))
+        counts = np.stack([a.phrases(lanes) for a in self.automata], 1)
+        return counts * self.bits / np.maximum(n, 1)[:, None], n
 
 
 def predict(docs: DataFrame, samples: dict[str, str], fits: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score: 0 where the two cheapest languages
     cost the same, near 1 where the second costs far more.  ``fits`` names a
-    further column: whether the text has letters and, from ``LEAST_CHARS`` on,
-    costs at most ``MOST_BITS`` a character in the cheapest language; without
+    further column: whether the text has letters and, from ``LEAST_BYTES`` on,
+    costs at most ``MOST_BITS`` a byte in the cheapest language; without
     a learned language, whether it has letters."""
     added = ["lang_pred", "score", *([fits] if fits else [])]
     kept = docs.drop(*added)
     names = [*kept.columns, *added]
     shared = docs.sparkSession.sparkContext.broadcast(samples)    # bounded by fit()
+    name = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
 
     def run(batches):
-        parser = Parser(shared.value)
+        parser = kept_in_worker(f"automata {name}", lambda: Parser(shared.value))
         for batch in text_slices(batches):
             texts = batch.column("text").to_pylist()
             if parser.langs:
@@ -187,7 +144,7 @@ def predict(docs: DataFrame, samples: dict[str, str], fits: str | None = None) -
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.where(n > 0, 1 - best / second, 0.0)
                 score = np.clip(np.nan_to_num(score), 0, 1)
-                fit_well = (n > 0) & ((n < LEAST_CHARS) | (best <= MOST_BITS))
+                fit_well = (n > 0) & ((n < LEAST_BYTES) | (best <= MOST_BITS))
             else:
                 langs, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 fit_well = [bool(t and _LETTERS.search(t)) for t in texts]
@@ -201,7 +158,7 @@ def predict(docs: DataFrame, samples: dict[str, str], fits: str | None = None) -
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that may be of a learned language, columns unchanged:
     those without a letter go, and those that cost more than ``MOST_BITS`` a
-    character in every language.  Texts of fewer than ``LEAST_CHARS`` are too
+    byte in every language.  Texts of fewer than ``LEAST_BYTES`` are too
     short to tell; if nothing could be learned, all with letters stay."""
     return predict(docs, fit(docs), "__fits").filter("__fits").select(*docs.columns)
 
