@@ -2,18 +2,19 @@
 
 The texts that a task holds at once are cut into chunks and, by the
 pre-tokenizer's pattern, into matches; each distinct match becomes one word of
-a small corpus of byte tokens.  An inverted index maps every mergeable pair to
-its word positions; a heap replays the pairs in rank order, and a merge
-touches only its position and the two neighbouring pairs.  Words never
-interact, so replaying the words of one slice of the corpus gives the ids
-that replaying them all together would; no word has to move to another
-machine and nothing grows with the corpus.  Matches seen before are taken
-from a bounded memo.
+a small corpus of byte tokens.  An inverted index maps the mergeable pairs, in
+bands of ranks, to their positions in the words; the bands are replayed in
+order.  Words never interact, so within a band every word's lowest pair is
+merged at once, at all its places; a merge touches only its position and the
+two neighbouring pairs, which are looked up and entered anew.  For the same
+reason replaying the words of one slice of the corpus gives the ids that
+replaying them all together would; no word has to move to another machine and
+nothing grows with the corpus.  Matches seen before are taken from a bounded
+memo.
 
 Pairs are indexed by the rank of their joined bytes, the rule of rank files.
-When a merge makes a pair of lower rank than the one replayed, the other
-positions of its word wait until that pair has been merged, which is the
-order in which a single word is encoded.
+Where a merge would make a pair of lower rank than its own, the other places
+of its word wait, which is the order in which a single word is encoded.
 
 Defined cases: a null or empty text gives an empty id array and decodes to
 empty bytes; a null id array decodes to empty bytes, an id outside the
@@ -25,7 +26,6 @@ are replaced.
 from __future__ import annotations
 
 import base64
-import heapq
 import itertools
 
 import numpy as np
@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import ChunkEncoder, kept_in_worker, ranges, text_slices
+from changeflow.llm.common import ChunkEncoder, _Index, kept_in_worker, ranges, text_slices
 
 
-BLOCK_WORDS = 50_000      # distinct words replayed together: bounds the linked lists
+BLOCK_WORDS = 200_000     # distinct words replayed together: bounds the linked lists
+BANDS = 64                # parts of the inverted index, by rank
+NO_RANK = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -52,97 +54,154 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.diff(values, prepend=-1) != 0]
+
+
+class PairRanks:
+    """The rank of every pair of tokens whose joined bytes are a token: a hash
+    table with linear probing, looked up for many pairs at once."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, NO_RANK, np.int32)
+        self.probes = 1
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            at_free, first = np.unique(at[free], return_index=True)
+            own = np.flatnonzero(free)[first]
+            self.keys[at_free], self.ranks[at_free] = keys[own], ranks[own]
+            left = np.ones(len(keys), bool)
+            left[own] = False
+            keys, ranks, at = keys[left], ranks[left], (at[left] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``NO_RANK`` where it has none."""
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.ranks[at], NO_RANK)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        for _ in range(self.probes):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+
 class MergeReplay:
     """Encodes many words at once by replaying merges over all of them."""
 
     def __init__(self, tokens: list[bytes]):
         ids = {t: i for i, t in enumerate(tokens) if t}
-        self.ids, self.n = ids, len(tokens)
+        self.n = len(tokens)
         missing = [b for b in range(256) if bytes([b]) not in ids]
         if missing:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         self.byte = np.array([ids[bytes([b])] for b in range(256)], np.int64)
         # every pair of tokens whose joined bytes are a token
-        self.rank = {ids[t[:k]] * self.n + ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t))
-                     if t[:k] in ids and t[k:] in ids}
-        self.pairs = np.array(sorted(self.rank), np.int64)
-        self.pair_rank = np.array([self.rank[p] for p in self.pairs.tolist()], np.int64)
-
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word (non-empty byte strings)."""
+        pairs = np.array([(ids[t[:k]], ids[t[k:]], i) for t, i in ids.items() for k in range(1, len(t))
+                          if t[:k] in ids and t[k:] in ids], np.int64).reshape(-1, 3)
+        self.rank = PairRanks(pairs[:, 0] * self.n + pairs[:, 1], pairs[:, 2].astype(np.int32))
+        self.band = np.minimum(np.arange(self.n + 1).astype(np.float64) / max(self.n, 1), 1)
+        self.band = (np.sqrt(self.band) * (BANDS - 1)).astype(np.uint8)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each);
+        words are not empty."""
         if not words:
-            return []
-        n, rank = self.n, self.rank
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        symbols = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        total = len(symbols)
-        # the inverted index: rank of the joined pair -> positions of its first symbol
-        keys = symbols[:-1] * n + symbols[1:]
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1) if len(self.pairs) else None
-        places = np.flatnonzero((self.pairs[at] == keys) & (word[:-1] == word[1:])) if at is not None else []
-        index: dict[int, list[int]] = {}
-        if len(places):
-            ranks = self.pair_rank[at[places]]
-            order = np.argsort(ranks, kind="stable")
-            ranks, places = ranks[order], places[order]
-            cuts = np.flatnonzero(np.diff(ranks)) + 1
-            index = dict(zip(ranks[np.concatenate([[0], cuts])].tolist(),
-                             (p.tolist() for p in np.split(places, cuts))))
+        total = int(ends[-1])
+        symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         # linked symbols: the next and the previous one of the same word, -1 for none
-        nxt = np.arange(1, total + 1)
-        nxt[ends - 1] = -1
-        prv = np.arange(-1, total - 1)
-        prv[ends - sizes] = -1
-        symbol, nxt, prv, word = symbols.tolist(), nxt.tolist(), prv.tolist(), word.tolist()
-        heap = list(index)
-        heapq.heapify(heap)
-        get = rank.get
-
-        def note(r: int, p: int) -> None:
-            if r in index:
-                index[r].append(p)
-            else:
-                index[r] = [p]
-                heapq.heappush(heap, r)
-
-        while heap:
-            r = heapq.heappop(heap)
-            held = index.pop(r)
-            held.sort()
-            waiting = -1          # word in which a pair of lower rank has appeared
-            for p in held:
-                a = symbol[p]
-                q = nxt[p]
-                if a < 0 or q < 0 or get(a * n + symbol[q]) != r:
-                    continue      # merged away since it was noted
-                if word[p] == waiting:
-                    note(r, p)
-                    continue
-                symbol[p] = r
-                symbol[q] = -1
-                after = nxt[p] = nxt[q]
-                if after >= 0:
-                    prv[after] = p
-                    s = get(r * n + symbol[after])
-                    if s is not None:
-                        note(s, p)
-                        if s < r:
-                            waiting = word[p]
-                before = prv[p]
-                if before >= 0:
-                    s = get(symbol[before] * n + r)
-                    if s is not None:
-                        note(s, before)
-                        if s < r:
-                            waiting = word[p]
-        merged = np.array(symbol, np.int64)
-        alive = merged >= 0
-        counts = np.add.reduceat(alive, ends - sizes)
-        flat = merged[alive].tolist()
-        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
-        return [flat[a:b] for a, b in itertools.pairwise(bounds)]
+        after = np.arange(1, total + 1)
+        after[ends - 1] = -1
+        before = np.arange(-1, total - 1)
+        before[ends - sizes] = -1
+        rank = np.full(total, NO_RANK, np.int32)      # of the pair that starts here
+        index: list[list[np.ndarray]] = [[] for _ in range(BANDS)]
+
+        def note(places: np.ndarray) -> int:
+            """Look up the pairs that start at ``places`` and enter them; the
+            lowest band entered."""
+            follows = after[places]
+            rank[places] = NO_RANK
+            places, follows = places[follows >= 0], follows[follows >= 0]
+            found = self.rank(symbol[places] * self.n + symbol[follows])
+            held = found != NO_RANK
+            places, found = places[held], found[held]
+            rank[places] = found
+            band = self.band[found]
+            order = np.argsort(band, kind="stable")
+            cuts = np.flatnonzero(np.diff(band[order])) + 1
+            for own in np.split(places[order], cuts) if len(places) else ():
+                index[self.band[rank[own[0]]]].append(own)
+            return int(band.min()) if len(places) else BANDS
+
+        def early(places: np.ndarray) -> np.ndarray:
+            """Whether a merge at each place would make a pair that comes
+            before its own."""
+            made, left, right = rank[places], before[places], after[after[places]]
+            out = self.rank(made * np.int64(self.n) + made) < made
+            for side, keys in ((left, symbol[left] * self.n + made), (right, made * np.int64(self.n) + symbol[right])):
+                out |= (side >= 0) & (self.rank(np.where(side >= 0, keys, 0)) < made)
+            return out
+
+        note(np.arange(total))
+        at = 0
+        while at < BANDS:
+            if not index[at]:
+                at += 1
+                continue
+            places = np.concatenate(index[at])
+            index[at] = []
+            own = rank[places]
+            live = own != NO_RANK
+            live[live] = self.band[own[live]] == at     # else merged away since it was noted
+            places = _distinct(places[live])
+            if not len(places):
+                continue
+            # each word's pair of lowest rank, at all its places
+            own = rank[places]
+            first = np.flatnonzero(np.diff(word[places], prepend=-1))
+            lowest = own == np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(places))))
+            index[at].append(places[~lowest])
+            places = places[lowest]
+            # from the left, each that does not overlap the one taken before
+            overlaps = np.append(False, after[places[:-1]] == places[1:])
+            start = np.maximum.accumulate(np.where(overlaps, 0, np.arange(len(places))))
+            taken = (np.arange(len(places)) - start) % 2 == 0
+            several = np.flatnonzero(word[places[1:]] == word[places[:-1]])
+            if len(several):      # the leftmost alone, where its merge may make a pair that comes first
+                many = np.isin(word[places], word[places[several]])
+                alone = np.isin(word[places], word[places[many][early(places[many])]])
+                taken &= ~alone | (np.diff(word[places], prepend=-1) != 0)
+                index[at].append(places[alone & ~taken])
+            places = places[taken]
+            second = after[places]
+            symbol[places] = rank[places]
+            symbol[second], rank[second] = -1, NO_RANK
+            follows = after[second]
+            after[places] = follows
+            inner = follows >= 0
+            before[follows[inner]] = places[inner]
+            ahead = before[places]
+            at = min(at, note(_distinct(np.concatenate([places, ahead[ahead >= 0]]))))
+        alive = symbol >= 0
+        return symbol[alive], np.add.reduceat(alive, ends - sizes, dtype=np.int64)
 
 
 class ReplayEncoder:
@@ -152,16 +211,18 @@ class ReplayEncoder:
         self.replay, self.pattern = MergeReplay(tokens), regex.compile(pattern)
 
     def __call__(self, chunks: list[str], alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        words = [self.pattern.findall(c) for c in chunks]
-        distinct = dict.fromkeys(itertools.chain.from_iterable(words))
-        data = [w.encode() for w in distinct]
-        blocks = (self.replay(data[i:i + BLOCK_WORDS]) for i in range(0, len(data), BLOCK_WORDS))
-        ids = dict(zip(distinct, itertools.chain.from_iterable(blocks)))
-        coded = [ids[w] for own in words for w in own]
-        flat = np.fromiter(itertools.chain.from_iterable(coded), np.int64)
+        words = list(map(self.pattern.findall, chunks))
         n_words = np.fromiter(map(len, words), np.int64, len(words))
-        sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
-        return flat, np.diff(sums[np.concatenate([[0], np.cumsum(n_words)])])
+        new: list[str] = []
+        number = _Index(new)
+        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        data = [w.encode() for w in new]
+        blocks = [self.replay(data[i:i + BLOCK_WORDS]) for i in range(0, len(data), BLOCK_WORDS)] or [self.replay([])]
+        flat, lengths = (np.concatenate([x[k] for x in blocks]) for k in (0, 1))
+        starts = np.cumsum(lengths) - lengths
+        ids = flat[ranges(starts[at], lengths[at])]
+        sums = np.concatenate([[0], np.cumsum(lengths[at])])
+        return ids, np.diff(sums[np.concatenate([[0], np.cumsum(n_words)])])
 
 
 def _encode(batches, ranks_path: str, pattern: str, names: list[str]):

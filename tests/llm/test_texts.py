@@ -1,5 +1,7 @@
 """Operators that return a row for each document, against brute force."""
 
+import math
+import random
 import re
 import zlib
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
-from changeflow.llm import (bpe_replay, decontaminate, langid, license_scan, substring_dedup, token_attribution,
+from changeflow.llm import (bpe_replay, cross_parse, decontaminate, langid, license_scan, substring_dedup, token_attribution,
                             token_store)
 from changeflow.llm.common import ChunkEncoder, new_path, ranges
 from changeflow.llm.elias_fano import EliasFano
@@ -227,7 +229,33 @@ def test_replay_where_a_merge_makes_a_pair_of_lower_rank():
     words = [b"abcdabcd", b"abcabcd", b"xabc", b"xabxab", b"aaaaa", b"aaaaaaab", b"bcd", b"abcabc", b"z"]
     rng = np.random.default_rng(0)
     words += [bytes(rng.choice(list(b"abcdx"), rng.integers(1, 14)).tolist()) for _ in range(500)]
-    assert bpe_replay.MergeReplay(tokens)(words) == [merge_one(tokens, w) for w in words]
+    words += [bytes(rng.choice(list(b"ab"), rng.integers(1, 40)).tolist()) for _ in range(300)]
+    assert replayed(tokens, words) == [merge_one(tokens, w) for w in words]
+
+
+def replayed(tokens, words):
+    ids, n = bpe_replay.MergeReplay(tokens)(words)
+    ends = np.cumsum(n)
+    return [ids[b - k:b].tolist() for b, k in zip(ends, n)]
+
+
+def test_replay_of_random_vocabularies():
+    """Any set of tokens in any order of ranks, with repeated letters."""
+    rng = random.Random(8)
+    for _ in range(60):
+        letters = "abc"[:rng.choice([1, 2, 3])]
+        made = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 6))).encode() for _ in range(rng.randint(1, 40))}
+        tokens = [bytes([b]) for b in range(256)] + rng.sample(sorted(made), len(made))
+        words = ["".join(rng.choice(letters + "z") for _ in range(rng.randint(1, 30))).encode() for _ in range(80)]
+        words += ["".join(rng.choice(letters) for _ in range(50)).encode() for _ in range(20)]
+        assert replayed(tokens, words) == [merge_one(tokens, w) for w in words]
+
+
+def test_replay_of_long_words():
+    tok = brute.tokenizer()
+    rng = random.Random(9)
+    words = [b"x" * 5000, b"ab" * 3000, bytes(rng.randrange(97, 123) for _ in range(20_000)), bytes(rng.randrange(256) for _ in range(20_000)), b"the" * 4000]
+    assert replayed(bpe_replay.read_ranks(RANKS), words) == [tok._encode_single_piece(w) for w in words]
 
 
 @pytest.mark.parametrize("most", [5, 300_000])
@@ -303,20 +331,79 @@ def test_language_stage_without_anything_learned(sample, docs):
 
 
 def longest_matches(train, text):
+    """Phrases of the greedy cross-parse of bytes, by searching ``train``."""
     n, i = 0, 0
     while i < len(text):
-        k = 1
-        while i + k <= len(text) and text[i:i + k] in train:
+        k = 0
+        while i + k < len(text) and text[i:i + k + 1] in train:
             k += 1
-        i, n = i + max(1, k - 1), n + 1
+        i, n = i + max(1, k), n + 1
     return n
 
 
-def test_cross_parse():
-    train = " the cat sat on the mat with another rat "
-    go = langid.suffix_automaton(train)
-    for word in (" the ", " that ", " xyz ", " matter ", " atthecat ", "", "q", " zthe "):
-        assert langid.phrases(go, word) == longest_matches(train, word)
+def test_cross_parse_of_lanes():
+    rng = random.Random(1)
+    for _ in range(150):
+        some = "abc d"[:rng.choice([2, 3, 5])]
+        train = "".join(rng.choice(some) for _ in range(rng.choice([0, 1, 5, 60, 300]))).encode()
+        texts = ["".join(rng.choice(some + "zé") for _ in range(rng.choice([0, 1, 3, 10, 77, 200]))).encode() for _ in range(6)]
+        texts += ["".join(rng.choice(some) for _ in range(150)).encode(), train * 3]
+        automaton = cross_parse.Automaton(train)
+        for lane in (1, 2, 7, 64, 1024):
+            assert automaton.phrases(cross_parse.Lanes(texts, lane)).tolist() == [longest_matches(train, t) for t in texts]
+
+
+def test_language_id_against_brute_force(sample, docs, rows):
+    """lang_pred and score of every document, a phrase at a time."""
+    model = langid.fit(sample[0])
+    langs = sorted(model)
+    by_words = re.compile(r"[^\W\d_]+")
+
+    def expected(text):
+        words = by_words.findall(text.lower()) if text else []
+        data = f" {' '.join(words)} ".encode() if words else b""
+        if not data:
+            return "und", 0.0
+        cost = sorted((longest_matches(model[x], data) * math.log2(len(model[x])) / len(data), x) for x in langs)
+        return cost[0][1], max(0.0, 1 - cost[0][0] / cost[1][0])
+    # the long text of random words is left to the other tests
+    for frame, plain in ((sample[0], sample[1][:120]), (docs, [r for r in rows if len(r[1] or "") < 20_000])):
+        got = {(r.doc_id, r.text): (r.lang_pred, round(r.score, 9)) for r in langid.predict(frame.select("doc_id", "text"), model).collect()}
+        for doc_id, text in plain:
+            lang, score = expected(text)
+            assert got[doc_id, text] == (lang, round(score, 9))
+
+
+def test_training_texts_are_whole_and_bounded(spark):
+    words = lambda k, n: " ".join(f"w{chr(97 + (k * 7 + i) % 26)}{chr(97 + i % 26)}" for i in range(n))     # noqa: E731
+    rows = [(3 * i, words(i, 50), "aa") for i in range(200)] + [(10_000 + 3 * i, words(i, 20_000), "aa") for i in range(5)]
+    rows += [(20_000 + i, words(i, 30_000 + i), "long") for i in range(9)] + [(30_000 + i, "copy of one text", "copies") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    whole = {t for _, t, _ in rows}
+    chosen = [tuple(r) for r in langid.training_rows(df, bytes_per_lang=4000).select("lang", "text").collect()]
+    assert {t for _, t in chosen} <= whole and {x for x, _ in chosen} == {"aa", "long", "copies"}
+    size = {x: sum(len(t) for y, t in chosen if y == x) for x in ("aa", "long", "copies")}
+    assert 3000 < size["aa"] <= 4000 and size["copies"] <= 4000
+    held = [t for i, t, x in rows if x == "long" and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert [t for x, t in chosen if x == "long"] == [min(held, key=len)]
+
+
+def test_many_languages(spark, monkeypatch):
+    """Hundreds of languages share the bound on all automata."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        own = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(12)]
+        rows += [(k * 100 + i, " ".join(rng.choice(own) for _ in range(60)), f"l{k:03}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(langid, "TOTAL_BYTES", 120 * 1000)
+    model = langid.fit(df)
+    assert len(model) == 120 and sum(map(len, model.values())) <= 1.1 * langid.TOTAL_BYTES
+    held = [r for r in langid.predict(df, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum(r.lang == r.lang_pred for r in held) > 0.98 * len(held) > 0
+    monkeypatch.setattr(langid, "MAX_LANGS", 100)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(df)
 
 
 def test_training_ignores_held_out_rows(sample):
