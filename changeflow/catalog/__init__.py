@@ -38,4 +38,4 @@ def load_all() -> None:
         importlib.import_module(f"changeflow.catalog.{m}")
 
 
-MODULES = ("changes_q", "load_q", "mapping_q", "merge_q", "transforms_q", "reconcile_q", "patterns_q", "telemetry_q", "io_q", "stream_q", "graph_q")
+MODULES = ("changes_q", "load_q", "mapping_q", "merge_q", "transforms_q", "reconcile_q", "patterns_q", "telemetry_q", "io_q", "stream_q", "propagate_q", "graph_q")

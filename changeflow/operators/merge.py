@@ -186,35 +186,83 @@ def join_key_of(spec: MergeSpec, alias: str) -> str:
     raise ValueError(f"no join key for source {alias!r}")
 
 
+def aliases_in(text: str) -> set[str]:
+    """Qualifiers of ``qualifier.column`` in SQL text."""
+    return {m.group(1) for m in _ALIAS_REF.finditer(text)}
+
+
+_COLUMN = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\s*")
+_NOT_ALL_HOLD = re.compile(r"\b(or|not|case|when|if|coalesce)\b", re.IGNORECASE)
+
+
+def output_column(spec: MergeSpec, name: str) -> tuple[str, str] | None:
+    """(alias, column) if the output column is just a source's column."""
+    for expr, out in spec.output:
+        if out == name:
+            m = _COLUMN.fullmatch(expr)
+            return (m.group(1), m.group(2)) if m else None
+    return None
+
+
+def _equal_columns(spec: MergeSpec, column: tuple[str, str]) -> dict[str, str]:
+    """alias -> the column that the join conditions make equal to ``column``
+    wherever the source takes part in a row.  Conditions that need not hold
+    as a whole (OR, NOT, CASE) say nothing."""
+    equal = {column}
+    pairs = [((m.group(1), m.group(2)), (m.group(3), m.group(4))) for st in spec.steps
+             if st.op in JOIN_TYPES and not _NOT_ALL_HOLD.search(st.on) for m in _EQ.finditer(st.on)]
+    while True:
+        more = {y for x, y in [*pairs, *((y, x) for x, y in pairs)] if x in equal} - equal
+        if not more:
+            return dict(sorted(equal))
+        equal |= more
+
+
+def key_equivalents(spec: MergeSpec, dest_key: str) -> dict[str, str]:
+    """alias -> column for the sources that hold the destination key: the one
+    its output column comes from and those tied to it by equalities."""
+    held = output_column(spec, dest_key)
+    known = {s.alias for s in spec.sources}
+    return {a: c for a, c in _equal_columns(spec, held).items() if a in known} if held and held[0] in known else {}
+
+
 def restrict_to_keys(spec: MergeSpec, keys: DataFrame, key_col: str,
-                     aliases: Sequence[str] | None = None) -> MergeSpec:
-    """C14 step 1: semi-join the keyed sources to the affected keys before
-    the merge, so only those keys are re-merged.  ``aliases`` defaults to the
-    sources with a declared key; other sources (lookups) stay whole."""
+                     aliases: Sequence[str] | None = None, dest_key: str | None = None) -> MergeSpec:
+    """C14 step 1: semi-join sources to the affected keys before the merge,
+    so only those keys are re-merged.  By default these are the sources that
+    hold the destination key: the column behind ``dest_key``, or without one
+    the first declared key, and what the join conditions make equal to it.  A
+    source keyed in another domain (a lookup) stays whole, declared key or not."""
     kd = keys.select(F.col(key_col).alias("_k")).distinct()
-    chosen = set(aliases) if aliases is not None else {s.alias for s in spec.sources if s.key}
+    if aliases is not None:
+        chosen = {a: join_key_of(spec, a) for a in aliases}
+    else:
+        chosen = key_equivalents(spec, dest_key) if dest_key else {}
+        first = next((s for s in spec.sources if s.key), None)
+        if not chosen and first is not None:
+            chosen = _equal_columns(spec, (first.alias, first.key))
     new_sources = []
     for s in spec.sources:
         if s.alias not in chosen:
             new_sources.append(s)
             continue
-        kc = join_key_of(spec, s.alias)
         base = s.df if not s.where else s.df.filter(F.expr(s.where))
-        restricted = base.join(kd, base[kc] == kd["_k"], "left_semi")
-        new_sources.append(Source(s.alias, restricted, None, kc))
+        restricted = base.join(kd, base[chosen[s.alias]] == kd["_k"], "left_semi")
+        new_sources.append(Source(s.alias, restricted, None, s.key))
     return MergeSpec(tuple(new_sources), spec.steps, spec.output)
 
 
 def remerge_affected(spark: SparkSession, spec: MergeSpec, changed: DataFrame, key_col: str,
                      destination: DataFrame, dest_key: str,
                      aliases: Sequence[str] | None = None) -> DataFrame:
-    """C14: re-run the merge for the keys touched by a batch of changes and
-    replace those keys in the destination.  Keys that no longer come out of
-    the merge are removed (merged deletes take effect)."""
-    merged = run_merge(spark, restrict_to_keys(spec, changed, key_col, aliases))
+    """C14: re-run the merge for the destination keys touched by a batch of
+    changes and replace those keys in the destination.  Keys that no longer
+    come out of the merge are removed (merged deletes take effect).  Changes
+    keyed otherwise go through ``propagate``."""
     affected = changed.select(F.col(key_col).alias(dest_key)).distinct()
+    merged = run_merge(spark, restrict_to_keys(spec, affected, dest_key, aliases, dest_key))
     kept = destination.join(affected, dest_key, "left_anti")
-    return kept.unionByName(merged.select(*destination.columns))
+    return kept.unionByName(merged.join(affected, dest_key, "left_semi").select(*destination.columns))
 
 
 # ---------------------------------------------------------------- C15 - C17

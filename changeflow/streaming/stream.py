@@ -285,12 +285,13 @@ class KeyReplaceTable(_Compacted):
         ks = _read_batches(spark, os.path.join(self.root, "keys"), v, upto)
         if ks is None:
             return base
-        latest = ks.groupBy(self.key).agg(F.max("batch_id").alias("batch_id"))
-        kept = base.join(latest.select(self.key), self.key, "left_anti")
+        latest = ks.groupBy(F.col(self.key).alias("_k")).agg(F.max("batch_id").alias("_b"))
+        kept = base.join(latest, base[self.key].eqNullSafe(latest["_k"]), "left_anti")
         rows = _read_batches(spark, os.path.join(self.root, "rows"), v, upto)
         if rows is None:        # every batch so far only removed keys
             return kept
-        fresh = rows.join(latest, [self.key, "batch_id"], "left_semi").select(*self.schema.fieldNames())
+        fresh = rows.join(latest, rows[self.key].eqNullSafe(latest["_k"]) & (rows["batch_id"] == latest["_b"]), "left_semi")
+        fresh = fresh.select(*self.schema.fieldNames())
         return kept.unionByName(fresh)
 
 
@@ -305,8 +306,8 @@ def start_remerge(stream: DataFrame, merge: Callable[[], MergeSpec], key_col: st
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         keys = batch.select(F.col(key_col).alias(table.key)).distinct()
-        rows = run_merge(spark, restrict_to_keys(merge(), keys, table.key))
-        table.append(spark, keys, rows, batch_id)
+        rows = run_merge(spark, restrict_to_keys(merge(), keys, table.key, dest_key=table.key))
+        table.append(spark, keys, rows.join(keys, table.key, "left_semi"), batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
             table.compact(spark, batch_id)
 
@@ -315,6 +316,50 @@ def start_remerge(stream: DataFrame, merge: Callable[[], MergeSpec], key_col: st
     return w.start()
 
 
+def tag_images(stream: DataFrame, alias: str, columns: Sequence[str]) -> DataFrame:
+    """A source's changed images as one column named by its alias, so
+    that streams of different sources can be united."""
+    return stream.select(F.lit(alias).alias("_source_alias"), F.struct(*columns).alias(alias))
+
+
+def start_propagation(streams: Mapping[str, DataFrame], merge: Callable[[], MergeSpec],
+                      table: KeyReplaceTable, checkpoint: str, compact_every: int = 8,
+                      trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+    """C12 + C14 streaming: changed images of several sources (alias ->
+    stream), each with keys of its own, in one query with one position per
+    source in its checkpoint.  A batch's images are traced through the joins to
+    the destination keys they touch, which are merged from ``merge()``'s
+    current sources and replaced."""
+    from changeflow.operators.propagate import affected_keys, merge_keys
+    spark = next(iter(streams.values())).sparkSession
+    columns = {s.alias: s.df.columns for s in merge().sources}
+    united = None
+    for alias, stream in streams.items():
+        one = tag_images(stream, alias, columns[alias])
+        united = one if united is None else united.unionByName(one, allowMissingColumns=True)
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()       # read once per source
+        try:
+            images = {a: batch.filter(F.col("_source_alias") == a).select(f"{a}.*") for a in streams}
+            spec = merge()
+            keys = affected_keys(spec, images, table.key)
+            _write_batch(keys, table.delta_paths()[0], batch_id)
+            own = _read_batches(spark, table.delta_paths()[0], batch_id - 1, batch_id)
+            if own is None:       # nothing touched since the start
+                return
+            rows = merge_keys(spark, spec, own.select(table.key), table.key)
+            _write_batch(rows.select(*table.schema.fieldNames()), table.delta_paths()[1], batch_id)
+        finally:
+            batch.unpersist()
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            table.compact(spark, batch_id)
+
+    w = united.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    w = w.trigger(**(dict(trigger) if trigger else {"availableNow": True}))
+    return w.start()
+
+
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], time_col: str, delay: str = "10 minutes"
                   ) -> DataFrame:
     """Optional addition: drop at-least-once redeliveries within a watermark
