@@ -10,11 +10,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from changeflow.catalog import register
-from changeflow.catalog.changes_q import C6_SQL, C7_SQL
+from changeflow.catalog.changes_q import C6_SQL, C7_SQL, C15_SQL, C16_SQL, C17_ORDER_SQL, C17_SQL
 from changeflow.catalog.merge_q import C14_SQL
 from changeflow.operators.merge import run_merge
 from changeflow.session import scratch_path
 from changeflow.sources.fixtures import Tables, base_state, change_feed, customer_dest
+from changeflow.streaming import positions as ps
+from changeflow.streaming import resolve as rs
 from changeflow.streaming import stream as st
 
 N_PARTS = 4
@@ -83,3 +85,66 @@ def c14_stream(spark, sf_dir):
         st.start_remerge(stream, lambda: c14_spec(t, t.customer), "c_custkey", table,
                          f"{root}/checkpoint", compact_every=3).awaitTermination()
     return table.current(spark)
+
+
+# ------------------------------------------------------------------ C15 - C17
+
+def _resolve(spark, sf_dir, columns, ordered, **rule):
+    """The feed in parts - ranges of positions, or any rows in any order -
+    resolved part by part, compacted after the third."""
+    root = scratch_path(spark, f"resolve-{uuid.uuid4().hex}")
+    feed = change_feed(Tables(spark, sf_dir).events).filter(F.col("op_code").isin(1, 2, 4))
+    feed = feed.withColumn("n_events", F.lit(1).cast("long")).select("user_id", *columns, "lsn", "seqval")
+    table = rs.ResolvedTable(f"{root}/dest", feed.schema, keys=["user_id"], order=["lsn", "seqval"], **rule)
+    dealt = [feed.filter(F.pmod(F.xxhash64("lsn"), F.lit(N_PARTS)) == i) for i in range(N_PARTS)]
+    for part in _parts(feed) if ordered else dealt:
+        part.write.mode("append").parquet(f"{root}/feed")
+        stream = st.read_feed_stream(spark, f"{root}/feed", feed.schema)
+        rs.start_resolution(stream, table, f"{root}/checkpoint", compact_every=3).awaitTermination()
+    return table.current(spark).select("user_id", *columns)
+
+
+@register("c15_stream_latest", C15_SQL)
+def c15_stream(spark, sf_dir):
+    return _resolve(spark, sf_dir, ["source_id", "event_type", "value"], False, rule="latest")
+
+
+@register("c16_stream_priority", C16_SQL)
+def c16_stream(spark, sf_dir):
+    return _resolve(spark, sf_dir, ["source_id", "event_type", "value"], False, rule="priority", source_col="source_id",
+                    priority=["src_erp", "src_crm"])
+
+
+@register("c17_stream_custom", C17_SQL)
+def c17_stream(spark, sf_dir):
+    return _resolve(spark, sf_dir, ["value", "n_events"], False, rule="custom", commutative=True,
+                    rules={"value": "greatest(old.value, new.value)", "n_events": "old.n_events + new.n_events"})
+
+
+@register("c17_stream_custom_ordered", C17_ORDER_SQL)
+def c17_stream_ordered(spark, sf_dir):
+    return _resolve(spark, sf_dir, ["event_type"], True, rule="custom", block=7,
+                    rules={"event_type": "concat(old.event_type, '|', new.event_type)"})
+
+
+# ------------------------------------------------------------------ positions
+
+@register("c9_poll_by_position", C6_SQL)
+def c9_poll(spark, sf_dir):
+    """The feed polled by the positions of its two sources: parts arrive one
+    by one, the last together with copies of rows that were read before."""
+    t = Tables(spark, sf_dir)
+    root = scratch_path(spark, f"poll-{uuid.uuid4().hex}")
+    feed, base = change_feed(t.events).drop("change_time"), base_state(t.events)
+    table = st.ChangeTable(f"{root}/dest", base.schema, keys=["user_id"])
+    table.init(spark, base)
+    seen = None
+    for i, part in enumerate(_parts(feed)):
+        part.write.mode("append").parquet(f"{root}/feed")
+        if i == N_PARTS - 1:
+            seen.withColumn("value", F.lit(-1.0)).write.mode("append").parquet(f"{root}/feed")
+        seen = part if seen is None else seen.unionByName(part)
+        positions = ps.FeedPositions(spark, f"{root}/positions", source_col="source_id")
+        ps.poll_feed(positions, lambda: spark.read.schema(feed.schema).parquet(f"{root}/feed"),
+                     lambda batch, b: st.apply_batch(spark, batch, b, table, st.ApplySpec(compact_every=3)))
+    return table.current(spark)
