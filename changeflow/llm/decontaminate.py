@@ -7,8 +7,10 @@ an item with fewer words, but not none, is one window.
 
 The windows are written to the shared folder in groups of at most about
 ``group_chars`` characters (by a hash of window and item), so a worker holds
-the automaton of one group at a time however large the benchmark is; with
-one group, the usual case, it builds the automaton once and keeps it.
+the automaton of one group at a time however large the benchmark is: about 34
+bytes a character, 200 MB a group.  With one group, the usual case, texts are
+scanned once and not shuffled.  With more, each group is a pass of its own over
+the texts, and the hits meet by the digest of the text.
 
 Defined cases: a null or empty text has no words and is clean; an empty
 benchmark leaves every document clean; repeated items or rows are each
@@ -28,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import alnum_words, filesystem, new_path, text_slices
+from changeflow.llm.common import alnum_words, filesystem, new_path, stored, text_slices
+
+GROUP_CHARS = 6 << 20
 
 # a word of the original text: lower case is not applied yet
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -111,7 +115,7 @@ def _matcher(path: str, n: int) -> Matcher:
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10,
-             group_chars: int = 64 << 20) -> DataFrame:
+             group_chars: int = GROUP_CHARS) -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit (words inside a window that
     occurs), items (sorted ids) and spans (merged character ranges of the
     original text that are hit).  Columns of ``docs`` with these names are
@@ -130,32 +134,84 @@ def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10,
         found.repartition(n_groups, "g").write.partitionBy("g").parquet(path)
         groups = [(f"{path}/g={r.g}", r.n) for r in found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").collect()]
     kept = docs.drop(*OUTPUT.names)
+    if len(groups) > 1:
+        return _annotate_by_groups(kept, groups)
     names = [*kept.columns, *OUTPUT.names]
 
     def scan(batches):
         for batch in text_slices(batches):
             words = [alnum_words(t) for t in batch.column("text").to_pylist()]
-            covered: list = [None] * len(words)
-            items: list[set] = [set() for _ in words]
-            for g in groups:
-                matcher = _matcher(*g)
-                for i, w in enumerate(words):
-                    if w:
-                        covered[i] = matcher.hits(w, covered[i], items[i])
-            spans = [_spans(batch.column("text")[i].as_py(), c) if c is not None else []
-                     for i, c in enumerate(covered)]
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns, pa.array([len(w) for w in words], pa.int64()),
-                pa.array([0 if c is None else int(c.sum()) for c in covered], pa.int64()),
-                pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
-                pa.array(spans, SPANS)], names=names)
+            covered, items = _hits(words, groups)
+            yield _annotated(batch, words, covered, items, names)
     return kept.mapInArrow(scan, T.StructType(kept.schema.fields + OUTPUT.fields))
 
 
+def _hits(words: list[list], groups: list[tuple[str, int]]) -> tuple[list, list[set]]:
+    covered: list = [None] * len(words)
+    items: list[set] = [set() for _ in words]
+    for g in groups:
+        matcher = _matcher(*g)
+        for i, w in enumerate(words):
+            if w:
+                covered[i] = matcher.hits(w, covered[i], items[i])
+    return covered, items
+
+
+def _annotated(batch: pa.RecordBatch, words: list[list], covered: list, items: list, names: list[str]) -> pa.RecordBatch:
+    texts = batch.column("text")
+    spans = [_spans(texts[i].as_py(), c) if c is not None else [] for i, c in enumerate(covered)]
+    return pa.RecordBatch.from_arrays([
+        *(batch.column(n) for n in names[:-len(OUTPUT.names)]), pa.array([len(w) for w in words], pa.int64()),
+        pa.array([0 if c is None else int(c.sum()) for c in covered], pa.int64()),
+        pa.array([sorted(s) for s in items], pa.list_(pa.int64())), pa.array(spans, SPANS)], names=names)
+
+
+def _runs(covered: np.ndarray) -> list[int]:
+    """First and last places, exclusive, of the runs that are covered, one
+    after another."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))).tolist()
+
+
+def _annotate_by_groups(kept: DataFrame, groups: list[tuple[str, int]]) -> DataFrame:
+    """One pass of the texts for each group, each with one automaton; the hits
+    of the few texts that have any meet by the text's digest."""
+    text_key = F.sha2(F.col("text").cast("binary"), 256).alias("__key")
+    found = None
+    for g, group in enumerate(groups):
+        def find(batches, group=group):
+            for batch in text_slices(batches):
+                covered, items = _hits([alnum_words(t) for t in batch.column("text").to_pylist()], [group])
+                hit = [i for i, c in enumerate(covered) if c is not None]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__key").take(pa.array(hit, pa.int64())), pa.array([_runs(covered[i]) for i in hit], pa.list_(pa.int32())),
+                     pa.array([sorted(items[i]) for i in hit], pa.list_(pa.int64()))], ["key", "runs", "items"])
+        own = kept.select(text_key, "text").mapInArrow(find, "key string, runs array<int>, items array<long>").withColumn("g", F.lit(g))
+        found = own if found is None else found.unionByName(own)
+    once = found.groupBy("key", "g").agg(F.first("runs").alias("runs"), F.first("items").alias("items"))     # copies of a text hit alike
+    hits = once.groupBy("key").agg(F.collect_list("runs").alias("__runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    # written before the join, so that AQE may split a text of many copies
+    hits = stored(hits, "group-hits")
+    joined = kept.withColumn("__key", text_key).join(hits, F.col("__key") == F.col("key"), "left").drop("__key", "key")
+    names = [*kept.columns, *OUTPUT.names]
+
+    def finish(batches):
+        for batch in text_slices(batches):
+            words = [alnum_words(t) for t in batch.column("text").to_pylist()]
+            covered: list = [None] * len(words)
+            for i, groups_runs in enumerate(batch.column("__runs").to_pylist()):
+                if groups_runs:
+                    covered[i] = np.zeros(len(words[i]), bool)
+                    for runs in groups_runs:
+                        for a, b in zip(runs[::2], runs[1::2]):
+                            covered[i][a:b] = True
+            yield _annotated(batch, words, covered, [x or [] for x in batch.column("__items").to_pylist()], names)
+    return joined.mapInArrow(finish, T.StructType(kept.schema.fields + OUTPUT.fields))
+
+
 def _spans(text: str, covered: np.ndarray) -> list[dict]:
     """Character ranges from the first to the last word of each covered run."""
     at = [m.span() for m in WORD.finditer(text)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+    edges = _runs(covered)
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
 
 

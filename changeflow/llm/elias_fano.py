@@ -30,15 +30,13 @@ class EliasFano:
         n = len(v)
         if not n:
             return cls(0, 0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
-        if (np.diff(v) < 0).any():
+        if (v[1:] < v[:-1]).any():
             raise ValueError("values must not decrease")
         least, u = int(v[0]), int(v[-1]) - int(v[0])
-        if u >= 1 << 62:
-            raise ValueError("values span more than 62 bits")
-        v = v - least
+        v = v.view(np.uint64) - v[:1].view(np.uint64)        # modulo 2^64: right for any span of 64-bit values
         bits = max(0, (u // n).bit_length() - 1)
-        low = np.packbits(((v[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
-        ones = (v >> bits) + np.arange(n)
+        low = np.packbits(((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         vector = np.zeros(int(ones[-1]) + 1, np.uint8)
         vector[ones] = 1
         return cls(n, least, bits, low, np.packbits(vector, bitorder="little"), ones[::STEP].astype(np.uint32))
@@ -87,4 +85,5 @@ class EliasFano:
             end += len(block)
         ones = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little"))[skip:skip + count]
         highs = ones + byte * 8 - np.arange(first, first + count)
-        return (highs << self.low_bits) + self._lows(first, count) + self.least
+        high = highs.astype(np.uint64) << np.uint64(self.low_bits)
+        return (high + self._lows(first, count).view(np.uint64) + np.array([self.least]).view(np.uint64)).view(np.int64)

@@ -80,6 +80,15 @@ def test_elias_fano(values):
         ef.select(len(values))
 
 
+@pytest.mark.parametrize("values", [[-(1 << 63), (1 << 63) - 1], [-(1 << 63)] * 3 + list(range(700)) + [(1 << 63) - 1] * 2, [-(1 << 62), 1 << 62], [(1 << 63) - 1]])
+def test_elias_fano_of_any_span(values):
+    ef, _ = EliasFano.from_bytes(EliasFano.build(values).to_bytes())
+    assert ef.slice(0, ef.n).tolist() == values and [ef.select(i) for i in range(ef.n)] == values
+    assert not len(values) > 1 or ef.slice(1, 1).tolist() == values[1:2]
+    with pytest.raises(ValueError):
+        EliasFano.build([(1 << 63) - 1, -(1 << 63)])
+
+
 def test_elias_fano_is_near_the_bound():
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 10_000))
     assert len(EliasFano.build(values).to_bytes()) * 8 / len(values) < 2.5 + np.log2((1 << 40) / len(values))
@@ -152,9 +161,28 @@ def test_decontamination_without_the_written_windows(docs, spark, items, monkeyp
     write = DataFrameWriter.parquet
     monkeypatch.setattr(DataFrameWriter, "parquet",
                         lambda self, path, *a, **k: None if "benchmark-windows" in path else write(self, path, *a, **k))
-    lost = decontaminate.annotate(docs, bench, group_chars=group_chars)
     with pytest.raises(Exception, match="is not found"):
-        lost.collect()
+        decontaminate.annotate(docs, bench, group_chars=group_chars).collect()
+
+
+def test_decontamination_of_groups_over_several_slices(docs, spark, items, monkeypatch):
+    """Many groups, each passed over several slices: as with one group, spans
+    and columns included, and no automaton is built twice for one pass."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.annotate(docs, bench)
+    monkeypatch.setattr(decontaminate, "text_slices", lambda batches: (b.slice(i, 3) for b in batches for i in range(0, b.num_rows, 3)))
+    many = decontaminate.annotate(docs, bench, group_chars=60)
+    assert many.columns == one.columns and rows_of(many, *many.columns) == rows_of(one, *one.columns)
+    assert many.filter("n_hit > 0").count() > 0 and len({r.n_items for r in decontaminate.digest(many).collect()}) > 1
+
+
+def test_token_store_of_wide_ids(spark):
+    """Ids of a 64-bit hash, over the whole range."""
+    ids = [-(1 << 63), -(1 << 62) - 5, -1, 0, 7, 1 << 61, (1 << 63) - 2, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(2)
+    folder = new_path(spark, "wide")
+    token_store.write_store(df.coalesce(1), folder, LIBRARY)
+    assert sorted((r.doc_id for r in token_store.read_store(spark, folder).collect()), key=repr) == sorted(ids, key=repr)
 
 
 def test_decontamination_with_a_part_of_a_group(spark):
