@@ -203,14 +203,14 @@ for _name, _op, _sql in (
         ("u1_union_all", "union_all", "SELECT c_nationkey AS nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
         ("u2_union_distinct", "union", "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier"),
         ("u3_intersect", "intersect", "SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-        ("u4_except", "except", "SELECT c_nationkey AS nationkey FROM customer WHERE c_nationkey > 3 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 10")):
+        ("u4_except", "except", "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")):
     def _q(spark, sf_dir, _op=_op, _name=_name):
         t = Tables(spark, sf_dir)
         if _name == "u4_except":
             spec = MergeSpec(
-                sources=(Source("c", t.customer.select(F.col("c_nationkey").alias("nationkey")), "nationkey > 3"),
-                         Source("s", t.supplier.select(F.col("s_nationkey").alias("nationkey")), "nationkey < 10")),
-                steps=(Step("except", "s"),), output=(("nationkey", "nationkey"),))
+                sources=(Source("c", t.customer.select(F.col("c_custkey").alias("custkey"))),
+                         Source("o", t.orders.select(F.col("o_custkey").alias("custkey")))),
+                steps=(Step("except", "o"),), output=(("custkey", "custkey"),))
             return mg.run_merge(spark, spec)
         return mg.run_merge(spark, _set_spec(t, _op))
     register(_name, _sql)(_q)

@@ -65,15 +65,18 @@ def f4(spark, sf_dir):
     return x.join(y, "o_orderstatus")
 
 
-@register("f5_fork_split")   # hash buckets: rows-only check
+# which part a hash names is Spark's own; that the parts are disjoint and
+# complete, and an equal key never parts, is not
+@register("f5_fork_split", """
+SELECT o_custkey, count(*) AS n_orders, CAST(1 AS BIGINT) AS n_parts FROM orders GROUP BY o_custkey
+""")
 def f5(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    parts = tf.split_parts(t.orders.select("o_orderkey"), ["o_orderkey"], 3)
+    parts = tf.split_parts(Tables(spark, sf_dir).orders.select("o_custkey"), ["o_custkey"], 3, once=True)
     out = None
     for i, p in enumerate(parts):
-        q = p.select("o_orderkey", F.lit(i).alias("part"))
+        q = p.withColumn("part", F.lit(i))
         out = q if out is None else out.unionByName(q)
-    return out
+    return out.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("part").alias("n_parts"))
 
 
 F7_SQL = """
@@ -195,10 +198,15 @@ def r6(spark, sf_dir):
         ("o_orderpriority LIKE '1%'", "urgent")], "open").alias("status_label"))
 
 
-@register("r7_processing_stamp")   # current time: rows-only check
+# the time itself is not known beforehand; that every row has it, and the same, is
+@register("r7_processing_stamp", """
+SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS n_stamps, count(*) AS n_recent FROM customer
+""")
 def r7(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return tf.processing_stamp(t.customer.select("c_custkey"))
+    stamped = tf.processing_stamp(Tables(spark, sf_dir).customer.select("c_custkey"))
+    recent = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("processed_at")) < 3600
+    return stamped.agg(F.count("c_custkey").alias("n_rows"), F.count_distinct("processed_at").alias("n_stamps"),
+                       F.count(F.when(recent, 1)).alias("n_recent"))
 
 
 R8_SQL = """

@@ -5,7 +5,6 @@ aggregations instead of per-row probes."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,44 +112,48 @@ def key_exists(df: DataFrame, target: DataFrame, keys: Sequence[str], name: str
     return df.join(tk, keys, "left").withColumn(name, F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 
 
+def _mask(keys: Sequence[str]) -> Column:
+    """Which key parts are given, a bit for each."""
+    out = F.lit(0)
+    for i, k in enumerate(keys):
+        out = out + F.when(F.col(k).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return out
+
+
+def _same_masked(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    cond = left["_mask"] == right["_m"]
+    for i, k in enumerate(keys):
+        cond = cond & left[k].eqNullSafe(right[f"_k{i}"])
+    return cond
+
+
 def record_lookup(sample: DataFrame, target: DataFrame, keys: Sequence[str],
                   order: Sequence[str], prefix: str = "dst_") -> DataFrame:
     """For each sample row the first target row (in ``order``) equal on
     the key parts that are not null; all parts null -> no match.
 
-    Rows are grouped by which key parts are null; each group joins the
-    target reduced to its first row per used key subset (``min_by``), so
-    every join is 1:1 on its key."""
-    keys = list(keys)
-    tcols = target.columns
-    ordk = F.struct(*[F.col(c) for c in order])
-    out = None
-    for r in range(len(keys), 0, -1):
-        for used in combinations(keys, r):
-            used = list(used)
-            cond = None
-            for k in keys:
-                c = F.col(k).isNotNull() if k in used else F.col(k).isNull()
-                cond = c if cond is None else cond & c
-            part = sample.filter(cond)
-            # reduce the target to the probed keys before it is aggregated
-            held = target.join(part.select(*used).distinct(), used, "left_semi")
-            first = held.groupBy(*used).agg(F.min_by(F.struct(*tcols), ordk).alias("_r"))
-            first = first.select(*[F.col(u).alias(f"_k_{u}") for u in used],
-                                 *[F.col(f"_r.{c}").alias(prefix + c) for c in tcols])
-            jc = None
-            for u in used:
-                c = part[u] == first[f"_k_{u}"]
-                jc = c if jc is None else jc & c
-            j = part.join(first, jc, "left").drop(*[f"_k_{u}" for u in used])
-            out = j if out is None else out.unionByName(j)
-    all_null = None
-    for k in keys:
-        all_null = F.col(k).isNull() if all_null is None else all_null & F.col(k).isNull()
-    none = sample.filter(all_null)
-    none = none.select(*sample.columns, *[F.lit(None).cast(target.schema[c].dataType).alias(prefix + c)
-                                           for c in tcols])
-    return out.unionByName(none)
+    The target is read once and indexed by masked keys: a row stands for each
+    combination of given key parts that the sample asks with (at most 2^k - 1,
+    read beforehand), the other parts set to null.  Only probed keys are kept
+    and reduced to their first row (``min_by``), so one 1:1 join answers all
+    combinations."""
+    keys, tcols = list(keys), target.columns
+    asked = sample.withColumn("_mask", _mask(keys))
+    masks = asked.filter("_mask > 0").agg(F.collect_set("_mask")).first()[0]
+    rows = target.select(F.struct(*tcols).alias("_r"), F.struct(*order).alias("_o"), *keys).withColumn(
+        "_mask", F.explode(F.array(*[F.lit(m) for m in sorted(masks)]).cast("array<int>")))
+    given = [F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(keys))]
+    complete = F.lit(True)
+    for k, g in zip(keys, given):
+        complete = complete & (~g | F.col(k).isNotNull())
+    rows = rows.filter(complete).select("_r", "_o", "_mask", *[F.when(g, F.col(k)).alias(k) for k, g in zip(keys, given)])
+    probed = asked.filter("_mask > 0").select(F.col("_mask").alias("_m"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    held = rows.join(probed, _same_masked(rows, probed, keys), "left_semi")
+    first = held.groupBy("_mask", *keys).agg(F.min_by("_r", "_o").alias("_r")).select(
+        F.col("_mask").alias("_m"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.col(f"_r.{c}").alias(prefix + c) for c in tcols])
+    found = asked.join(first, _same_masked(asked, first, keys), "left")
+    return found.select(*[asked[c] for c in sample.columns], *[prefix + c for c in tcols])
 
 
 # ---------------------------------------------------------------- Q4

@@ -51,19 +51,23 @@ def fork(df: DataFrame, n: int = 2, persist: bool = True) -> list[DataFrame]:
     return [df] * n
 
 
-def split_parts(df: DataFrame, keys: Sequence[str], n: int, by: str = "hash") -> list[DataFrame]:
+def split_parts(df: DataFrame, keys: Sequence[str], n: int, by: str = "hash", once: bool = False) -> list[DataFrame]:
     """disjoint parts by ``pmod(xxhash64(keys), n)``, or with
     ``by='modulo'`` by ``pmod(key, n)`` of one integral key (null keys in part
-    0); every row lands in exactly one part.  The parts are filters over one
-    plan: write them with ``partitionBy`` on a part column where a single
-    pass over the input matters."""
+    0); every row lands in exactly one part.
+
+    The parts are filters over one plan.  With ``once`` the input is read a
+    single time: it is written to the shared folder partitioned by part, and
+    each part reads its own files."""
     if by == "hash":
         part = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n))
     elif by == "modulo" and len(keys) == 1:
         part = F.coalesce(F.pmod(F.col(keys[0]), F.lit(n)), F.lit(0))
     else:
         raise ValueError("by is hash, or modulo with one key")
-    tagged = df.withColumn("_part", part)
+    tagged = df.withColumn("_part", part.cast("int"))
+    if once:
+        tagged = written(tagged, "split", "_part")
     return [tagged.filter(F.col("_part") == i).drop("_part") for i in range(n)]
 
 

@@ -9,7 +9,7 @@ end to end (filters of later nodes still reach the source scans).
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from changeflow.functions.columns import concat_keep_nulls, json_array, json_object
 from changeflow.operators import transforms as tf
 from changeflow.operators.merge import workflow_join
+from changeflow.session import written
 
 NODE_TYPES = ("source", "select", "filter", "dedupe", "json", "concat", "expression", "script",
               "condition", "fork", "join", "logger", "sink")
@@ -116,12 +117,24 @@ def _node(spark: SparkSession, n: Node, ins: Mapping[str, DataFrame],
     return {"out": df}
 
 
+def _is_read(df: DataFrame) -> bool:
+    """Whether the rows are only read, so that a filter reaches the scan."""
+    return df._jdf.queryExecution().optimizedPlan().children().isEmpty()
+
+
 def run_graph(spark: SparkSession, nodes: Sequence[Node], edges: Sequence[Edge],
-              sources: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, Observation]]:
+              sources: Mapping[str, DataFrame], share: bool = True) -> tuple[dict[str, DataFrame], dict[str, Observation]]:
     """G1: every node's output DataFrame (by node id; multi-port nodes as
     ``id:port``) and the row-count observations of logger nodes (G3; read
-    them after an action on a downstream DataFrame)."""
+    them after an action on a downstream DataFrame).
+
+    What several edges lead on from is computed once: a node's output, or the
+    rows that a condition splits, are written to the shared folder and read
+    from there (``share=False`` leaves every branch its own plan).  Sources
+    are read by each branch, with its own filters and columns, and a fork
+    writes its rows itself."""
     order = topological_order(nodes, edges)
+    fan_out = Counter(e.source for e in edges)
     incoming = defaultdict(list)
     for e in edges:
         incoming[e.target].append(e)
@@ -137,7 +150,12 @@ def run_graph(spark: SparkSession, nodes: Sequence[Node], edges: Sequence[Edge],
             ins[e.input] = src[e.port]
         if n.type != "source" and not ins:
             raise ValueError(f"node {n.id} has no input")
+        shared = share and fan_out[n.id] > 1
+        if shared and n.type == "condition" and not _is_read(ins["in"]):
+            ins["in"] = written(ins["in"], f"node-{n.id}")
         outs = _node(spark, n, ins, sources, observations)
+        if shared and n.type not in ("source", "condition", "fork"):
+            outs = {port: written(df, f"node-{n.id}") for port, df in outs.items()}
         outputs[n.id] = outs
         for port, df in outs.items():
             result[n.id if port == "out" else f"{n.id}:{port}"] = df

@@ -108,6 +108,29 @@ def test_record_lookup_partial_null_keys(spark):
     assert out == {(1, None): "a", (None, None): None, (2, 1): "c"}
 
 
+def test_record_lookup_by_masked_keys(spark):
+    """Every combination of three key parts against a plain search, with one
+    scan of the target."""
+    import random
+    rng = random.Random(2)
+    part = lambda: rng.choice([None, 1, 2, 3])      # noqa: E731
+    rows = [(part(), part(), part(), i) for i in range(60)]
+    probes = [(part(), part(), part()) for _ in range(80)]
+    schema = "x long, y long, z long"
+    found = rc.record_lookup(spark.createDataFrame(probes, schema), spark.createDataFrame(rows, schema + ", v long"), ["x", "y", "z"], ["v"])
+
+    def first(probe):
+        if probe == (None,) * 3:
+            return None
+        return min((r[3] for r in rows if all(p is None or p == v for p, v in zip(probe, r))), default=None)
+    assert found.columns == ["x", "y", "z", "dst_x", "dst_y", "dst_z", "dst_v"]
+    assert sorted(repr((r.x, r.y, r.z, r.dst_v)) for r in found.collect()) == sorted(repr((*p, first(p))) for p in probes)
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", "c_nationkey", "c_name")
+    probe = customers.limit(5).select("c_custkey", F.expr("if(c_custkey % 2 = 0, c_nationkey, null)").alias("c_nationkey"))
+    plan = rc.record_lookup(probe, customers, ["c_custkey", "c_nationkey"], ["c_name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("c_name") and plan.count("Aggregate [_mask") == 1
+
+
 def test_missing_counts_null_keys(spark):
     s = spark.createDataFrame([(1,), (None,), (3,), (3,)], "k long")
     d = spark.createDataFrame([(1,), (None,)], "k long")

@@ -126,6 +126,36 @@ def test_remerge_batches_without_rows(spark, scratch):
     assert [tuple(r) for r in table.current(spark).collect()] == [(2, "b")]
 
 
+def test_shared_nodes_are_computed_once(spark):
+    """A node with several out-edges and the rows a condition splits are
+    computed once: an accumulator counts the rows that pass the expression."""
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: (seen.add(1), x)[1], "long").asNondeterministic()
+    df = spark.range(50).select(mark("id").alias("id"))
+    nodes = [Node("src", "source", {"table": "t"}), Node("e", "expression", {"target": "d", "expression": "id * 2"}),
+             Node("c", "condition", {"condition": "d % 4 = 0"}), Node("yes", "sink"), Node("no", "sink"), Node("all", "sink")]
+    edges = [Edge("src", "e"), Edge("e", "c"), Edge("e", "all"), Edge("c", "yes", port="true"), Edge("c", "no", port="false")]
+    out, _ = run_graph(spark, nodes, edges, {"t": df})
+    assert sorted(r.id for n in ("yes", "no") for r in out[n].collect()) == list(range(50)) and out["all"].count() == 50
+    assert seen.value == 50
+    seen.value = 0
+    single = [n for n in nodes if n.id != "all"]
+    out, _ = run_graph(spark, single, [e for e in edges if e.target != "all"], {"t": df})
+    assert out["yes"].count() == out["no"].count() == 25 and seen.value == 50
+
+
+def test_parts_written_once(spark):
+    from changeflow.operators import transforms as tf
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: (seen.add(1), x)[1], "long").asNondeterministic()
+    df = spark.range(60).select(mark("id").alias("id"), F.lit("x").alias("v"))
+    parts = tf.split_parts(df, ["id"], 4, once=True)
+    assert sorted(r.id for p in parts for r in p.collect()) == list(range(60)) and seen.value == 60
+    assert "PartitionFilters: [isnotnull(_part" in parts[1]._jdf.queryExecution().executedPlan().toString()
+    assert [p.columns for p in parts] == [["id", "v"]] * 4
+    assert [p.count() for p in tf.split_parts(df.limit(0), ["id"], 3, once=True)] == [0, 0, 0]
+
+
 def test_graph_cycle_and_logger(spark):
     with pytest.raises(ValueError, match="cycle"):
         topological_order([Node("a", "filter", {"condition": "true"}), Node("b", "filter", {"condition": "true"})],
