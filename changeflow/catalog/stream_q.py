@@ -10,12 +10,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from changeflow.catalog import register
-from changeflow.catalog.changes_q import C6_SQL, C7_SQL, C15_SQL, C16_SQL, C17_ORDER_SQL, C17_SQL
+from changeflow.catalog.changes_q import C6_SQL, C7_SQL, C15_SQL, C16_SQL, C17_ORDER_SQL, C17_SQL, C20_SQL
 from changeflow.catalog.merge_q import C14_SQL
 from changeflow.operators.merge import run_merge
 from changeflow.session import scratch_path
 from changeflow.sources.fixtures import Tables, base_state, change_feed, customer_dest
+from changeflow.streaming import history as hs
 from changeflow.streaming import positions as ps
+from changeflow.streaming import progress as pg
 from changeflow.streaming import resolve as rs
 from changeflow.streaming import stream as st
 
@@ -148,3 +150,42 @@ def c9_poll(spark, sf_dir):
         ps.poll_feed(positions, lambda: spark.read.schema(feed.schema).parquet(f"{root}/feed"),
                      lambda batch, b: st.apply_batch(spark, batch, b, table, st.ApplySpec(compact_every=3)))
     return table.current(spark)
+
+
+# ------------------------------------------------------------------ C20
+
+@register("c20_stream_history", f"SELECT * EXCLUDE (surrogate_key) FROM ({C20_SQL})")
+def c20_stream(spark, sf_dir):
+    """Parts of any rows in any order, so most events are late; compacted
+    after the third."""
+    root = scratch_path(spark, f"history-{uuid.uuid4().hex}")
+    feed = change_feed(Tables(spark, sf_dir).events).select("user_id", "event_type", "lsn", "seqval", "change_time", "op_code")
+    table = hs.HistoryTable(f"{root}/dest", hs.history_schema(feed.schema), keys=["user_id"])
+    for i in range(N_PARTS):
+        feed.filter(F.pmod(F.xxhash64("lsn"), F.lit(N_PARTS)) == i).write.mode("append").parquet(f"{root}/feed")
+        stream = st.read_feed_stream(spark, f"{root}/feed", feed.schema)
+        hs.start_history(stream, table, f"{root}/checkpoint", compact_every=3).awaitTermination()
+    return table.history(spark).select("user_id", "lsn", "event_type", "effective_date", "expiration_date", "is_current")
+
+
+# ------------------------------------------------------------------ A10
+
+@register("a10_stream_throughput", f"SELECT CAST({N_PARTS} AS BIGINT) AS batches, count(*) AS events_processed, true AS timed FROM events")
+def a10_stream(spark, sf_dir):
+    """Progress rows of a query that reads the feed in parts."""
+    root = scratch_path(spark, f"progress-{uuid.uuid4().hex}")
+    feed = change_feed(Tables(spark, sf_dir).events)
+    log = pg.ProgressLog(spark, f"{root}/progress")
+    spark.streams.addListener(log)
+    try:
+        for part in _parts(feed):
+            part.write.mode("append").parquet(f"{root}/feed")
+            query = (st.read_feed_stream(spark, f"{root}/feed", feed.schema).writeStream.format("noop")
+                     .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+            query.awaitTermination()
+            log.wait(query.runId)
+    finally:
+        spark.streams.removeListener(log)
+    rates = pg.stream_throughput(pg.progress_rows(spark, f"{root}/progress").filter("input_rows > 0"))
+    timed = (F.col("run_seconds") > 0) & (F.col("events_per_second") > 0) & (F.col("busy_seconds") > 0)
+    return rates.select("batches", "events_processed", timed.alias("timed"))
