@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from changeflow.functions.columns import any_changed, present
 from changeflow.operators.ordered import keyed_neighbor, keyed_row_number
+from changeflow.operators.skew import fits
 from changeflow.session import written
 
+FEW_COUNTS = 1_000_000    # distinct (group, value) pairs that one window numbers
+
 # ---------------------------------------------------------------- F1 - F8
 
 
@@ -317,21 +320,33 @@ def median(df: DataFrame, keys: Sequence[str], column: str, approx: bool = False
     return exact_percentiles(df, keys, column, {f"median_{column}": 0.5})
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted: dict[str, float],
+                      few: int = FEW_COUNTS) -> DataFrame:
     """Interpolated percentiles per group (``percentile_cont``), one column
-    for each name in ``wanted``; null where a group has no value."""
+    for each name in ``wanted``; null where a group has no value.
+
+    Values are counted per (group, value), map-side first, and the counts
+    written.  Up to ``few`` of them are numbered by one window; more are
+    numbered block-wise, so no group's values have to fit into one task."""
     from changeflow.operators.ordered import ordered_blocks
     keys = list(keys)
-    counts = (df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    b = ordered_blocks(counts, keys, ["_v"])
-    sums = b.groupBy("_k", "_blk").agg(F.sum("_n").alias("_s"))
-    before = Window.partitionBy("_k").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_k", "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
-                       F.sum("_s").over(Window.partitionBy("_k")).alias("_total"))
-    run = Window.partitionBy("_k", "_blk").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.join(sums, ["_k", "_blk"]).withColumn("_last", F.col("_off") + F.sum("_n").over(run) - 1) \
-         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    every = written(df.groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    counts = every.filter(F.col("_v").isNotNull())
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    if fits(every, few):
+        group = Window.partitionBy("_k")
+        b = counts.select(key.alias("_k"), "_v", "_n").withColumns({
+            "_last": F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1,
+            "_total": F.sum("_n").over(group)})
+    else:
+        b = ordered_blocks(counts, keys, ["_v"])
+        sums = b.groupBy("_k", "_blk").agg(F.sum("_n").alias("_s"))
+        before = Window.partitionBy("_k").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("_k", "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
+                           F.sum("_s").over(Window.partitionBy("_k")).alias("_total"))
+        run = Window.partitionBy("_k", "_blk").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        b = b.join(sums, ["_k", "_blk"]).withColumn("_last", F.col("_off") + F.sum("_n").over(run) - 1)
+    b = b.withColumn("_first", F.col("_last") - F.col("_n") + 1)
     aggs, out = [], []
     for name, p in wanted.items():
         place = (F.col("_total") - 1) * F.lit(float(p))
@@ -342,5 +357,5 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted: d
         lo, hi, at = (F.col(f"_{name}_{x}") for x in ("lo", "hi", "at"))
         out.append((lo + (hi - lo) * at).alias(name))
     found = b.groupBy("_k").agg(*aggs).select("_k", *out)
-    groups = df.select(F.struct(*keys).alias("_k") if keys else F.struct(F.lit(0).alias("_all")).alias("_k")).distinct()
+    groups = every.select(key.alias("_k")).distinct()
     return groups.join(found, "_k", "left").select(*[F.col(f"_k.{k}").alias(k) for k in keys], *wanted)

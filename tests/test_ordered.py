@@ -57,3 +57,16 @@ def test_sequence_ids_dense_and_ordered(spark):
     existing = spark.createDataFrame([(5,), (41,)], "sid long")
     new = next_values(spark.range(3).withColumnRenamed("id", "v"), existing, "sid", ["v"])
     assert sorted(r["sid"] for r in new.collect()) == [42, 43, 44]
+
+
+def test_percentiles_by_one_window_or_by_blocks(spark):
+    import random
+    from changeflow.operators.transforms import exact_percentiles
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(500)] + [("empty", None)] * 3
+    df = spark.createDataFrame(rows, "g string, v long").repartition(4)
+    wanted = {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
+    for keys in (["g"], []):
+        got = [sorted(map(repr, exact_percentiles(df, keys, "v", wanted, few).collect())) for few in (0, 10**6)]
+        want = df.groupBy(*keys).agg(*[F.expr(f"percentile(v, {p})").alias(n) for n, p in wanted.items()])
+        assert got[0] == got[1] == sorted(map(repr, want.collect()))
