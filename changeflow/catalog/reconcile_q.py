@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeflow.catalog import register
+from changeflow.operators import digests as dg
 from changeflow.operators import reconcile as rc
 from changeflow.operators.mapping import ColumnMap, TableMap, apply_mapping
 from changeflow.sources.fixtures import Tables, customer_dest, with_ctes
@@ -131,6 +132,30 @@ def q3(spark, sf_dir):
     return _diff_text(rc.verify_rows(t.customer.select(*CUST_COLS), customer_dest(t.customer), ["c_custkey"]))
 
 
+@register("q3_verification_by_digests", f"SELECT * FROM ({Q3_SQL}) WHERE status <> 'matched'")
+def q3_digests(spark, sf_dir):
+    """The same without the matched rows, whose buckets are not shuffled."""
+    t = Tables(spark, sf_dir)
+    return _diff_text(dg.verify_by_digests(t.customer.select(*CUST_COLS), customer_dest(t.customer), ["c_custkey"], leaf_rows=50))
+
+
+Q1D_SQL = with_ctes("""
+SELECT 'copy' AS destination, true AS agrees UNION ALL
+SELECT 'perturbed', NOT EXISTS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer EXCEPT ALL
+                                SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer_dest)
+""", "customer_dest")
+
+
+@register("q1_tables_agree_by_digests", Q1D_SQL)
+def q1_digests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    source = t.customer.select(*CUST_COLS)
+    dealt = source.repartition(7)
+    found = [("copy", dg.tables_agree(source, dealt, ["c_custkey"])),
+             ("perturbed", dg.tables_agree(source, customer_dest(t.customer).select(*CUST_COLS), ["c_custkey"]))]
+    return spark.createDataFrame(found, "destination string, agrees boolean")
+
+
 Q4_SQL = with_ctes(f"""
 SELECT s.c_custkey, {_DIFF_LIST} AS differences
 FROM customer s JOIN customer_dest d ON s.c_custkey = d.c_custkey
