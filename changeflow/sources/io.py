@@ -32,18 +32,23 @@ def jdbc_scan(spark: SparkSession, url: str, table: str, partition_column: str |
               lower: int | None = None, upper: int | None = None, partitions: int = 64,
               fetchsize: int = 10_000, properties: Mapping[str, str] | None = None) -> DataFrame:
     """S1 for databases: a partitioned JDBC read (one range query per
-    partition) with a fetch size.  Connection properties are passed through
-    and never logged."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table) \
-        .option("fetchsize", str(fetchsize))
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
-    if partition_column:
-        if lower is None or upper is None:
-            raise ValueError("a partitioned read needs lower and upper bounds")
-        reader = reader.option("partitionColumn", partition_column).option("lowerBound", str(lower)) \
-            .option("upperBound", str(upper)).option("numPartitions", str(partitions))
-    return reader.load()
+    partition) with a fetch size.  Bounds that are not given come from one
+    min / max query; a column without a value is read unpartitioned.
+    Connection properties are passed through and never logged."""
+    def reader(**options):
+        r = spark.read.format("jdbc").option("url", url).option("fetchsize", str(fetchsize))
+        for k, v in [*(properties or {}).items(), *options.items()]:
+            r = r.option(k, v)
+        return r
+    if not partition_column:
+        return reader(dbtable=table).load()
+    if lower is None or upper is None:
+        found = reader(query=f"SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi FROM {table}").load().first()
+        if found is None or found[0] is None:
+            return reader(dbtable=table).load()
+        lower, upper = (found[0] if lower is None else lower), (found[1] if upper is None else upper)
+    return reader(dbtable=table, partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper),
+                  numPartitions=str(partitions)).load()
 
 
 def query_source(spark: SparkSession, sql: str, views: Mapping[str, DataFrame] | None = None,

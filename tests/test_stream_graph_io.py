@@ -126,6 +126,26 @@ def test_remerge_batches_without_rows(spark, scratch):
     assert [tuple(r) for r in table.current(spark).collect()] == [(2, "b")]
 
 
+@pytest.mark.parametrize("found,given", [((3, 90), {}), ((3, 90), {"lower": 0}), ((None, None), {})])
+def test_jdbc_bounds_come_from_one_query(spark, monkeypatch, found, given):
+    """What the reads ask for; no database is read here."""
+    from pyspark.sql import DataFrameReader
+    reads, option = [{}], DataFrameReader.option
+    monkeypatch.setattr(DataFrameReader, "option", lambda self, k, v: (reads[-1].update({k: v}), option(self, k, v))[1])
+
+    def load(self):
+        reads.append({})
+        return spark.createDataFrame([found], "lo long, hi long")
+    monkeypatch.setattr(DataFrameReader, "load", load)
+    io.jdbc_scan(spark, "jdbc:none:", "orders", "id", partitions=8, properties={"user": "u"}, **given)
+    assert reads[0]["query"] == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM orders" and reads[0]["user"] == "u"
+    if found[0] is None:
+        assert reads[1]["dbtable"] == "orders" and "partitionColumn" not in reads[1]
+    else:
+        assert (reads[1]["lowerBound"], reads[1]["upperBound"], reads[1]["numPartitions"]) == (str(given.get("lower", 3)), "90", "8")
+        assert "query" not in reads[1]
+
+
 def test_shared_nodes_are_computed_once(spark):
     """A node with several out-edges and the rows a condition splits are
     computed once: an accumulator counts the rows that pass the expression."""
