@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions.columns import present
-from changeflow.operators.skew import null_key
+from changeflow.operators.skew import DEFAULT_HOT_ROWS, SALT, copy_rows, deal_rows, hot_key_salts, null_key
 
 # ---------------------------------------------------------------- T6
 
@@ -185,13 +185,16 @@ def record_diff(a_prefix: str, b_prefix: str, columns: Sequence[str], typed: boo
 # ---------------------------------------------------------------- Q2 / Q3 / Q5
 
 def verify_rows(source_mapped: DataFrame, destination: DataFrame, keys: Sequence[str],
-                columns: Sequence[str] | None = None, typed: bool = False) -> DataFrame:
+                columns: Sequence[str] | None = None, typed: bool = False,
+                hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Q3: every key of either side with its ``status`` (matched, different,
     missing_in_destination, missing_in_source) and the differing columns.
 
     One full outer join on the key; the destination is reduced to its first
     row per key (a look-up finds the first match).  Null keys never match;
-    every row with one is reported as missing."""
+    every row with one is reported as missing.  Where a source key holds more
+    than ``hot_rows`` rows, these are dealt over salts, each with a copy of the
+    key's destination row, and the destination's other keys are found apart."""
     keys = list(keys)
     cols = list(columns) if columns is not None else [c for c in source_mapped.columns if c not in keys]
     s = source_mapped.select(*keys, *[F.col(c).alias("s_" + c) for c in cols]) \
@@ -202,7 +205,14 @@ def verify_rows(source_mapped: DataFrame, destination: DataFrame, keys: Sequence
         .select(*keys, *[F.col(f"_r.{c}").alias("d_" + c) for c in cols]) \
         .withColumn("_d", F.lit(True))
     d_null = destination.filter(nk).select(*keys, *[F.col(c).alias("d_" + c) for c in cols]).withColumn("_d", F.lit(True))
-    j = s.filter(~nk).join(d, keys, "full_outer")
+    held = s.filter(~nk)
+    salts = hot_key_salts(held, keys, hot_rows)
+    if salts is None:
+        j = held.join(d, keys, "full_outer")
+    else:
+        left = deal_rows(held, keys, salts).join(copy_rows(d, keys, salts), [*keys, SALT], "left").drop(SALT)
+        only = d.join(held.select(*keys).distinct(), keys, "left_anti")
+        j = left.unionByName(only, allowMissingColumns=True)
     j = j.unionByName(s.filter(nk), allowMissingColumns=True) \
          .unionByName(d_null, allowMissingColumns=True)
     diff = record_diff("s_", "d_", cols, typed)

@@ -131,6 +131,14 @@ def test_record_lookup_by_masked_keys(spark):
     assert plan.count("c_name") and plan.count("Aggregate [_mask") == 1
 
 
+def test_verification_deals_a_hot_source_key(spark):
+    s = spark.createDataFrame([(1, f"v{i % 3}") for i in range(40)] + [(2, "a"), (3, "b"), (None, "n")], "k long, v string").repartition(4)
+    d = spark.createDataFrame([(1, "v1"), (2, "a"), (4, "c"), (1, "zz"), (None, "m")], "k long, v string")
+    rows = [sorted(map(repr, rc.verify_rows(s, d, ["k"], hot_rows=n).collect())) for n in (5, 10**6)]
+    assert rows[0] == rows[1] and len(rows[0]) == 45
+    assert rc.verify_rows(s, d, ["k"], hot_rows=5).filter("k = 1 AND status = 'different'").count() == 27
+
+
 def test_missing_counts_null_keys(spark):
     s = spark.createDataFrame([(1,), (None,), (3,), (3,)], "k long")
     d = spark.createDataFrame([(1,), (None,)], "k long")
