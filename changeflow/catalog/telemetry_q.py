@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from changeflow.catalog import register
 from changeflow.functions.columns import decode_operation
+from changeflow.operators import latency_states as ls
 from changeflow.operators import telemetry as tm
+from changeflow.session import written
 from changeflow.sources.fixtures import (Tables, change_feed, event_log, latency_metrics,
                                          with_ctes)
 
@@ -174,3 +176,35 @@ def t7(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return tm.retained(event_log(t.events), 10, "2024-01-31") \
         .select("event_id", F.col("event_date").cast("string").alias("event_date"))
+
+
+# ------------------------------------------------------------------ A6 - A8 from stored states
+
+# the percentiles' ranks are checked: their share of the window's values lies within the sketch's error
+A8_STATES_SQL = with_ctes("""
+WITH h AS (SELECT mapping_id, date_trunc('hour', destination_insert_time) AS hour, latency_ms FROM latency_metrics),
+w AS (SELECT hour + INTERVAL (i) HOUR AS window_end, mapping_id, latency_ms FROM h, unnest(range(1, 25)) AS t(i))
+SELECT window_end, mapping_id, count(*) AS total_records, CAST(sum(latency_ms) AS DOUBLE) / count(latency_ms) AS avg_latency_ms,
+       CAST(min(latency_ms) AS DOUBLE) AS min_latency_ms, CAST(max(latency_ms) AS DOUBLE) AS max_latency_ms, true AS ranks_hold
+FROM w GROUP BY window_end, mapping_id
+""", "latency_metrics")
+
+
+@register("a8_moving_windows_from_states", A8_STATES_SQL)
+def a8_states(spark, sf_dir):
+    """Every 24 hours of every mapping from hourly states, and whether the
+    median's and the 95th percentile's ranks hold against the records."""
+    records = latency_metrics(Tables(spark, sf_dir).events)
+    moving = written(ls.moving_stats(written(ls.hourly_states(records), "states"), 24, by_mapping=True), "moving")
+    hour = F.date_trunc("hour", "destination_insert_time").cast("timestamp_ntz")
+    values = records.select("mapping_id", "latency_ms", F.explode(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: hour + F.make_dt_interval(F.lit(0), i))).alias("window_end"))
+    held = values.join(moving, ["window_end", "mapping_id"]).groupBy("window_end", "mapping_id").agg(
+        *[F.avg((F.col("latency_ms") < F.col(f"{p}_latency_ms")).cast("int")).alias(f"{p}_below") for p in ("p50", "p95")],
+        *[F.avg((F.col("latency_ms") <= F.col(f"{p}_latency_ms")).cast("int")).alias(f"{p}_upto") for p in ("p50", "p95")],
+        F.max(1.0 / F.col("total_records")).alias("one"))
+    fits = F.lit(True)
+    for p, share in (("p50", 0.5), ("p95", 0.95)):
+        slack = F.lit(ls.RANK_ERROR) + F.col("one")
+        fits = fits & (F.col(f"{p}_below") <= F.lit(share) + slack) & (F.col(f"{p}_upto") >= F.lit(share) - slack)
+    return moving.join(held.select("window_end", "mapping_id", fits.alias("ranks_hold")), ["window_end", "mapping_id"]).select(
+        "window_end", "mapping_id", "total_records", "avg_latency_ms", "min_latency_ms", "max_latency_ms", "ranks_hold")
