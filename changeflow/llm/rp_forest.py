@@ -6,7 +6,9 @@ nearest by inner product are then the nearest by distance.
 
 The forest is fitted on a bounded sample, the ``fit_rows`` rows with the
 smallest hash of their id: each node splits its sample at the median of a
-random projection.  Every row is then indexed, by the leaf it falls into in
+random projection.  Trees are as deep as leaves of about ``LEAF_ROWS`` rows
+ask, up to what the sample can split: with 20,000 rows 2^9 leaves a tree.
+Every row is then indexed, by the leaf it falls into in
 each tree.  A query searches all trees through one priority queue: nodes are
 opened in order of the squared margins crossed on the way to them, until
 ``n_probe`` leaves have been taken.  ``n_probe`` is the smallest number that
@@ -37,7 +39,8 @@ from changeflow.llm.common import stored
 
 FIT_ROWS = 20_000
 TREES = 8
-MAX_DEPTH = 6
+LEAST_DEPTH = 6           # of tables whose sample has that many leaves
+LEAF_ROWS = 512           # rows a leaf holds about, while the sample allows
 LEAF_SAMPLE = 32          # sample rows a leaf holds at least
 CALIBRATION_QUERIES = 300
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
@@ -112,6 +115,13 @@ class Forest:
         return out
 
 
+def tree_depth(n_sample: int, n_rows: int) -> int:
+    """Halvings until a leaf has about ``LEAF_ROWS`` rows; the sample's
+    medians must rest on ``LEAF_SAMPLE`` rows a leaf."""
+    halvings = lambda n: max(0, max(1, n).bit_length() - 1)     # noqa: E731
+    return min(halvings(n_sample // LEAF_SAMPLE), max(LEAST_DEPTH, halvings(n_rows // LEAF_ROWS)))
+
+
 def calibrate(forest: Forest, sample: np.ndarray, k: int, recall: float) -> int:
     """The smallest number of leaves that finds ``recall`` of the sample's own
     ``k`` nearest, for queries from the sample."""
@@ -157,7 +167,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     rows = rows.filter(F.size("embedding") == lengths.n)
     norm = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
     sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()])
-    depth = min(MAX_DEPTH, max(0, (len(sample) // LEAF_SAMPLE).bit_length() - 1))
+    depth = tree_depth(len(sample), lengths["count"])
     forest = Forest(sample, norm, trees, depth)
     n_probe = calibrate(forest, sample, k, recall)
     shared = spark.sparkContext.broadcast(forest)      # trees * 2^depth nodes

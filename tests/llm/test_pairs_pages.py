@@ -58,6 +58,30 @@ def test_jaccard_join_of_heavy_groups(spark, monkeypatch, light):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("turns,candidates", [(0, 1), (1, 1), (4, 1), (4, 3)])
+def test_jaccard_hub_steps_lose_no_link(spark, monkeypatch, turns, candidates):
+    """Near copies around the threshold, of several bases: hub steps, however
+    many, and the last join give the components of all links."""
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+    monkeypatch.setattr(jaccard_join, "CANDIDATES", candidates)
+    monkeypatch.setattr(jaccard_join, "LINEAR", -1)
+    monkeypatch.setattr(jaccard_join, "WORTH", 10**6)
+    rng = random.Random(11)
+    docs = []
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(120)]
+        for _ in range(45):
+            own = words[rng.randrange(0, 14):120 - rng.randrange(0, 14)]
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect())
+    want = sorted(brute.link_components(docs))
+    assert got == want and 3 < len({c for *_, c in want}) < len(docs) - 30
+
+
 def test_jaccard_keep_one(docs, rows, no_docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
@@ -166,6 +190,35 @@ def test_forest_search(spark):
     assert [v for _, v, _ in by[200]] == nearest(x, 200, 10)[0]      # copies: ties to the smaller id
 
 
+def test_forest_depth_follows_the_rows():
+    assert [rp_forest.tree_depth(min(n, 20_000), n) for n in (0, 1, 63, 500, 2000, 20_000, 51_282, 100_000, 300_000, 10**9)] == [0, 0, 0, 3, 5, 6, 6, 7, 9, 9]
+
+
+def test_forest_of_deep_trees_with_a_hot_vector(spark, monkeypatch):
+    """A third of the rows on one vector, leaves of several blocks: recall
+    against brute force, every query complete."""
+    monkeypatch.setattr(rp_forest, "LEAF_ROWS", 16)
+    monkeypatch.setattr(rp_forest, "LEAF_SAMPLE", 8)
+    monkeypatch.setattr(rp_forest, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(rp_forest, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 12))
+    x[600:] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    assert rp_forest.tree_depth(900, 900) > rp_forest.LEAST_DEPTH - 1
+    got = {}
+    for r in rp_forest.search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 900, 20):
+        assert sorted(r for r, *_ in got[q]) == list(range(1, 21))
+        scores = np.add.reduce(x * x[q], axis=1)
+        scores[q] = -np.inf
+        least = np.sort(scores)[-20]
+        hits += sum(s >= least - 1e-9 for _, _, s in got[q])
+    assert hits >= 0.9 * 20 * 45
+
+
 def test_forest_blocks_change_nothing(spark, monkeypatch):
     df, _ = vectors(spark, n=600)
     want = sorted(map(tuple, rp_forest.search(df, F.col("vec_id") % 20 == 0, k=5).collect()))
@@ -245,7 +298,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLE) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sample):
@@ -253,7 +306,7 @@ def test_pipeline(spark, sample):
     lang = {r.doc_id: r.lang for r in df.collect()}
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()
     left = [(d, t) for d, t in texts if any(c.isalpha() for c in t or "")]
-    one = {c for *_, c in brute.link_components(left)}
+    one = {c for *_, c in brute.link_components(left, 5, 80)}      # the stage's own parameters
     left = [(d, t) for d, t in left if d in one]
     left = [(d, k if n else dict(left)[d]) for d, _, n, k in brute.repeated_words(left)]
     leaks = brute.contamination(left, [(r.item_id, r.text) for r in bench])
