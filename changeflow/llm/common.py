@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
+import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from changeflow.session import remove_paths, scratch_path
 
 SLICE_BYTES = 4 << 20      # text handled at once by a Python worker
+SMALL_SLICE = 2 << 20      # the same, in operators that hold large tables besides
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -25,33 +30,63 @@ def new_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+ALWAYS = "always"
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What ``stored`` writes within is removed at the end; results that are
-    read later are written with ``keep=True`` before."""
+    """What ``stored`` writes within is removed at the end.  Results that are
+    read later are written with ``keep=True``; they go with the scratch
+    around this one, if there is one.  ``keep=ALWAYS`` is for what a returned
+    frame reads."""
     paths: list[str] = []
-    token = _SCRATCH.set(paths)
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
     try:
         yield
     finally:
         _SCRATCH.reset(token)
+        for path in paths:
+            if os.path.basename(path).startswith(_BY_KEY):
+                spark.sql(f"DROP TABLE IF EXISTS {os.path.basename(path)}")
         remove_paths(spark, paths)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark's cleaner then removes the
+    shuffle files of finished writes, which else wait for the driver's heap to
+    fill while executors' disks do."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str, keep: bool | str = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at
     files that every executor can read again."""
     path = new_path(df.sparkSession, name)
-    paths = _SCRATCH.get()
-    if paths is not None and not keep:
-        paths.append(path)
+    around = () if keep == ALWAYS else _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BY_KEY = "by_key_"
+
+
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """``stored`` as a table bucketed by ``column``, in as many buckets as a
+    shuffle has partitions: joins on the column do not shuffle it again."""
+    spark = df.sparkSession
+    name = f"{_BY_KEY}{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    if _SCRATCH.get():
+        _SCRATCH.get()[-1].append(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 BIT_WORDS = 1 << 18       # rows that a bit filter has at most
 
 
@@ -79,10 +114,21 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def release_memory() -> None:
+    """Return what this Python worker has freed to the system, so that a
+    reused worker starts its next task small."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("text",),
                 max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most about ``max_bytes`` of
     text, or one row."""
+    release_memory()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -23,9 +23,15 @@ Those documents, whose candidates would cost most, form the next round, with
 their prefixes lengthened to the whole set and l to ceil(t n): of the c
 shingles that other components hold only the rarest c - l + 1 are needed then, and
 the r-th of them only for partners with which at most c - r + 1 must be
-shared.  Again a hub first, then the remaining pairs of different components:
-rows outside a shingle's largest component are matched with its other rows
-of a size that may link.
+shared.  This order of shingles is fixed once: two documents that stay in
+different components share one of those shingles as long as they do, so only
+these rows are looked at from then on.  Hub steps join the groups: first each
+document meets its hub, then, up to ``TURNS`` times and while links are found,
+those outside a shingle's largest component meet the ``CANDIDATES`` of its
+documents that most of their shingles name, others each turn.  Every turn
+costs a few comparisons a document.  What remains are documents that hardly
+link with each other: rows outside a shingle's largest component are matched
+with its other rows of a size that may link.
 
 Pairs are verified on whole texts, grouped by hub, hot hubs dealt over
 several tasks.  Within a component known so far no pair is formed: links
@@ -47,14 +53,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import ASCII_LOWER, ranges, rows_that_may_match, scratch, stored, text_slices
+from changeflow.llm.common import (ALWAYS, ASCII_LOWER, SMALL_SLICE, ranges, release_shuffles, rows_that_may_match, scratch, stored,
+                                   stored_by, text_slices)
 from changeflow.llm.components import components
 from changeflow.llm.rolling import BASES, WordHashes, Windows, mix
 
 LENGTHEN = 0.25     # of n - ceil(t n), added to the prefixes of the first round
 LIGHT = 16          # documents of a shingle over which all pairs may be formed
 SIZE_STEP = 1.05    # ratio of the set sizes of one class
+TURNS = 4           # hub steps of the second round at most
+CANDIDATES = 3      # nodes a document is compared with in each of them
+WORTH = 10          # pairs compared for a link, beyond which hub steps end
+LINEAR = 4          # pairs a row that may be left for the last step
 HUB_TEXTS = 512     # texts that one task compares with a hub
+KEPT_WORDS = 100_000
 PROFILES = "doc_id long, node long, n int, prefix array<long>"
 
 
@@ -93,8 +105,8 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("node"), "text")
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in text_slices(batches):
+        hashes = WordHashes(KEPT_WORDS)
+        for batch in text_slices(batches, max_bytes=SMALL_SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), width, hashes)
             n = np.array([len(s) for s in sets], np.int64)
             size = np.minimum(n, n - least_shared(n, percent) + matches(n, percent)).astype(np.int64)
@@ -137,9 +149,9 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     rows = rows.repartition("x", "part").sortWithinPartitions("x", "part", "member", "y")
 
     def compare(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(KEPT_WORDS)
         hub, own = None, np.zeros(0, np.uint64)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=SMALL_SLICE):
             out: tuple[list, list] = [], []
             sets = shingle_sets(batch.column("text").to_pylist(), width, hashes)
             for x, member, y, s in zip(batch.column("x").to_pylist(), batch.column("member").to_pylist(),
@@ -211,40 +223,82 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
-def link_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all links.  ``known``: the
-    documents' profiles."""
-    # round 1: prefixes of all documents
+def _alive(known: DataFrame, percent: int) -> DataFrame:
+    """Of the first round, the documents that share enough of their prefixes:
+    node, n, score (mean number of holders) and the shared tokens."""
     rows = _shared(known.select(F.explode("prefix").alias("token"), "node", "n"))
-    least = _matches_sql(F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100)), percent)
     alive = rows.groupBy("node").agg(F.max("n").alias("n"), F.avg("df").alias("score"), F.collect_set("token").alias("tokens"))
-    alive = stored(alive.filter(F.size("tokens") >= least), "alive")
+    return alive.filter(F.size("tokens") >= _least_matches(percent))
+
+
+def _least_matches(percent: int) -> Column:
+    return _matches_sql(F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100)), percent)
+
+
+def _more_links(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``edges`` and the links among ``pairs``, written."""
+    with scratch(texts.sparkSession):
+        found = verify(pairs, texts, width, percent)
+        out = stored(found if edges is None else edges.unionByName(found), "links", keep=True)
+    release_shuffles(texts.sparkSession)
+    return out
+
+
+def link_edges(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all links, among the
+    documents ``alive``."""
+    spark = docs.sparkSession
     texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text")
     texts = rows_that_may_match(texts, "node", alive).join(alive.select("node"), "node", "left_semi")
-    texts = stored(texts, "texts").dropDuplicates(["node"])
+    texts = stored_by(texts.groupBy("node").agg(F.first("text").alias("text")), "node")
+    release_shuffles(spark)
+    # round 1: prefixes of all documents
     rows = alive.select(F.explode("tokens").alias("token"), "node", "n", "score", F.size("tokens").alias("c"))
-    edges = stored(verify(_hub_pairs(rows), texts, width, percent), "links")
+    edges = _more_links(None, _hub_pairs(rows), texts, width, percent)
     # only tokens that other components hold too can link to one
-    rows = stored(_held_by_several(_with_root(rows.select("token", "node", "n"), components(edges))), "several")
-    heavy = rows.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"),
-                                     F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
-    heavy = stored(heavy.filter(F.col("c") >= least), "matches")
-    light = rows.filter(F.col("held") <= LIGHT).join(heavy.select("node", "c", "h"), "node")
-    edges = stored(edges.unionByName(verify(_light_pairs(light, percent), texts, width, percent)), "links")
+    rows = stored(_held_by_several(_with_root(rows.select("token", "node"), components(edges))), "several")
+    heavy = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
+    heavy = stored(heavy.join(alive.select("node", "n"), "node").filter(F.col("c") >= _least_matches(percent)), "matches")
+    light = rows.filter(F.col("held") <= LIGHT).join(heavy, "node")
+    edges = _more_links(edges, _light_pairs(light, percent), texts, width, percent)
 
     # round 2: whole sets of the documents that may share heavy tokens alone
-    chosen = stored(texts.join(heavy.filter(F.col("h") >= least).select("node"), "node", "left_semi"), "costly")
+    chosen = stored(texts.join(heavy.filter(F.col("h") >= _least_matches(percent)).select("node"), "node", "left_semi"), "costly")
     if chosen.isEmpty():
         return edges
-    whole = stored(whole_sets(chosen, width), "whole-sets")
-    rows = whole.select(F.explode("tokens").alias("token"), "node", "n")
-    ranked = stored(_rarest(_with_root(rows, components(edges)), percent), "rarest")
-    edges = stored(edges.unionByName(verify(_hub_pairs(ranked), chosen, width, percent)), "links")
-    # documents that went cannot link to another component: count without them
-    left = whole.join(ranked.select("node").distinct(), "node", "left_semi")
-    rows = left.select(F.explode("tokens").alias("token"), "node", "n")
-    ranked = stored(_rarest(_with_root(rows, components(edges)), percent), "rarest")
-    return edges.unionByName(verify(_rare_pairs(ranked, percent), chosen, width, percent))
+    with scratch(spark):
+        # a token that one component holds now links to no other one later, nor does any but a node's rarest
+        whole = stored(whole_sets(chosen, width), "whole-sets").select(F.explode("tokens").alias("token"), "node", "n")
+        ranked = stored(_rarest(_with_root(whole, components(edges)), percent), "rarest", keep=True)
+    release_shuffles(spark)
+    for turn in range(TURNS):
+        pairs = stored(_hub_pairs(ranked) if turn == 0 else _pairs_with_largest(ranked, turn), "hub-pairs")
+        before, edges = edges.count(), _more_links(edges, pairs, texts, width, percent)
+        with scratch(spark):
+            again = _with_root(ranked.drop("root"), components(edges))
+            ranked = stored(_held_by_several(again).drop("held"), "rarest", keep=True)
+        if (edges.count() - before) * WORTH < pairs.count() or _pair_cost(ranked) <= LINEAR * ranked.count():
+            break
+    return _more_links(edges, _rare_pairs(ranked, percent), texts, width, percent)
+
+
+def _pair_cost(rows: DataFrame) -> int:
+    """Pairs that rows outside a token's largest component form with the
+    token's rows, at most."""
+    held = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.max("k").alias("most"))
+    return held.agg(F.coalesce(F.sum((F.col("n") - F.col("most")) * F.col("n")), F.lit(0))).first()[0]
+
+
+def _pairs_with_largest(rows: DataFrame, turn: int) -> DataFrame:
+    """(x, y): each node y that is outside a token's largest component with
+    nodes x of that component, the ``CANDIDATES`` that most of its tokens name.
+    A token names one, another one each turn."""
+    held = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")).alias("named"))
+    largest = held.groupBy("token").agg(F.max(F.struct("k", "root", "named")).alias("top"))
+    outside = rows.join(stored(largest, "largest"), "token").filter(F.col("root") != F.col("top.root"))
+    votes = outside.select("node", F.col("top.named.node").alias("x")).groupBy("node", "x").agg(F.count(F.lit(1)).alias("v"))
+    best = W.partitionBy("node").orderBy(F.desc("v"), F.xxhash64("x", F.lit(turn)))
+    return votes.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= CANDIDATES).select("x", F.col("node").alias("y"))
 
 
 def _held_by_several(rows: DataFrame) -> DataFrame:
@@ -270,8 +324,8 @@ def _rarest(rows: DataFrame, percent: int) -> DataFrame:
 def whole_sets(texts: DataFrame, width: int) -> DataFrame:
     """(node, n, tokens): the whole set of every text."""
     def run(batches):
-        hashes = WordHashes()
-        for batch in text_slices(batches):
+        hashes = WordHashes(KEPT_WORDS)
+        for batch in text_slices(batches, max_bytes=SMALL_SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), width, hashes)
             n = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -286,10 +340,16 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, node, root, n_shingles, component_id of every document: root is
     the smallest node that links reach, component_id the smallest doc_id, its
     own included."""
-    known = stored(profiles(docs, width, percent), "profiles")
-    with scratch(docs.sparkSession):
-        roots = stored(components(link_edges(docs, known, width, percent)), "roots", keep=True)
-    rows = _with_root(known.select("doc_id", "node", "n"), roots)
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            known = stored(profiles(docs, width, percent), "profiles")
+            ids = stored(known.select("doc_id", "node", "n"), "ids", keep=ALWAYS)
+            alive = stored(_alive(known, percent), "alive", keep=True)
+        release_shuffles(spark)
+        roots = stored(components(link_edges(docs, alive, width, percent)), "roots", keep=ALWAYS)
+    release_shuffles(spark)
+    rows = _with_root(ids, roots)
     least = rows.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
         "doc_id", "node", "root", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
