@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import ChunkEncoder, _Index, kept_in_worker, ranges, text_slices
+from changeflow.llm.common import SMALL_SLICE, ChunkEncoder, _Index, kept_in_worker, ranges, text_slices
 
 
 BLOCK_WORDS = 200_000     # distinct words replayed together: bounds the linked lists
@@ -227,8 +227,8 @@ class ReplayEncoder:
 
 def _encode(batches, ranks_path: str, pattern: str, names: list[str]):
     encoder = kept_in_worker(f"replay {ranks_path} {pattern}",
-                             lambda: ChunkEncoder(ReplayEncoder(read_ranks(ranks_path), pattern)))
-    for batch in text_slices(batches):
+                             lambda: ChunkEncoder(ReplayEncoder(read_ranks(ranks_path), pattern), 200_000, 8 << 20))
+    for batch in text_slices(batches, max_bytes=SMALL_SLICE):
         ids, lengths = encoder(batch.column("text"))
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.llm.common import kept_in_worker, scratch, stored, text_slices
+from changeflow.llm.common import SMALL_SLICE, kept_in_worker, scratch, stored, text_slices
 from changeflow.llm.cross_parse import Automaton, Lanes
 
 DOCS_PER_LANG = 400
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, samples: dict[str, str], fits: str | None = None) -
 
     def run(batches):
         parser = kept_in_worker(f"automata {name}", lambda: Parser(shared.value))
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=SMALL_SLICE):
             texts = batch.column("text").to_pylist()
             if parser.langs:
                 cost, n = parser.costs(texts)
