@@ -74,14 +74,17 @@ def stored(df: DataFrame, name: str, keep: bool | str = False) -> DataFrame:
 _BY_KEY = "by_key_"
 
 
-def stored_by(df: DataFrame, column: str) -> DataFrame:
+def stored_by(df: DataFrame, column: str, keep: bool = False) -> DataFrame:
     """``stored`` as a table bucketed by ``column``, in as many buckets as a
-    shuffle has partitions: joins on the column do not shuffle it again."""
+    shuffle has partitions: joins on the column do not shuffle it again.
+    ``df`` should come from a shuffle by the column, or from files that did:
+    other rows would be written to as many files a task as there are buckets."""
     spark = df.sparkSession
     name = f"{_BY_KEY}{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
-    if _SCRATCH.get():
-        _SCRATCH.get()[-1].append(path)
+    around = _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    if around:
+        around[-1].append(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, column).option("path", path).saveAsTable(name)
     return spark.table(name)

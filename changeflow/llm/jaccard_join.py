@@ -122,8 +122,9 @@ def _shared(rows: DataFrame) -> DataFrame:
     """``rows`` (token, node, n) whose token another row has too, with the
     number of rows that have it.  The counts are written before the join, so
     that AQE may split a hot token's rows; so are those below."""
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    return rows.join(stored(counts, "counts"), "token")
+    counts = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
+    release_shuffles(rows.sparkSession)
+    return rows.join(counts, "token")
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -142,6 +143,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     with; a hub of many pairs is dealt over tasks with a copy of its text."""
     pairs = stored(pairs, "pairs")
     n = stored(pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / HUB_TEXTS).cast("int").alias("n")), "pairs-of-hubs")
+    release_shuffles(pairs.sparkSession)        # those of the pairs, before texts are shuffled
     dealt = pairs.join(n, "x").select("x", "y", F.pmod(F.xxhash64("y"), "n").cast("int").alias("part"))
     hubs = n.select("x", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     rows = dealt.unionByName(hubs)
@@ -246,17 +248,20 @@ def _more_links(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, wid
 
 def link_edges(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links, among the
-    documents ``alive``."""
+    documents ``alive``.  Sets meet the components by node as arrays, in tables
+    bucketed by node, so their shingles are shuffled by token alone."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text")
-    texts = rows_that_may_match(texts, "node", alive).join(alive.select("node"), "node", "left_semi")
+    # not a semi join, which Spark would move below the filter by bits
+    texts = rows_that_may_match(texts, "node", alive).join(alive.select("node"), "node")
     texts = stored_by(texts.groupBy("node").agg(F.first("text").alias("text")), "node")
     release_shuffles(spark)
     # round 1: prefixes of all documents
     rows = alive.select(F.explode("tokens").alias("token"), "node", "n", "score", F.size("tokens").alias("c"))
     edges = _more_links(None, _hub_pairs(rows), texts, width, percent)
     # only tokens that other components hold too can link to one
-    rows = stored(_held_by_several(_with_root(rows.select("token", "node"), components(edges))), "several")
+    rows = _with_root(alive.select("node", "tokens"), components(edges)).select(F.explode("tokens").alias("token"), "node", "root")
+    rows = stored(_held_by_several(rows), "several")
     heavy = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("held") > LIGHT).cast("int")).alias("h"))
     heavy = stored(heavy.join(alive.select("node", "n"), "node").filter(F.col("c") >= _least_matches(percent)), "matches")
     light = rows.filter(F.col("held") <= LIGHT).join(heavy, "node")
@@ -268,14 +273,15 @@ def link_edges(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> D
         return edges
     with scratch(spark):
         # a token that one component holds now links to no other one later, nor does any but a node's rarest
-        whole = stored(whole_sets(chosen, width), "whole-sets").select(F.explode("tokens").alias("token"), "node", "n")
-        ranked = stored(_rarest(_with_root(whole, components(edges)), percent), "rarest", keep=True)
+        whole = _with_root(stored_by(whole_sets(chosen, width), "node"), components(edges))
+        whole = whole.select(F.explode("tokens").alias("token"), "node", "n", "root")
+        ranked = stored_by(_rarest(whole, percent), "node", keep=True)
     release_shuffles(spark)
     for turn in range(TURNS):
         pairs = stored(_hub_pairs(ranked) if turn == 0 else _pairs_with_largest(ranked, turn), "hub-pairs")
         before, edges = edges.count(), _more_links(edges, pairs, texts, width, percent)
         with scratch(spark):
-            again = _with_root(ranked.drop("root"), components(edges))
+            again = stored(_with_root(ranked.drop("root"), components(edges)), "rooted")
             ranked = stored(_held_by_several(again).drop("held"), "rarest", keep=True)
         if (edges.count() - before) * WORTH < pairs.count() or _pair_cost(ranked) <= LINEAR * ranked.count():
             break
@@ -345,7 +351,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         with scratch(spark):
             known = stored(profiles(docs, width, percent), "profiles")
             ids = stored(known.select("doc_id", "node", "n"), "ids", keep=ALWAYS)
-            alive = stored(_alive(known, percent), "alive", keep=True)
+            alive = stored_by(_alive(known, percent), "node", keep=True)
         release_shuffles(spark)
         roots = stored(components(link_edges(docs, alive, width, percent)), "roots", keep=ALWAYS)
     release_shuffles(spark)

@@ -82,6 +82,23 @@ def test_jaccard_hub_steps_lose_no_link(spark, monkeypatch, turns, candidates):
     assert got == want and 3 < len({c for *_, c in want}) < len(docs) - 30
 
 
+def test_jaccard_shuffles_only_what_may_match(spark, monkeypatch):
+    """Texts meet the filter by bits before they are shuffled, and shingles are
+    taken from their arrays after these met the components."""
+    plans = {}
+    for name in ("stored", "stored_by"):
+        def seen(df, label, *args, write=getattr(jaccard_join, name), **kept):
+            plans[label, "text" in df.columns] = df._jdf.queryExecution().optimizedPlan().toString()
+            return write(df, label, *args, **kept)
+        monkeypatch.setattr(jaccard_join, name, seen)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:i] + ["other"] + base[i:])) for i in range(6)]
+    assert {r.component_id for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0}
+    texts, several = plans["node", True], plans["several", False]
+    assert "LeftSemi" not in texts and texts.index("Join Inner, (node") < texts.index("strategy=broadcast")
+    assert several.index("Generate explode") < several.index("Join LeftOuter")
+
+
 def test_jaccard_keep_one(docs, rows, no_docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
