@@ -23,6 +23,7 @@ from changeflow.session import remove_paths, scratch_path
 
 SLICE_BYTES = 4 << 20      # text handled at once by a Python worker
 SMALL_SLICE = 2 << 20      # the same, in operators that hold large tables besides
+BATCH_BYTES = 4 << 20      # rows that Spark hands to a Python worker at once
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -127,6 +128,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python workers in batches of about
+    ``BATCH_BYTES``.  Its own bound is 64 MB; such a batch of texts stands in
+    the executor's direct memory and once more in the worker, for each task.
+    The setting stays in the session, as plans read it when they run; a lower
+    one is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("text",),
                 max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most about ``max_bytes`` of
@@ -320,6 +333,12 @@ def kept_in_worker(name: str, make):
     return _KEPT[name]
 
 
+def forget_kept() -> None:
+    """Drop what ``kept_in_worker`` holds, before work of an operator that
+    does not ask for it: a reused worker would keep another one's table."""
+    _KEPT.clear()
+
+
 class _Index(dict):
     """Numbers keys in order of appearance and notes the new ones."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
-from changeflow.llm import (bpe_replay, cross_parse, decontaminate, langid, license_scan, substring_dedup, token_attribution,
+from changeflow.llm import (bpe_replay, common, cross_parse, decontaminate, langid, license_scan, substring_dedup, token_attribution,
                             token_store)
 from changeflow.llm.common import ChunkEncoder, new_path, ranges
 from changeflow.llm.elias_fano import EliasFano
@@ -311,6 +311,27 @@ def test_substring_dedup(which, size, docs, rows, sample):
     same(substring_dedup.dedup(df, size), ("doc_id", "n_words", "n_removed", "kept"), expected)
 
 
+def test_substring_dedup_bounds_what_a_worker_holds(spark, no_docs):
+    """Rows reach Python in batches of a few MB, a lower setting stays, and
+    another operator's table goes."""
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)], pa.int64())], ["most"])
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 1600).alias("text"))
+    try:
+        spark.conf.set(key, "64m")
+        substring_dedup.dedup(no_docs)
+        assert texts.mapInArrow(sizes, "most long").first().most <= 2 * common.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        substring_dedup.dedup(no_docs)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    common.kept_in_worker("table", list)
+    common.forget_kept()
+    assert not common._KEPT
+
+
 def test_substring_dedup_keeps_other_texts(docs, rows, no_docs):
     got = {r.doc_id: r for r in substring_dedup.remove_repeated(docs).collect()}
     assert substring_dedup.remove_repeated(docs).columns == docs.columns
