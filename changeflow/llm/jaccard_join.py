@@ -47,6 +47,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,6 +68,7 @@ CANDIDATES = 3      # nodes a document is compared with in each of them
 WORTH = 10          # pairs compared for a link, beyond which hub steps end
 LINEAR = 4          # pairs a row that may be left for the last step
 HUB_TEXTS = 512     # texts that one task compares with a hub
+PASSES = 4          # parts of the first round's tokens, shuffled one after another
 KEPT_WORDS = 100_000
 PROFILES = "doc_id long, node long, n int, prefix array<long>"
 
@@ -132,7 +135,9 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     tokens, the one of the highest score (the mean number of holders)."""
     hubs = (rows.groupBy("token").agg(F.max(F.struct("score", "node")).alias("hub"), F.count(F.lit(1)).alias("held"))
             .filter("held > 1").select("token", F.col("hub.node").alias("x")))
-    votes = rows.join(stored(hubs, "hubs"), "token").filter("x != node").groupBy("node", "x").agg(F.count(F.lit(1)).alias("v"))
+    hubs = stored(hubs, "hubs")
+    release_shuffles(rows.sparkSession)
+    votes = rows.join(hubs, "token").filter("x != node").groupBy("node", "x").agg(F.count(F.lit(1)).alias("v"))
     return (votes.groupBy("node").agg(F.max(F.struct("v", "x")).alias("best"))
             .select(F.col("best.x").alias("x"), F.col("node").alias("y")))
 
@@ -227,8 +232,18 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def _alive(known: DataFrame, percent: int) -> DataFrame:
     """Of the first round, the documents that share enough of their prefixes:
-    node, n, score (mean number of holders) and the shared tokens."""
-    rows = _shared(known.select(F.explode("prefix").alias("token"), "node", "n"))
+    node, n, score (mean number of holders) and the shared tokens.
+
+    The prefixes are the most rows of the join.  Their tokens are dealt over
+    ``PASSES`` parts, each shuffled after the one before has been released, so
+    executors' disks hold one part and the shared rows found so far."""
+    rows = known.select(F.explode("prefix").alias("token"), "node", "n")
+    part = F.pmod(F.xxhash64("token"), F.lit(PASSES))
+    found = []
+    for p in range(PASSES):
+        found.append(stored(_shared(rows.filter(part == p)), "shared"))
+        release_shuffles(known.sparkSession)
+    rows = reduce(DataFrame.unionByName, found)
     alive = rows.groupBy("node").agg(F.max("n").alias("n"), F.avg("df").alias("score"), F.collect_set("token").alias("tokens"))
     return alive.filter(F.size("tokens") >= _least_matches(percent))
 
@@ -312,7 +327,9 @@ def _held_by_several(rows: DataFrame) -> DataFrame:
     number of the token's rows."""
     several = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
                .filter("lo != hi").select("token", "held"))
-    return rows.join(stored(several, "tokens-of-several"), "token")
+    several = stored(several, "tokens-of-several")
+    release_shuffles(rows.sparkSession)
+    return rows.join(several, "token")
 
 
 def _rarest(rows: DataFrame, percent: int) -> DataFrame:

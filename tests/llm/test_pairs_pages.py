@@ -99,6 +99,29 @@ def test_jaccard_shuffles_only_what_may_match(spark, monkeypatch):
     assert several.index("Generate explode") < several.index("Join LeftOuter")
 
 
+def test_jaccard_first_round_is_shuffled_in_parts(spark, monkeypatch):
+    """No write of the first round holds over half of the shared tokens, nor of
+    their rows; the parts together find what one finds."""
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(base[:9 * i] + ["other"] + base[9 * i:])) for i in range(8)] + [(99, "on its own"), (7, None)]
+    known = jaccard_join.profiles(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).cache()
+    rows = []
+
+    def seen(df, label, *args, write=jaccard_join.stored, **kept):
+        out = write(df, label, *args, **kept)
+        rows.append((label, out.count()))
+        return out
+    monkeypatch.setattr(jaccard_join, "stored", seen)
+
+    def alive():
+        return sorted((r.node, r.n, r.score, sorted(r.tokens)) for r in jaccard_join._alive(known, 85).collect())
+    in_parts = alive()
+    tokens, most = len({t for *_, ts in in_parts for t in ts}), sum(len(ts) for *_, ts in in_parts) / 2
+    assert len(in_parts) == 8 and rows and all(0 < n < (tokens / 2 if label == "counts" else most) for label, n in rows)
+    monkeypatch.setattr(jaccard_join, "PASSES", 1)
+    assert alive() == in_parts
+
+
 def test_jaccard_keep_one(docs, rows, no_docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
